@@ -7,6 +7,7 @@ object for each word. Hashes have 64 bits and depend on a word's bytes only.
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that numpy handles at once; a longer document is a slice of its own.
@@ -59,6 +61,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def send(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast an object of bounded size with the code of its class; received() opens it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def received(sent: Broadcast) -> object:
+    return pickle.loads(sent.value)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid
+from . import bpe, decontam, langid
 from .common import table
 from .ngramjoin import ngram_groups
 
@@ -22,10 +22,16 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("spans", "items")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(bpe.vocabulary_path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, with_ids=False)
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_byte_bpe": op4_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid
-from .common import table
+from . import bpe, decontam, langid, tokenstore
+from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 
 
@@ -27,11 +27,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, with_ids=False)
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "token-store")
+    tokenstore.write_store(table(spark, sf_dir, "documents"), path, bpe.vocabulary_path("byte_bpe_50k.json"))
+    return tokenstore.read_store(spark, path, digest_only=True)
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_store": op5_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, tokenstore
+from . import bpe, decontam, langid, quality, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 
@@ -33,12 +33,18 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(spark, path, digest_only=True)
 
 
+def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_store": op5_token_store,
+    "op1_quality_ordinal": op1_quality_ordinal,
 }
 
 ORACLE_SQL: dict[str, str] = {}

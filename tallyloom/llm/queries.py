@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, quality, tokenstore
+from . import bpe, decontam, langid, quality, rules, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 
@@ -38,6 +38,11 @@ def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.apply_rules(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -45,6 +50,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_store": op5_token_store,
     "op1_quality_ordinal": op1_quality_ordinal,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, rules, tokenstore
+from . import bpe, decontam, langid, linededup, quality, rules, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 
@@ -43,6 +44,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -51,6 +57,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op1_quality_ordinal": op1_quality_ordinal,
     "op10_quality_rules": op10_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

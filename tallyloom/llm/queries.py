@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, quality, rules, tokenstore
+from . import bpe, decontam, langid, licenses, linededup, quality, rules, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 
@@ -49,6 +49,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_quality_ordinal": op1_quality_ordinal,
     "op10_quality_rules": op10_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

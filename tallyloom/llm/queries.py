@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, linededup, quality, rules, tokenstore
+from . import bpe, chatformat, decontam, langid, licenses, linededup, quality, rules, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 
@@ -53,6 +53,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chatformat.read_back(chatformat.format_turns(turns))
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -63,6 +70,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op8_license_scan": op8_license_scan,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@
     turn         := user | assistant | other
     user         := "<s>[INST] " text " [/INST]"
     assistant    := " " text "</s>"          (after a user or assistant turn this is all it takes)
-    other        := "[ROLE " role "] " text " [/ROLE]"
+    other        := "[ROLE " percent-encoded role "] " text " [/ROLE]"
 
 A text is written as it is, the turn is parsed again, and if the parser does not give back the source,
 the conflicting control strings and escape marks get an escape mark after their first character, which the
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +44,7 @@ def unescape(text: str) -> str:
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """A turn, and where its text begins and ends in it."""
-    before, after = _SHAPES.get(role) or (f"[ROLE {escape(role)}] ", " [/ROLE]")
+    before, after = _SHAPES.get(role) or (f"[ROLE {quote(role, safe='')}] ", " [/ROLE]")
     return before + text + after, len(before), len(before) + len(text)
 
 
@@ -55,7 +56,7 @@ def parse(said: str, at: int = 0) -> tuple[str, str, int] | None:
         end = said.find("] ", at)
         if end < 0:
             return None
-        role, begin, close = unescape(said[at + len("[ROLE ") : end]), end + 2, " [/ROLE]"
+        role, begin, close = unquote(said[at + len("[ROLE ") : end]), end + 2, " [/ROLE]"
     elif said.startswith(" ", at):
         role, begin, close = "assistant", at + 1, "</s>"
     else:

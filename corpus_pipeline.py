@@ -4,17 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm import bpe, decontam, linededup, ngramjoin, quality
 from tallyloom.llm.common import stored, table
-from tallyloom.llm.ngramjoin import first_of_groups
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier rejects go; the others stay as they are."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document that has lost lines and has no word left goes too."""
+    out = linededup.dedup_lines(docs, counts=("__n_lines", "__n_removed"))
+    return out.where("__n_removed = 0 or text rlike '[^ \\t-\\r]'").select(*[f"`{c}`" for c in docs.columns])
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: five-word shingles, Jaccard 0.8 or more."""
-    return first_of_groups(docs, n=5, percent=80)
+    return ngramjoin.first_of_groups(docs, n=5, percent=80)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut from texts; all rows stay."""
+    return decontam.remove_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests and ids of every document."""
+    return bpe.encode_documents(docs, bpe.read_ranks(bpe.vocabulary_path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [
-    ("ngram_jaccard_join", near_copies),
+    ("quality_classifier", good_quality),
+    ("line_dedup", fresh_lines),
+    ("ngram_jaccard_join", no_near_copies),
+    ("benchmark_decontamination", no_benchmark),
+    ("byte_bpe", encoded),
 ]
 
 

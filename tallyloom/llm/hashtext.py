@@ -141,14 +141,14 @@ def fit_cumulative_link(design: Design, grade: np.ndarray, grades: int, steps: i
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with a column `linear`: the score of each whole text, 0 for a null or empty one."""
+    """docs with a column `__linear`: the score of each whole text, 0 for a null or empty one."""
     sent = send(docs.sparkSession, weights.astype(np.float32))  # of fixed size
-    schema = T.StructType([*docs.schema.fields, T.StructField("linear", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__linear", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = Hasher(), received(sent)
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(part.column("text"), hasher, w))], [*part.schema.names, "linear"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(part.column("text"), hasher, w))], [*part.schema.names, "__linear"])
 
     return docs.mapInArrow(run, schema)

@@ -20,22 +20,31 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.cast("int").alias("grade")).where("grade is not null")
 
 
+def _above(cut: float) -> Column:
+    return 1 / (1 + F.exp(F.lit(float(cut)) - F.col("__linear")))
+
+
+def _rated(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataFrame, Column, Column]:
+    """docs with a linear score, and the expected grade and tail probability on it."""
+    design, grade, _ = sampled(docs, grades(labels), sample_docs)
+    if len(set(grade.tolist())) < 2:
+        return docs.withColumn("__linear", F.lit(0.0)), F.lit(float(GRADES - 1)), F.lit(1.0)
+    weights, cuts = fit_cumulative_link(design, grade, GRADES)
+    return scored(docs, weights), sum((_above(c) for c in cuts[1:]), _above(cuts[0])), _above(cuts[-1])
+
+
 def rate(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """docs with expected_grade (0 to 2), tail_probability (of the highest grade) and kept.
+    """docs with expected_grade (0 to 2), tail_probability (of the highest grade) and kept, in place of columns of these names.
 
     The model is fitted on at most sample_docs labelled documents of each grade. Every row of docs
     is rated on its whole text and stays, with all its columns; repeated rows are rated alike. A null or
     empty text has no features and scores 0 before the thresholds. Without labels of two grades there is no
     model: all tail probabilities are 1 and all rows are kept. An empty table gives an empty result."""
-    design, grade, _ = sampled(docs, grades(labels), sample_docs)
-    if len(set(grade.tolist())) < 2:
-        return docs.withColumns({"expected_grade": F.lit(float(GRADES - 1)), "tail_probability": F.lit(1.0), "kept": F.lit(True)})
-    weights, cuts = fit_cumulative_link(design, grade, GRADES)
+    out, expected, tail = _rated(docs, labels, sample_docs)
+    return out.withColumns({"expected_grade": expected, "tail_probability": tail, "kept": tail >= keep}).drop("__linear")
 
-    def above(cut: float) -> Column:
-        return 1 / (1 + F.exp(F.lit(float(cut)) - F.col("linear")))
 
-    out = scored(docs, weights)
-    expected = sum((above(c) for c in cuts[1:]), above(cuts[0]))
-    tail = above(cuts[-1])
-    return out.withColumns({"expected_grade": expected, "tail_probability": tail, "kept": tail >= keep}).drop("linear")
+def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of docs whose tail probability reaches keep, as they are."""
+    out, _, tail = _rated(docs, labels, sample_docs)
+    return out.where(tail >= keep).drop("__linear")

@@ -10,7 +10,7 @@
    documents share makes few common keys: it stands last, or other shingles fall between its own.
 3. For each key the smallest document is the leader; all documents with that key join the leader's
    block. So any two sets that share a key meet in a block. A block larger than the limits is cut
-   into chunks, and each pair of chunks is a block.
+   into chunks, and each pair of chunks is a block; a block that lies within another one is left out.
 4. A block multiplies its document by shingle incidence matrix with its transpose, column block by
    column block, which accumulates overlap counts. Pairs below the size-derived bound
    `overlap >= t * union` go; of the links that are left a block hands out a spanning forest only.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, Hasher, Words, mixed, release, sequence_hash, shingles, slices, stored
+from .common import UNSPACED, Hasher, Words, mixed, release, sequence_hash, shingles, slices, stored, text_bytes
 from .components import components
 
 #: Counters of the sketch, as a power of two, and how many go in one row.
@@ -129,17 +129,20 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, items): the sorted shingles of each document, as bytes."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): each text compressed by itself, for shuffles."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
             for part in slices(batch):
-                items = [s.tobytes() for s in shingle_sets(part.column("text"), n, hasher)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(items, pa.binary())], ["doc_id", "items"])
+                data, off = text_bytes(part.column("text"))
+                rows = [squeeze.compress(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, items binary")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, packed binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -194,11 +197,21 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[
     return u, v
 
 
+def inner_blocks(joined: DataFrame) -> DataFrame:
+    """Leaders whose whole block lies within the block of the smallest leader that they are in themselves."""
+    outer = joined.where("leader < doc_id").groupBy("doc_id").agg(F.min("leader").alias("outer")).withColumnRenamed("doc_id", "leader")
+    inner = joined.join(outer, "leader").select("leader", "doc_id", "outer")
+    there = joined.select(F.col("leader").alias("outer"), "doc_id", F.lit(1).alias("there"))
+    missed = inner.join(there, ["outer", "doc_id"], "left").groupBy("leader").agg(F.count(F.lit(1)).alias("all"), F.count("there").alias("both"))
+    return missed.where(F.col("all") == F.col("both")).select("leader")
+
+
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Spanning links (u, v) between the documents of `rows` (doc_id, n_shingles, keys), one per class."""
     keys = rows.select(F.explode("keys").alias("h"), "doc_id").withColumns({"leader": F.min("doc_id").over(W.partitionBy("h")), "last": F.max("doc_id").over(W.partitionBy("h"))})
     joined = stored(keys.where("leader < last").select("leader", "doc_id").distinct(), "blocks")
     size = joined.join(rows.select("doc_id", "n_shingles"), "doc_id").groupBy("leader").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("items"))
+    size = size.join(inner_blocks(joined), "leader", "left_anti")
     # with c chunks, two of which make a block, a block has 2 / c of all
     over = F.greatest(F.col("docs") / F.lit(BLOCK_DOCS), F.col("items") / F.lit(BLOCK_SHINGLES))
     size = size.select(F.col("leader").alias("l"), F.when(over <= 1, 1).otherwise(F.ceil(over * 2)).cast("int").alias("chunks"))
@@ -210,12 +223,12 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
         .select("leader", "doc_id", "mine", other)
         .select("doc_id", F.struct("leader", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("block"))
     )
-    wanted = joined.select("doc_id").distinct()
-    items = stored(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), n), "sets")
     release(docs.sparkSession)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        import zstandard
+
+        now, ids, sets, hasher, expand = None, [], [], Hasher(), zstandard.ZstdDecompressor()
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
@@ -224,16 +237,16 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for key, doc, raw in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("items"), strict=True):
+            for key, doc, raw in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 key = tuple(key.values())
                 if key != now:
                     yield from done()
                     now, ids, sets = key, [], []
                 ids.append(doc)
-                sets.append(np.frombuffer(raw.as_buffer(), dtype=np.uint64).copy())
+                sets += shingle_sets(pa.array([expand.decompress(raw).decode()], pa.string()), n, hasher)
         yield from done()
 
-    dealt = block.join(items, "doc_id").select("block", "doc_id", "items").repartition("block").sortWithinPartitions("block", "doc_id")
+    dealt = block.join(packed(docs), "doc_id").select("block", "doc_id", "packed").repartition("block").sortWithinPartitions("block", "doc_id")
     return dealt.mapInArrow(multiply, "u long, v long")
 
 

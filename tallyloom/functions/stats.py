@@ -62,4 +62,4 @@ def rank_present(value: Column, partition: list[str] | None = None, descending:
 def floor_quantile(values: Column, q: float) -> Column:
     """The element at floor(q * (n - 1)) of the sorted values of an array."""
     ordered = F.array_sort(values)
-    return F.try_element_at(ordered, (F.floor(q * (F.size(ordered) - 1)) + 1).cast("int"))
+    return F.try_element_at(ordered, F.greatest(F.lit(1), F.floor(q * (F.size(ordered) - 1)) + 1).cast("int"))

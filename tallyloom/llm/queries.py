@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, chatformat, decontam, langid, licenses, linededup, quality, rules, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
+from .oracle import ORACLE_SQL
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.read_back(chatformat.format_turns(turns))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -72,5 +75,3 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
 }
-
-ORACLE_SQL: dict[str, str] = {}

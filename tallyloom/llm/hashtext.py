@@ -8,6 +8,7 @@ two gathers for each slice of an Arrow batch, and no object per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ WORD_BITS, TRIGRAM_BITS = 17, 16
 SAMPLE_DOCS = 1200
 #: Frequencies are multiplied by it, which only sets the scale of weights.
 SCALE = 30.0
+#: t statistics from which on a slot counts at all, and in full.
+TELLING = (2.0, 6.0)
 _AGAIN = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -68,18 +71,18 @@ class Design:
         return np.bincount(self.slot, weights=g[self.row] * self.value, minlength=size)
 
 
-def sampled(docs: DataFrame, classes: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Design, np.ndarray, np.ndarray]:
-    """Design, class and fold (0 to 4) of at most sample_docs documents of each class, the first by hash.
+def sampled(docs: DataFrame, classes: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Design, np.ndarray, np.ndarray, np.ndarray]:
+    """Design, class, fold (0 to 4) and weight (the share of all labelled documents that a row stands for) of at most sample_docs documents of each class, the first by hash.
 
     classes: (doc_id, grade). The sample has a bound, so its ids may be broadcast and its features collected."""
-    grades = sorted(r["grade"] for r in classes.where("grade is not null").select("grade").distinct().collect())
+    sizes = {r["grade"]: r["count"] for r in classes.where("grade is not null").groupBy("grade").count().collect()}  # a row per class
     labelled = classes.where("doc_id is not null").select("doc_id", "grade", F.xxhash64("doc_id", F.lit("sample")).alias("draw"))
     chosen = None
-    for g in grades:
+    for g in sorted(sizes):
         part = labelled.where(F.col("grade") == g).orderBy("draw", "doc_id").limit(sample_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
-        return Design([]), np.empty(0, np.int64), np.empty(0, np.int64)
+        return Design([]), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,23 +106,48 @@ def sampled(docs: DataFrame, classes: DataFrame, sample_docs: int = SAMPLE_DOCS)
     found = picked.mapInArrow(features, "grade int, draw long, slots binary, freqs binary").toArrow()
     found = found.take(pc.sort_indices(found, sort_keys=[("draw", "ascending"), ("slots", "ascending")]))
     rows = list(zip(found["slots"].to_pylist(), found["freqs"].to_pylist(), strict=True))
-    return Design(rows), np.array(found["grade"].to_pylist(), dtype=np.int64), np.array(found["draw"].to_pylist(), dtype=np.int64) % 5
+    grade = np.array(found["grade"].to_pylist(), dtype=np.int64)
+    share = {g: sizes[g] / sum(sizes.values()) / max(1, int((grade == g).sum())) for g in sizes}
+    return Design(rows), grade, np.array(found["draw"].to_pylist(), dtype=np.int64) % 5, np.array([share[g] for g in grade.tolist()])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_cumulative_link(design: Design, grade: np.ndarray, grades: int, steps: int = 200, decay: float = 1e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of P(y <= k) = sigmoid(threshold[k] - score), each grade weighing alike.
-
-    Thresholds are a first one and positive gaps. Adam steps over all rows, from zero weights."""
+def telling(design: Design, grade: np.ndarray, least: float = TELLING[0], full: float = TELLING[1]) -> np.ndarray:
+    """How much each slot counts: 1 / standard deviation where the means of some grade and the others differ by a t of
+    `full` or more, less by the fourth power of t / full below, 0 below `least`. Keeps the many rare slots from fitting noise."""
+    size, n = (1 << WORD_BITS) + (1 << TRIGRAM_BITS), design.rows
+    total = np.bincount(design.slot, weights=design.value, minlength=size)
+    square = np.bincount(design.slot, weights=design.value**2, minlength=size)
+    spread = np.maximum(square / max(1, n) - (total / max(1, n)) ** 2, 1e-12)
+    best = np.zeros(size)
+    for g in np.unique(grade):
+        mine = grade == g
+        k = int(mine.sum())
+        if k < n:
+            own = np.bincount(design.slot, weights=design.value * mine[design.row], minlength=size)
+            best = np.maximum(best, np.abs(own / k - (total - own) / (n - k)) / np.sqrt(spread * (1 / k + 1 / (n - k))))
+    return np.where(best >= least, np.minimum(1.0, best / full) ** 4 / np.sqrt(spread), 0.0)
+
+
+def fit_cumulative_link(design: Design, grade: np.ndarray, grades: int, weight: np.ndarray | None = None, steps: int = 200, decay: float = 1e-2, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds of P(y <= k) = sigmoid(threshold[k] - score). weight: of each row, alike if None.
+
+    Only telling slots get a weight, on standardised frequencies. Thresholds are a first one and positive gaps. Adam
+    steps over all rows, from zero weights."""
     size = (1 << WORD_BITS) + (1 << TRIGRAM_BITS)
     w, free = np.zeros(size), np.concatenate([[-0.7], np.full(grades - 2, 0.3)])
     if not design.rows:
         return w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-    count = np.bincount(grade, minlength=grades)
-    share = 1 / (count[grade] * (count > 0).sum())
+    scale = telling(design, grade)
+    part = copy(design)
+    used = scale[design.slot] > 0
+    part.slot, part.row = design.slot[used], design.row[used]
+    part.value = design.value[used] * scale[part.slot]
+    design = part
+    share = np.full(len(grade), 1 / len(grade)) if weight is None else weight / weight.sum()
     moments = [np.zeros(size), np.zeros(size), np.zeros(len(free)), np.zeros(len(free))]
     for t in range(1, steps + 1):
         cuts = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
@@ -137,7 +165,7 @@ def fit_cumulative_link(design: Design, grade: np.ndarray, grades: int, steps: i
             moments[k] = 0.9 * moments[k] + 0.1 * g
             moments[k + 1] = 0.99 * moments[k + 1] + 0.01 * g * g
             x -= rate * (moments[k] / (1 - 0.9**t)) / (np.sqrt(moments[k + 1] / (1 - 0.99**t)) + 1e-8)
-    return w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+    return w * scale, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -26,10 +26,10 @@ def _above(cut: float) -> Column:
 
 def _rated(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataFrame, Column, Column]:
     """docs with a linear score, and the expected grade and tail probability on it."""
-    design, grade, _ = sampled(docs, grades(labels), sample_docs)
+    design, grade, _, weight = sampled(docs, grades(labels), sample_docs)
     if len(set(grade.tolist())) < 2:
         return docs.withColumn("__linear", F.lit(0.0)), F.lit(float(GRADES - 1)), F.lit(1.0)
-    weights, cuts = fit_cumulative_link(design, grade, GRADES)
+    weights, cuts = fit_cumulative_link(design, grade, GRADES, weight)
     return scored(docs, weights), sum((_above(c) for c in cuts[1:]), _above(cuts[0])), _above(cuts[-1])
 
 

@@ -29,14 +29,14 @@ class Rated:
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Rated | None:
     """Fit on four fifths of at most sample_docs labelled documents of each quality, calibrate on the rest."""
-    design, quality, fold = sampled(docs, labels.where("quality is not null").selectExpr("doc_id", "cast(quality as int) as grade").where("grade in (0, 1)"), sample_docs)
+    design, quality, fold, weight = sampled(docs, labels.where("quality is not null").selectExpr("doc_id", "cast(quality as int) as grade").where("grade in (0, 1)"), sample_docs)
     if len(set(quality[fold > 0].tolist())) < 2:
         return None
     design_rows = fold[design.row] > 0
     part = type(design)([])
     part.slot, part.value, part.row, part.rows = design.slot[design_rows], design.value[design_rows], np.cumsum(np.concatenate([[0], fold > 0]))[design.row[design_rows]], int((fold > 0).sum())
-    weights, _ = fit_cumulative_link(part, quality[fold > 0], 2)
-    slope, intercept = fit_logistic(design.dot(weights)[fold == 0], quality[fold == 0].astype(float))
+    weights, _ = fit_cumulative_link(part, quality[fold > 0], 2, weight[fold > 0])
+    slope, intercept = fit_logistic(design.dot(weights)[fold == 0], quality[fold == 0].astype(float), weight[fold == 0])
     return Rated(weights, slope, intercept)
 
 

@@ -4,7 +4,7 @@ Counts come from a sample of documents of bounded expected size per language (SA
 Characters are lower-cased, and every run without a letter becomes one blank. Orders 1 to ORDER: the
 highest has raw counts, lower ones the number of different characters before a gram; each has one
 discount d = n1 / (n1 + 2 n2). Probabilities of all grams that any language has seen stand in arrays sorted by
-gram hash, one column of log probabilities per language; grams that are not there back off to a
+gram hash, one column of log probabilities per language; languages that have not seen one have what backing off gives. Grams that are not there back off to a
 shorter one by the context's weight, also in sorted arrays. The language of the lowest
 cross-entropy per character wins. Its confidence is a logistic function, fitted on sampled
 documents that the models have not seen, of the margin to the next language; below REJECT it is rejected.
@@ -12,6 +12,7 @@ documents that the models have not seen, of the margin to the next language; bel
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ REJECT = 0.5
 #: Characters that numpy scores at once.
 CHARS = 1 << 20
 BLANK = 0x20
+_LETTER = re.compile("[A-Za-z]")
+_STEP = np.uint64(0xD1342543DE82EF95)
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(ORDER + 1)]
 
 
@@ -35,23 +38,35 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def characters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, runs of other characters than letters as one blank, a blank around."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
-    kinds, which = np.unique(points, return_inverse=True)
-    letter = np.array([chr(c).isalpha() for c in kinds.tolist()])[which]
-    points = np.where(letter, points, BLANK)
-    keep = np.ones(len(points), dtype=bool)
-    keep[1:] = (points[1:] != BLANK) | (points[:-1] != BLANK)
-    return points[keep].astype(np.uint64)
+class Letters:
+    """Which code points are letters."""
+
+    def __init__(self) -> None:
+        self.table = np.fromiter((not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+    def points(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of lower-cased texts, runs of other characters than letters as one blank, a blank around each; and
+        where each text begins, with the end of the last."""
+        parts = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), dtype=np.uint32) for t in texts]
+        start = np.cumsum([0, *map(len, parts)])
+        points = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        letter = self.table[points]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # the first of a run of blanks
+        keep[start[:-1]] = True
+        before = np.concatenate([[0], np.cumsum(keep)])
+        return np.where(letter, points, BLANK)[keep].astype(np.uint64), before[start]
 
 
 def grams(points: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive characters."""
-    out = np.full(len(points) - n + 1, _SALT[n], dtype=np.uint64) if len(points) >= n else np.empty(0, np.uint64)
-    for k in range(n if len(out) else 0):
-        out = mixed(out ^ points[k : k + len(out)])
-    return out
+    if len(points) < n:
+        return np.empty(0, np.uint64)
+    out = np.full(len(points) - n + 1, _SALT[n], dtype=np.uint64)
+    for k in range(n):
+        out *= _STEP
+        out += points[k : k + len(out)]
+    return mixed(out)
 
 
 class Models:
@@ -61,22 +76,30 @@ class Models:
     def __init__(self, languages: list[str], counts: list[dict[tuple[int, ...], int]]) -> None:
         self.languages = languages
         made = [self._smoothed(c) for c in counts]
+        self.floor = np.log(np.array([m[2] for m in made]))
         self.gram, self.value, self.context, self.weight = [], [], [], []
+        lower: dict[tuple, np.ndarray] = {}
         for n in range(1, ORDER + 1):
-            every = sorted({g for m in made for g in m[0][n]})
-            self._put(n, every, made, 0, self.gram, self.value)
-            every = sorted({g for m in made for g in m[1][n]})
-            self._put(n - 1, every, made, 1, self.context, self.weight, n)
-        self.floor = np.log(np.array([m[2] for m in made]))
+            contexts = sorted({h for m in made for h in m[1][n]})
+            weight = np.array([[m[1][n].get(h, 1.0) for m in made] for h in contexts]).reshape(len(contexts), len(made))
+            weight = dict(zip(contexts, np.log(weight), strict=True))
+            every, now = sorted({g for m in made for g in m[0][n]}), {}
+            for g in every:
+                p = np.array([m[0][n].get(g, 0.0) for m in made])
+                back = weight[g[:-1]] + (lower[g[1:]] if n > 1 else self.floor)
+                now[g] = np.where(p > 0, np.log(np.maximum(p, 1e-300)), back)
+            for keys, values, names, found, length in ((self.gram, self.value, every, now, n), (self.context, self.weight, contexts, weight, n - 1)):
+                key, table = self._sorted(names, length, np.array([found[g] for g in names]).reshape(len(names), len(made)))
+                keys.append(key)
+                values.append(table)
+            lower = now
 
-    def _put(self, length: int, every: list, made: list, part: int, keys: list, values: list, n: int | None = None) -> None:
-        n = n or length
+    @staticmethod
+    def _sorted(every: list, length: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         points = np.array(every, dtype=np.uint64).reshape(len(every), length)
         key = np.array([grams(p, length)[0] if length else _SALT[0] for p in points], dtype=np.uint64)
-        table = np.array([[m[part][n].get(g, np.nan) for m in made] for g in every], dtype=np.float64).reshape(len(every), len(made))
         order = np.argsort(key)
-        keys.append(key[order])
-        values.append(np.log(table[order]))
+        return key[order], table[order]
 
     @staticmethod
     def _smoothed(counts: dict[tuple[int, ...], int]) -> tuple[dict, dict, float]:
@@ -100,36 +123,47 @@ class Models:
         return prob, weight, uniform
 
     def log_probability(self, points: np.ndarray) -> np.ndarray:
-        """Sum of log probabilities of each character after the first ORDER - 1, by language."""
+        """Log probability of each character after the first ORDER - 1, by language."""
         out = np.zeros((max(0, len(points) - ORDER + 1), len(self.languages)))
-        missing = np.ones_like(out, dtype=bool)
+        rows = np.arange(len(out))
         for n in range(ORDER, 0, -1):
-            key = grams(points, n)[ORDER - n :]
-            rows = np.flatnonzero(missing.any(axis=1))
             if not len(rows):
                 break
-            value = self._get(self.gram[n - 1], self.value[n - 1], key[rows])
-            weight = self._get(self.context[n - 1], self.weight[n - 1], grams(points, n - 1)[ORDER - n : ORDER - n + len(out)][rows] if n > 1 else np.full(len(rows), _SALT[0]))
-            m = missing[rows]
-            seen = m & ~np.isnan(value)
-            out[rows] += np.where(seen, value, np.where(m, np.nan_to_num(weight), 0))
-            missing[rows] = m & ~seen
-        return (out + np.where(missing, self.floor, 0)).sum(axis=0)
-
-    def _get(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            key = grams(points, n)[ORDER - n :]
+            value, seen = self._get(self.gram[n - 1], self.value[n - 1], key if n == ORDER else key[rows])
+            out[rows[seen]] += value
+            rows = rows[~seen]
+            context = grams(points, n - 1)[ORDER - n : ORDER - n + len(out)][rows] if n > 1 else np.full(len(rows), _SALT[0])
+            weight, known = self._get(self.context[n - 1], self.weight[n - 1], context)
+            out[rows[known]] += weight
+        out[rows] += self.floor
+        return out
+
+    @staticmethod
+    def _get(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys that are there, and which are."""
         if not len(keys):
-            return np.full((len(wanted), len(self.languages)), np.nan)
+            return values, np.zeros(len(wanted), dtype=bool)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], values[at], np.nan)
-
-    def entropies(self, text: str) -> np.ndarray:
-        """Cross-entropy per character, by language."""
-        points = characters(text)
-        total, n = np.zeros(len(self.languages)), max(1, len(points) - ORDER + 1)
-        points = np.concatenate([np.full(max(0, ORDER - len(points)), BLANK, dtype=np.uint64), points])
+        seen = keys[at] == wanted
+        return values[at[seen]], seen
+
+    def entropies(self, texts: list[str], letters: Letters) -> np.ndarray:
+        """Cross-entropy per character of each text, by language."""
+        points, start = letters.points(texts)
+        total = np.zeros((len(texts), len(self.languages)))
+        width = np.diff(start) - ORDER + 1
+        for k in np.flatnonzero(width < 1).tolist():  # letters too few for one gram: blanks before them
+            own = np.concatenate([np.full(ORDER, BLANK, dtype=np.uint64), points[start[k] : start[k + 1]]])
+            total[k] = self.log_probability(own).sum(axis=0)
+        row = np.repeat(np.arange(len(texts)), np.diff(start))
         for k in range(0, len(points) - ORDER + 1, CHARS):
-            total += self.log_probability(points[k : k + CHARS + ORDER - 1])
-        return -total / n
+            value = self.log_probability(points[k : k + CHARS + ORDER - 1])
+            first, last = row[k : k + len(value)], row[k + ORDER - 1 : k + ORDER - 1 + len(value)]
+            value[first != last] = 0
+            for j in range(value.shape[1]):
+                total[:, j] += np.bincount(first, weights=value[:, j], minlength=len(texts))
+        return -total / np.maximum(width, 1)[:, None]
 
 
 def margin(entropy: np.ndarray) -> tuple[int, float]:
@@ -149,15 +183,17 @@ class Identifier:
         return float(1 / (1 + np.exp(-(self.slope * gap + self.intercept))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and intercept by Newton steps, with one made-up case of either kind so that both exist."""
+    n = len(x)
+    c = np.append(np.ones(n) if weight is None else weight / max(weight.sum(), 1e-12) * n, [1.0, 1.0])
     x, y = np.append(x, [0.0, 0.0]), np.append(y, [0.0, 1.0])
     w = np.zeros(2)
     a = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - 1e-3 * w)
+        h = (a * (c * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, a.T @ (c * (y - p)) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -178,11 +214,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier | None:
     sample = pool.where(draw < share).select("text", "lang", fifth.alias("calibrates"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = Letters()
         for batch in batches:
             for part in slices(batch):
                 found: dict[tuple, int] = {}
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                    points = characters(text).astype(np.uint32)
+                    points = letters.points([text])[0].astype(np.uint32)
                     for k in range(0, len(points) - ORDER + 1, CHARS):
                         window = np.lib.stride_tricks.sliding_window_view(points[k : k + CHARS + ORDER - 1], ORDER)
                         for g, c in zip(*np.unique(np.ascontiguousarray(window).view(f"V{4 * ORDER}").ravel(), return_counts=True), strict=True):
@@ -201,9 +238,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier | None:
     sent = send(docs.sparkSession, models)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = received(sent)
+        known, letters = received(sent), Letters()
         for batch in batches:
-            found = [margin(known.entropies(t)) for t in batch.column("text").to_pylist()]
+            found = [margin(known.entropies([t], letters)[0]) for t in batch.column("text").to_pylist()]
             right = [known.languages[b] == x for (b, _), x in zip(found, batch.column("lang").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.float64()), pa.array(right, pa.bool_())], ["gap", "right"])
 
@@ -221,18 +258,16 @@ def identify(docs: DataFrame, identifier: Identifier | None, reject: float = REJ
     sent = send(docs.sparkSession, identifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = received(sent)
+        known, letters = received(sent), Letters()
         for batch in batches:
             for part in slices(batch):
-                lang, score = [], []
-                for text in part.column("text").to_pylist():
-                    if known is None or text is None or not any(map(str.isalpha, text)):
-                        lang.append("und")
-                        score.append(0.0)
-                        continue
-                    best, gap = margin(known.models.entropies(text))
-                    lang.append(known.models.languages[best])
-                    score.append(known.confidence(gap))
+                texts = part.column("text").to_pylist()
+                lang, score = ["und"] * len(texts), [0.0] * len(texts)
+                some = [k for k, t in enumerate(texts) if known and t is not None and (_LETTER.search(t) or any(map(str.isalpha, t)))]
+                entropy = known.models.entropies([texts[k] for k in some], letters) if some else []
+                for k, e in zip(some, entropy, strict=True):
+                    best, gap = margin(e)
+                    lang[k], score[k] = known.models.languages[best], known.confidence(gap)
                 score = pa.array(score, pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), score, pc.less(score, reject)], ["doc_id", "lang_pred", "score", "rejected"])
 

@@ -71,10 +71,11 @@ def received(sent: Broadcast) -> object:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there."""
+    """Write df to the shared folder and read it back: its lineage ends there, and what its plan left behind can go."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -79,10 +79,13 @@ def test_ngram_groups_odd(spark, odd, empty):
 
 def test_simhash_is_the_majority(spark):
     rng = random.Random(3)
-    rows = [(["w%d" % rng.randrange(99) for _ in range(n)],) for n in (1, 2, 3, 50, 126, 127, 128, 300)]
-    got = spark.createDataFrame(rows, "words array<string>").select("words", linededup.simhash("words").alias("s"), F.expr("transform(words, w -> xxhash64(w))").alias("h"))
-    for r in got.collect():
-        assert r["s"] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r["h"]) > len(r["h"]))
+    rows = [(k, " ".join("w%d" % rng.randrange(99) for _ in range(n))) for k, n in enumerate((5, 6, 7, 50, 127, 300, 70_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = docs.select("doc_id", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
+    got = linededup.occurrences(docs).join(hashes, "doc_id").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["sim"] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r["h"]) > len(r["h"]))
 
 
 def test_line_dedup(spark):
@@ -96,6 +99,10 @@ def test_line_dedup(spark):
     assert got[4]["text"] == "" and (got[4]["n_lines"], got[4]["n_removed"]) == (2, 2) and got[5]["text"] == ""
     similar = spark.range(1).select(linededup.similar(f"'{a.lower()}'", f"'{near.lower()}'").alias("x"), linededup.similar(f"'{a}'", f"'{c}'").alias("y")).first()
     assert similar["x"] and not similar["y"]
+    long = [line(2000) for _ in range(2)]
+    edited = " ".join(w if k % 20 else "other" for k, w in enumerate(long[0].split()))
+    similar = spark.range(1).select(linededup.similar(f"'{long[0]}'", f"'{edited}'").alias("x"), linededup.similar(f"'{long[0]}'", f"'{long[1]}'").alias("y")).first()
+    assert similar["x"] and not similar["y"]
 
 
 def edit_distance(a, b):

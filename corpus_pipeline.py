@@ -15,7 +15,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that has lost lines and has no word left goes too."""
-    out = linededup.dedup_lines(docs, counts=("__n_lines", "__n_removed"))
+    out = linededup.dedup_lines(docs, counts=("__n_lines", "__n_removed"), whole=True)
     return out.where("__n_removed = 0 or text rlike '[^ \\t-\\r]'").select(*[f"`{c}`" for c in docs.columns])
 
 

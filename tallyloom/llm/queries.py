@@ -46,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"), whole=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

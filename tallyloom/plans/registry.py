@@ -281,8 +281,17 @@ def field_accuracy(t):
  SELECT model_name, count(*) AS cases, count(*) FILTER (evaluation_type = 'exact') AS evaluated_cases, count(*) FILTER (evaluation_type = 'judge') AS skipped_cases, round(avg((upper(text) = text)::INT) FILTER (evaluation_type = 'exact'), 9) AS exact_match_rate,
  round(avg((n = lower(trim(regexp_replace(upper(text), '\\s+', ' ', 'g'))))::INT) FILTER (evaluation_type = 'exact'), 9) AS normalized_exact_match_rate FROM s GROUP BY 1""")
 def text_normalized_match(t):
-    ascii_only = t("conversations").where("text rlike '^[\\\\x00-\\\\x7F]*$'")
-    rows = ascii_only.select(F.col("conv_id").alias("case_id"), F.col("role").alias("model_name"), F.when(F.col("turn") % 2 == 0, "exact").otherwise("judge").alias("evaluation_type"), F.upper("text").alias("expected_output"), F.col("text").alias("model_output"))
+    return turns_match(t("conversations").where("text rlike '^[\\\\x00-\\\\x7F]*$'"))
+
+
+@query()
+def text_normalized_match_all(t):
+    return turns_match(t("conversations"))
+
+
+def turns_match(turns: DataFrame) -> DataFrame:
+    """Match rates of turns with their upper-cased text, whatever the script."""
+    rows = turns.select(F.col("conv_id").alias("case_id"), F.col("role").alias("model_name"), F.when(F.col("turn") % 2 == 0, "exact").otherwise("judge").alias("evaluation_type"), F.upper("text").alias("expected_output"), F.col("text").alias("model_output"))
     return summary.metrics_summary(jsonscore.score_outputs(rows)).select("model_name", "cases", "evaluated_cases", "skipped_cases", "exact_match_rate", "normalized_exact_match_rate")
 
 

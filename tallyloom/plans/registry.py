@@ -461,6 +461,13 @@ def evidence_pages(t):
     return family.first_evidence_page(pages, wanted).select(F.col("field").alias("item_id"), "page")
 
 
+@query("SELECT item_id, min(doc_id) AS page FROM (SELECT item_id, lower(text) AS c FROM benchmark) b LEFT JOIN (SELECT doc_id, lower(text) AS t FROM documents) d ON contains(t, c) GROUP BY 1")
+def evidence_pages_whole(t):
+    pages = t("documents").select(F.lit(1).alias("document_id"), F.col("doc_id").alias("page"), "text")
+    wanted = t("benchmark").select(F.lit(1).alias("document_id"), F.col("item_id").alias("field"), F.array("text").alias("candidates"))
+    return family.first_evidence_page(pages, wanted).select(F.col("field").alias("item_id"), "page")
+
+
 @query()
 def balanced_cohort(t):
     return cohort.balanced_units(t("customer"), "c_custkey", ["c_mktsegment", "c_nationkey"], 60, 5)

@@ -16,3 +16,11 @@ def test_text_normalized_match_takes_every_script(spark, tmp_path):
     assert got["user"]["evaluated_cases"] == len(mine)
     assert got["user"]["exact_match_rate"] == round(sum(s.upper() == s for s in mine) / len(mine), 9)
     assert got["user"]["normalized_exact_match_rate"] == round(sum(normal_text(s.upper(), TextRules()) == normal_text(s, TextRules()) for s in mine) / len(mine), 9)
+
+
+def test_evidence_pages_search_whole_texts(spark, tmp_path):
+    item = "an opening of more than forty characters, and then the rest of it"
+    spark.createDataFrame([(1, item[:50]), (2, f"before {item.upper()} after"), (3, item)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item), (8, item + " elsewhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: r["page"] for r in registry.QUERIES["evidence_pages_whole"](spark, str(tmp_path)).collect()}
+    assert got == {7: 2, 8: None}

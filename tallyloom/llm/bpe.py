@@ -3,7 +3,8 @@
 A text is cut into pieces by the GPT-2 pattern, as runs of character classes found in numpy. Each
 piece that a task meets for the first time goes, as byte-to-character mapped text, through a
 `tokenizers` BPE model; its ids are kept in a bounded store under the piece's hash, in sorted arrays. Ids of
-a text are gathered from there. Every split of a token into two tokens is a merge at that token's
+a text are gathered from there, and decoded to see that their bytes are the text's: where they are not, two pieces
+share a hash, and the pieces of that batch are told apart by their bytes. Every split of a token into two tokens is a merge at that token's
 rank, which is how rank files are read. Token lengths in bytes give the offsets of each id in bytes and, by
 the bytes that begin a character, in characters; decoding gathers each id's bytes from a table, so
 a character that several ids share comes out whole.
@@ -185,12 +186,29 @@ class Encoder:
             order = np.argsort(np.concatenate([self.known, key[new]]), kind="stable")
             self.known, self.at, self.size = np.concatenate([self.known, key[new]])[order], self.at[order], self.size[order]
         here = np.searchsorted(self.known, key)[which]
-        size = self.size[here]
-        total = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[here] - total + size, size) + np.arange(int(total[-1]))]
+        ids, total = self.gathered(self.at[here], self.size[here], self.pool)
+        back = self.decode(ids)
+        if len(back) != len(data) or not np.array_equal(back, data):
+            ids, total = self.by_bytes(data, start, end)
         before = np.concatenate([[0], total])[np.searchsorted(start, off)]
         return ids, before, data, off
 
+    @staticmethod
+    def gathered(at: np.ndarray, size: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many there are up to each piece's end."""
+        total = np.cumsum(size)
+        return pool[np.repeat(at - total + size, size) + np.arange(int(total[-1]))], total
+
+    def by_bytes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What gathered() gives, for pieces known by their bytes instead of their hash."""
+        raw, seen, which, first = data.tobytes(), {}, np.empty(len(start), dtype=np.int64), []
+        for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            which[k] = seen.setdefault(raw[a:b], len(seen))
+            if which[k] == len(first):
+                first.append(k)
+        flat, count = self.merge(data, start[first], end[first])
+        return self.gathered((np.cumsum(count) - count)[which], count[which], flat)
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for."""
         size = self.length[ids]

@@ -6,6 +6,7 @@ object for each word. Hashes have 64 bits and depend on a word's bytes only.
 
 from __future__ import annotations
 
+import functools
 import gc
 import pickle
 import tempfile
@@ -50,11 +51,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where none is set, as in tests, a temporary folder."""
+    """spark.checkpoint.dir of the session, or the folder given to setCheckpointDir. Where neither is set, a temporary
+    folder if driver and tasks are one local process; on a cluster that is an error, as executors would not share it."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tallyloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
@@ -121,24 +125,42 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1, 1 << 62)) * 2 + 1
+PRIME = (1 << 61) - 1
+_BASE = int(np.random.Generator(np.random.PCG64(20240229)).integers(1 << 40, PRIME))
+_LOW30, _LOW31, _P = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1), np.uint64(PRIME)
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + a0 * b0)
+
+
+@functools.lru_cache(2)
 def _powers(base: int, most: int) -> np.ndarray:
-    out = np.full(most + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) <= most:
+        out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), PRIME)))])
+    return out[: most + 1]
 
 
 class Hasher:
-    """Hashes of byte spans: differences of prefix sums of byte value times a power of an odd base."""
+    """Hashes of byte spans: polynomials in a fixed base modulo the prime 2 ** 61 - 1, as differences of prefix sums.
+
+    Prefix sums of the low and high halves of byte times power stay exact integers over a block. Two different spans of
+    n bytes agree for at most n of all bases; who needs equal bytes for sure compares them (same_bytes)."""
 
     def __init__(self, block: int = HASH_BLOCK) -> None:
         self.block = block
-        self.up = _powers(_BASE, block)
-        self.down = _powers(pow(_BASE, -1, 1 << 64), block)
+        up = _powers(_BASE, block)
+        self.low, self.high = up & _LOW31, up >> np.uint64(31)
+        self.down = _powers(pow(_BASE, -1, PRIME), block)
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.empty(len(start), dtype=np.uint64)
@@ -150,21 +172,41 @@ class Hasher:
                 out[at] = self._long(data[base : end[at]])
                 at += 1
                 continue
-            part = data[base : end[to - 1]]
-            sums = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[part] * self.up[: len(part)], out=sums[1:])
             s, e = start[at:to] - base, end[at:to] - base
-            out[at:to] = (sums[e] - sums[s]) * self.down[s]
+            out[at:to] = times(self._sums(data[base : end[to - 1]], s, e), self.down[s])
             at = to
         return mixed(out + (end - start).astype(np.uint64))
 
+    def _sums(self, part: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Sums over spans of byte plus one times power of the place in part."""
+        value, sums = part.astype(np.uint64) + np.uint64(1), np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(value * self.high[: len(part)], out=sums[1:])
+        high = sums[e] - sums[s]
+        np.cumsum(value * self.low[: len(part)], out=sums[1:])
+        return _reduced(((high & _LOW30) << np.uint64(31)) + (high >> np.uint64(30)) + sums[e] - sums[s])
+
     def _long(self, part: np.ndarray) -> np.uint64:
         total = 0
         for k in range(0, len(part), self.block):
             piece = part[k : k + self.block]
-            value = int((_BYTE[piece] * self.up[: len(piece)]).sum(dtype=np.uint64))
-            total += value * pow(_BASE, k, 1 << 64)
-        return np.uint64(total % (1 << 64))
+            total += int(self._sums(piece, np.array([0]), np.array([len(piece)]))[0]) * pow(_BASE, k, PRIME)
+        return np.uint64(total % PRIME)
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which spans of a equal the span of b in the same place of the list."""
+    size = a_end - a_start
+    out = size == b_end - b_start
+    pairs = np.flatnonzero(out & (size > 0))
+    step = 1 << 16
+    for k in range(0, len(pairs), step):
+        some = pairs[k : k + step]
+        n = size[some]
+        first = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(first, n)
+        differ = a[np.repeat(a_start[some], n) + within] != b[np.repeat(b_start[some], n) + within]
+        out[some] = ~np.logical_or.reduceat(differ, first)
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

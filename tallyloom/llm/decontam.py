@@ -15,14 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Hasher, Words, slices, stored
+from .common import ALNUM, Hasher, Words, received, same_bytes, send, slices
 
 WINDOW = 10
 #: Symbols of runs after which a shard's index is built, and bytes of phrases that are searched at once.
 SHARD_SYMBOLS, BLOCK_BYTES = 400_000, 8 << 20
+#: Bytes of rows that a task holds for one search.
+BUFFER_BYTES = 24 << 20
 #: One in so many suffix positions is kept.
 SAMPLE = 8
 
@@ -117,21 +120,43 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of a block of benchmark items: word hashes to symbols, and the items of each window."""
+    """Windows of a block of benchmark items: words, by hash and bytes, to symbols, and the items of each window."""
 
     def __init__(self, items: list[tuple], window: int) -> None:
         words = Words(pa.array([text for _, text in items], pa.string()), ALNUM, Hasher())
         self.names = [name for name, _ in items]
-        self.vocabulary, symbol = np.unique(words.hash, return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
+        raw, known = words.data.tobytes(), {}
+        symbol = np.array([known.setdefault(raw[a:b], len(known) + 1) for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)], dtype=np.int64)
+        _, first = np.unique(symbol, return_index=True)
+        order = np.argsort(words.hash[first], kind="stable")
+        self.hash, self.symbol = words.hash[first][order], order + 1
+        self.data, self.start, self.end = words.data, words.start[first][order], words.end[first][order]
+        self.alike = int(np.unique(self.hash, return_counts=True)[1].max(initial=0))  # most words of one hash
         by_length: dict[int, dict[bytes, set[int]]] = {}
         for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
             size = min(window, int(b - a))
             for s in range(a, b - size + 1) if size else ():
                 by_length.setdefault(size, {}).setdefault(symbol[s : s + size].tobytes(), set()).add(k)
-        self.groups = [(size, np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, size), [np.array(sorted(v)) for v in found.values()]) for size, found in sorted(by_length.items())]
+        self.groups = []  # of each length: windows, and the items of all windows, with each window's range of them
+        for size, found in sorted(by_length.items()):
+            rows = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, size)
+            held = np.cumsum([0, *map(len, found.values())])
+            self.groups.append((size, rows, np.array([k for v in found.values() for k in sorted(v)], dtype=np.int64), held))
         self.shortest = self.groups[0][0] if self.groups else None
 
+    def symbols(self, words: Words) -> np.ndarray:
+        """The symbol of each word, 0 where no phrase has it."""
+        out = np.zeros(len(words.hash), dtype=np.int64)
+        if len(self.hash):
+            at = np.searchsorted(self.hash, words.hash)
+            for k in range(self.alike):
+                near = np.minimum(at + k, len(self.hash) - 1)
+                some = np.flatnonzero((self.hash[near] == words.hash) & (out == 0))
+                near = near[some]
+                same = same_bytes(words.data, words.start[some], words.end[some], self.data, self.start[near], self.end[near])
+                out[some[same]] = self.symbol[near[same]]
+        return out
+
 
 class Shard:
     """Rows whose hits are still to be found."""
@@ -146,15 +171,13 @@ class Shard:
 
     def add(self, column: pa.Array) -> None:
         words = Words(column, ALNUM, self.hasher)
-        known = self.phrases.vocabulary
         row = self.rows + words.row_of_word()
         self.words.append(words.counts())
         self.rows += words.rows()
-        if not len(known) or not len(words.hash):
+        if not len(self.phrases.hash) or not len(words.hash):
             self.total += len(words.hash)
             return
-        at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
-        symbol = np.where(known[at] == words.hash, at + 1, 0)
+        symbol = self.phrases.symbols(words)
         edge = np.flatnonzero(np.diff(row, prepend=-1, append=self.rows))
         inside = np.zeros(len(symbol) + 2, dtype=bool)
         inside[1:-1] = symbol > 0
@@ -180,9 +203,9 @@ class Shard:
         first = np.concatenate([[0], np.cumsum(count)])
         change, pairs = np.zeros(self.total + 1, dtype=np.int64), []
         if self.size:
-            index = FMIndex(np.concatenate(self.text), len(self.phrases.vocabulary))
+            index = FMIndex(np.concatenate(self.text), len(self.phrases.hash))
             run_start, run_word = np.concatenate(self.run_start), np.concatenate(self.run_word)
-            for size, rows, items in self.phrases.groups:
+            for size, rows, items, held in self.phrases.groups:
                 low, high = index.search(rows)
                 n = high - low
                 if not n.sum():
@@ -196,8 +219,9 @@ class Shard:
                 row = np.searchsorted(first, word, side="right") - 1
                 both = np.unique(row * len(rows) + which)
                 row, which = both // len(rows), both % len(rows)
-                held = np.array([len(items[w]) for w in which])
-                pairs.append(np.unique(np.repeat(row, held) * len(self.phrases.names) + np.concatenate([items[w] for w in which])))
+                n = held[which + 1] - held[which]
+                item = items[np.repeat(held[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                pairs.append(np.unique(np.repeat(row, n) * len(self.phrases.names) + item))
         hit = np.cumsum(change)[: self.total] > 0
         found = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         names = max(1, len(self.phrases.names))
@@ -217,19 +241,60 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield block
 
 
-def _sharded(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], tuple]]:
-    shard, waiting, held = Shard(phrases), [], 0
+def sent_blocks(docs: DataFrame, benchmark: DataFrame, window: int) -> list[Broadcast]:
+    """Phrases of each block of items, sent to executors, which hold one block of bounded size at a time."""
+    return [send(docs.sparkSession, Phrases(items, window)) for items in blocks_of(benchmark)]
+
+
+class Searcher:
+    """Hits of all blocks in the columns of a task."""
+
+    def __init__(self, blocks: list[Broadcast]) -> None:
+        self.blocks, self.only = blocks, received(blocks[0]) if len(blocks) == 1 else None
+
+    def __call__(self, columns: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray, list[list[str]]]]:
+        """For each column: the range of words of each row, which words are hit, and the names of each row's items."""
+        out = []
+        for column in columns:
+            words = Words(column, ALNUM, None)
+            out.append((words.first, np.zeros(len(words.start), dtype=bool), [[] for _ in range(len(column))]))
+        for block in self.blocks:
+            phrases = self.only or received(block)
+            shard, waiting = Shard(phrases), []
+            for k, column in enumerate(columns):
+                shard.add(column)
+                waiting.append(k)
+                if shard.size >= SHARD_SYMBOLS or k == len(columns) - 1:
+                    first, hit, items = shard.hits()
+                    row = 0
+                    for w in waiting:
+                        rows = len(columns[w])
+                        out[w][1][:] |= hit[first[row] : first[row + rows]]
+                        for r in range(rows):
+                            out[w][2][r] += [phrases.names[i] for i in items[row + r] if phrases.names[i] is not None]
+                        row += rows
+                    shard.clear()
+                    waiting = []
+        return out
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, as many as have BUFFER_BYTES in all."""
+    waiting, held = [], 0
     for batch in batches:
         for part in slices(batch):
-            shard.add(part.column("text"))
             waiting.append(part)
             held += part.nbytes
-            if shard.size >= SHARD_SYMBOLS or held > 24 << 20:
-                yield waiting, shard.hits()
+            if held >= BUFFER_BYTES:
+                yield waiting
                 waiting, held = [], 0
-                shard.clear()
     if waiting:
-        yield waiting, shard.hits()
+        yield waiting
+
+
+def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
+    """First and past-the-last word of each run of hits."""
+    return np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() if hit.any() else []
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -239,96 +304,65 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     of `window` words; with fewer, but some, the whole item is one. spans are the merged word ranges that any
     occurrence covers. Null or empty texts have no words; a null item text has no window. An item
     without an id marks words but is not counted or named. Rows that repeat give repeated results, empty tables none or clean ones;
-    further columns are ignored. The benchmark goes out in blocks of bounded size, each a pass over all documents."""
-    kind = "doc_id long, text string, n_words long, spans array<struct<first:long,past:long>>, items array<string>"
-    now = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,past:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    done = 0
-    for items in _or_one_empty(blocks_of(benchmark)):
-        if done:
-            now = stored(now, "hits")
-        now = now.mapInArrow(_finder(Phrases(items, window)), kind)
-        done += 1
+    further columns are ignored. The benchmark goes out in blocks of bounded size; documents are read once."""
+    blocks = sent_blocks(docs, benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Searcher(blocks)
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+        for parts in gathered(batches):
+            for part, (first, hit, names) in zip(parts, search([p.column("text") for p in parts]), strict=True):
+                rows = [[{"first": a, "past": b} for a, b in spans_of(hit[first[r] : first[r + 1]])] for r in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(rows, kind), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+
+    now = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, spans array<struct<first:long,past:long>>, items array<string>")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["past"] - s["first"])
     names = F.array_sort(F.array_distinct("items"))
     return now.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans", names.alias("items"))
 
 
-def _or_one_empty(blocks: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
-    some = False
-    for block in blocks:
-        some = True
-        yield block
-    if not some:
-        yield []
-
-
-def _finder(phrases: Phrases):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, (first, hit, items) in _sharded(phrases, batches):
-            at = 0
-            for part in parts:
-                rows, known, names = [], part.column("spans").to_pylist(), part.column("items").to_pylist()
-                for r in range(part.num_rows):
-                    mine = hit[first[at + r] : first[at + r + 1]].copy()
-                    for s in known[r]:
-                        mine[s["first"] : s["past"]] = True
-                    edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2) if mine.any() else []
-                    rows.append([{"first": int(a), "past": int(b)} for a, b in edge])
-                    names[r] += [phrases.names[k] for k in items[at + r] if phrases.names[k] is not None]
-                count = pa.array(np.diff(first[at : at + part.num_rows + 1]), pa.int64())
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), count, pa.array(rows, kind), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
-                at += part.num_rows
-
-    return run
-
-
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the removal spans cut from text, and n_chars, where there is one, set anew.
 
-    Cut texts are searched again until nothing is found, as a cut brings other words together. A text
-    that is not hit stays byte for byte; every row and column stays."""
-    for items in _or_one_empty(blocks_of(benchmark)):
-        docs = docs.mapInArrow(_cutter(Phrases(items, window)), docs.schema)
-    if "n_chars" in docs.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs
-
-
-def _cutter(phrases: Phrases):
-    def cut(column: pa.Array, first: np.ndarray, hit: np.ndarray) -> tuple[list, list[int]]:
-        texts, changed = column.to_pylist(), []
-        for r, text in enumerate(texts):
-            mine = hit[first[r] : first[r + 1]]
-            if mine.any():
-                words = Words(pa.array([text], pa.string()), ALNUM, None)
-                edge = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                raw, out, at = words.raw.tobytes(), [], 0
-                for a, b in edge:
-                    out.append(raw[at : words.start[a]])
-                    at = int(words.end[b - 1])
-                texts[r] = b"".join([*out, raw[at:]]).decode()
-                changed.append(r)
-        return texts, changed
+    The spans of all blocks of the benchmark are cut at once, and cut texts are searched again until nothing is found, as
+    a cut brings other words together; so the result does not depend on blocks. A text that is not hit stays byte for
+    byte, a null one null; every row and column stays, rows that repeat are cut alike, an empty table stays empty, and an
+    empty benchmark cuts nothing."""
+    blocks = sent_blocks(docs, benchmark, window)
+
+    def cut(text: str, hit: np.ndarray) -> str:
+        words = Words(pa.array([text], pa.string()), ALNUM, None)
+        raw, out, at = words.raw.tobytes(), [], 0
+        for a, b in spans_of(hit):
+            out.append(raw[at : words.start[a]])
+            at = int(words.end[b - 1])
+        return b"".join([*out, raw[at:]]).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, (first, hit, _) in _sharded(phrases, batches):
-            at = 0
-            for part in parts:
-                texts, again = cut(part.column("text"), first[at : at + part.num_rows + 1] - first[at], hit[first[at] : first[at + part.num_rows]])
-                at += part.num_rows
-                while again:
-                    shard = Shard(phrases)
-                    shard.add(pa.array([texts[r] for r in again], pa.string()))
-                    found_first, found, _ = shard.hits()
-                    next_texts, changed = cut(pa.array([texts[r] for r in again], pa.string()), found_first, found)
-                    for k in changed:
-                        texts[again[k]] = next_texts[k]
-                    again = [again[k] for k in changed]
-                at_column = part.schema.get_field_index("text")
-                yield part.set_column(at_column, "text", pa.array(texts, part.schema.field("text").type))
-
-    return run
+        search = Searcher(blocks)
+        for parts in gathered(batches):
+            cuts: list[dict[int, str]] = [{} for _ in parts]
+            open_rows = [np.arange(p.num_rows) for p in parts]
+            columns = [p.column("text") for p in parts]
+            while any(len(rows) for rows in open_rows):
+                for k, (first, hit, _) in enumerate(search(columns)):
+                    marked = [r for r in range(len(columns[k])) if hit[first[r] : first[r + 1]].any()]
+                    for r in marked:
+                        cuts[k][int(open_rows[k][r])] = cut(columns[k][r].as_py(), hit[first[r] : first[r + 1]])
+                    open_rows[k] = open_rows[k][marked]
+                    columns[k] = pa.array([cuts[k][int(r)] for r in open_rows[k]], pa.string())
+            for part, changed in zip(parts, cuts, strict=True):
+                if changed:
+                    at, texts = part.schema.get_field_index("text"), part.column("text").to_pylist()
+                    for r, text in changed.items():
+                        texts[r] = text
+                    part = part.set_column(at, "text", pa.array(texts, part.schema.field("text").type))
+                yield part
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def digest(names: list[str]) -> str:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
-from .common import UNSPACED, Hasher, Words, mixed, received, send, shingles, slices, spans
+from .common import UNSPACED, Hasher, Words, mixed, received, same_bytes, send, shingles, slices, spans
 from .hashtext import SAMPLE_DOCS, fit_cumulative_link, sampled, scores
 from .langid import fit_logistic
 
@@ -53,21 +53,41 @@ def counts(column: pa.Array, hasher: Hasher) -> dict[str, np.ndarray]:
     line_row = np.searchsorted(off, begin, side="right") - 1
     worded = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
     begin, end, line_row = begin[worded], end[worded], line_row[worded]
-    _, first = np.unique(mixed(hasher(raw, begin, end) + line_row.astype(np.uint64) * _ROW), return_index=True)
+    _, first, which = np.unique(mixed(hasher(raw, begin, end) + line_row.astype(np.uint64) * _ROW), return_index=True, return_inverse=True)
     dup = np.bincount(line_row, minlength=rows) - np.bincount(line_row[first], minlength=rows)
+    unsure = set()  # rows in which lines or windows of one hash differ
+    again = np.flatnonzero(first[which] != np.arange(len(which)))
+    one = first[which[again]]
+    unsure |= set(line_row[again[~(same_bytes(raw, begin[again], end[again], raw, begin[one], end[one]) & (line_row[again] == line_row[one]))]].tolist())
     repeat = np.zeros(rows, dtype=np.int64)
     three = shingles(words.hash, 3)
     at = np.flatnonzero(row[2:] == row[:-2])
     if len(at):
-        _, which, n = np.unique(mixed(three[at] + row[at].astype(np.uint64) * _ROW), return_inverse=True, return_counts=True)
+        _, first, which, n = np.unique(mixed(three[at] + row[at].astype(np.uint64) * _ROW), return_index=True, return_inverse=True, return_counts=True)
         start = at[n[which] > 1]
+        one = at[first[which[n[which] > 1]]]
+        for k in range(3):
+            same = same_bytes(raw, words.start[start + k], words.end[start + k], raw, words.start[one + k], words.end[one + k])
+            wrong = ~(same & (row[start] == row[one]))
+            unsure |= {*row[start[wrong]].tolist(), *row[one[wrong]].tolist()}
         covered = np.zeros(len(row), dtype=bool)
         for k in range(3):
             covered[start + k] = True
         repeat = np.bincount(row[covered], minlength=rows)
+    for r in unsure:
+        dup[r], repeat[r] = _counted(raw[off[r] : off[r + 1]].tobytes())
     return {"n_words": n_words, "word_chars": total(UNSPACED[raw] & ((raw & 0xC0) != 0x80)), "n_symbols": total(SYMBOLS[raw]), "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
+def _counted(text: bytes) -> tuple[int, int]:
+    """n_dup_lines and n_repeat_words of one text, by its bytes."""
+    lines = [x for x in text.split(b"\n") if x.split()]
+    words = text.split()
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    covered = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    return len(lines) - len(set(lines)), len(covered)
+
+
 def apply_rules(docs: DataFrame, rated: Rated | None, keep: float = KEEP) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality).
 

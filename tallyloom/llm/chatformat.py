@@ -103,8 +103,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def read_back(output: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of format_turns' rows, by parsing them.
 
-    turns_sha256 is of role, newline, text, newline of each turn; loss_sha256 of all unescaped text under the loss mask;
-    loss_chars and formatted_chars count code points, the former of unescaped text."""
+    turns_sha256 is of role, newline, text, newline of each turn; loss_sha256 of all unescaped text under the loss mask, which
+    is the text of parsed assistant turns; loss_chars and formatted_chars count code points, the former of unescaped
+    text. Rows of a conversation are read in order of seq, each begins a turn; a null text is empty. Text that no turn parses
+    from, or a mask in loss_start and loss_end that is not the parsed one, is a ValueError that names conversation, seq and
+    place. An empty table gives an empty result; further columns are ignored."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
@@ -119,19 +122,24 @@ def read_back(output: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for conv, said, begin, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+            for conv, seq, said, begin, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seq", "formatted", "loss_start", "loss_end")), strict=True):
                 if now != (conv,):
                     out += row()
                     now, n, turns, loss_chars, loss, chars = (conv,), 0, hashlib.sha256(), 0, hashlib.sha256(), 0
-                at = 0
+                said, at, masked = said or "", 0, []
                 while at < len(said):
-                    role, text, at = parse(said, at)
+                    found = parse(said, at)
+                    if not found:
+                        raise ValueError(f"conversation {conv}, seq {seq}: no turn parses from character {at}")
+                    role, text, at = found
                     turns.update(f"{role}\n{text}\n".encode())
                     n += 1
-                if begin is not None:
-                    masked = unescape(said[begin:end])
-                    loss_chars += len(masked)
-                    loss.update(masked.encode())
+                    if role == "assistant":
+                        masked.append(text)
+                        loss_chars += len(text)
+                        loss.update(text.encode())
+                if masked != ([] if begin is None else [unescape(said[begin:end])]):
+                    raise ValueError(f"conversation {conv}, seq {seq}: the loss mask {begin} to {end} is not the assistant's text")
                 chars += len(said)
             yield batch_of(out)
         yield batch_of(row())

@@ -1,8 +1,8 @@
 """Linear models on hashed text: word and character n-gram frequencies, fitted on a bounded sample.
 
-A text's score is the mean weight of its words plus the mean weight of its byte trigrams, each found
-by hash. A word that equals the one before it also counts under a mark of its own. Scoring needs
-two gathers for each slice of an Arrow batch, and no object per word.
+A text's score is the sum of the mean weights of its words, of its word pairs and of its character trigrams, each
+found by hash. A word that equals the one before it also counts under a mark of its own. Scoring needs
+three gathers for each slice of an Arrow batch, and no object per word.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Hasher, Words, received, send, slices
+from .common import ALNUM, Hasher, Words, received, send, shingles, slices
 
-WORD_BITS, TRIGRAM_BITS = 17, 16
+WORD_BITS, PAIR_BITS, TRIGRAM_BITS = 17, 17, 16
+#: First slot of words, pairs and trigrams, and the number of all slots.
+BASES = [0, 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)]
+SLOTS = BASES[-1] + (1 << TRIGRAM_BITS)
 #: Labelled documents of each class that a model is fitted on, at most.
 SAMPLE_DOCS = 1200
 #: Frequencies are multiplied by it, which only sets the scale of weights.
@@ -27,31 +30,35 @@ SCALE = 30.0
 #: t statistics from which on a slot counts at all, and in full.
 TELLING = (2.0, 6.0)
 _AGAIN = np.uint64(0x2545F4914F6CDD1D)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def hashed(column: pa.Array, hasher: Hasher) -> tuple[Words, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """The words of a slice, and (slot, row) of each word feature and of each trigram."""
+def hashed(column: pa.Array, hasher: Hasher) -> tuple[Words, list[tuple[np.ndarray, np.ndarray]]]:
+    """The words of a slice, and (slot, row) of its word features, word pairs and trigrams of code points."""
     words = Words(column, ALNUM, hasher)
     row = words.row_of_word()
-    again = np.flatnonzero((words.hash[1:] == words.hash[:-1]) & (row[1:] == row[:-1])) + 1
-    slot = (np.concatenate([words.hash, np.full(len(again), _AGAIN)]) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    row = np.concatenate([row, row[again]])
-    raw = words.raw.astype(np.uint32)
-    byte_row = np.repeat(np.arange(words.rows()), np.diff(words.off))
-    if len(raw) < 3:
-        return words, (slot, row), (np.empty(0, np.int64), np.empty(0, np.int64))
-    whole = byte_row[2:] == byte_row[:-2]
-    code = (raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * np.uint32(2654435761)
-    return words, (slot, row), ((code >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int64)[whole], byte_row[2:][whole])
+    pair = np.flatnonzero(row[1:] == row[:-1]) + 1
+    again = pair[words.hash[pair] == words.hash[pair - 1]]
+    of = lambda h, bits: (h >> np.uint64(64 - bits)).astype(np.int64)
+    parts = [(of(np.concatenate([words.hash, np.full(len(again), _AGAIN)]), WORD_BITS), np.concatenate([row, row[again]])), (BASES[1] + of(shingles(words.hash, 2)[pair - 1], PAIR_BITS), row[pair])]
+    point = np.frombuffer(words.raw.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    if len(point) < 3:
+        return words, [*parts, (np.empty(0, np.int64), np.empty(0, np.int64))]
+    begun = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])[words.off]
+    point_row = np.repeat(np.arange(words.rows()), np.diff(begun))
+    whole = point_row[2:] == point_row[:-2]
+    # three code points of 21 bits are one number
+    code = ((point[:-2].astype(np.uint64) << np.uint64(42)) | (point[1:-1].astype(np.uint64) << np.uint64(21)) | point[2:]) * _SPREAD
+    return words, [*parts, (BASES[2] + of(code[whole], TRIGRAM_BITS), point_row[2:][whole])]
 
 
 def scores(column: pa.Array, hasher: Hasher, weights: np.ndarray) -> np.ndarray:
     """Linear score of each row."""
-    words, *parts = hashed(column, hasher)
+    words, parts = hashed(column, hasher)
     out = np.zeros(words.rows())
-    for (slot, row), w in zip(parts, (weights[: 1 << WORD_BITS], weights[1 << WORD_BITS :]), strict=True):
+    for slot, row in parts:
         n = np.bincount(row, minlength=len(out))
-        out += np.bincount(row, weights=w[slot], minlength=len(out)) / np.maximum(n, 1) * SCALE
+        out += np.bincount(row, weights=weights[slot], minlength=len(out)) / np.maximum(n, 1) * SCALE
     return out
 
 
@@ -89,14 +96,14 @@ def sampled(docs: DataFrame, classes: DataFrame, sample_docs: int = SAMPLE_DOCS)
         hasher = Hasher()
         for batch in batches:
             for part in slices(batch):
-                words, *parts = hashed(part.column("text"), hasher)
+                words, parts = hashed(part.column("text"), hasher)
                 slots, values = [[] for _ in range(words.rows())], [[] for _ in range(words.rows())]
-                for (slot, row), base in zip(parts, (0, 1 << WORD_BITS), strict=True):
+                for slot, row in parts:
                     order = np.argsort(row, kind="stable")
                     at = np.searchsorted(row[order], np.arange(words.rows() + 1))
                     for r in range(words.rows()):
                         found, n = np.unique(slot[order[at[r] : at[r + 1]]], return_counts=True)
-                        slots[r].append((found + base).astype(np.int32))
+                        slots[r].append(found.astype(np.int32))
                         values[r].append((n / max(1, n.sum()) * SCALE).astype(np.float32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("grade"), part.column("draw"), pa.array([np.concatenate(x).tobytes() for x in slots], pa.binary()), pa.array([np.concatenate(x).tobytes() for x in values], pa.binary())],
@@ -118,7 +125,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def telling(design: Design, grade: np.ndarray, least: float = TELLING[0], full: float = TELLING[1]) -> np.ndarray:
     """How much each slot counts: 1 / standard deviation where the means of some grade and the others differ by a t of
     `full` or more, less by the fourth power of t / full below, 0 below `least`. Keeps the many rare slots from fitting noise."""
-    size, n = (1 << WORD_BITS) + (1 << TRIGRAM_BITS), design.rows
+    size, n = SLOTS, design.rows
     total = np.bincount(design.slot, weights=design.value, minlength=size)
     square = np.bincount(design.slot, weights=design.value**2, minlength=size)
     spread = np.maximum(square / max(1, n) - (total / max(1, n)) ** 2, 1e-12)
@@ -137,7 +144,7 @@ def fit_cumulative_link(design: Design, grade: np.ndarray, grades: int, weight:
 
     Only telling slots get a weight, on standardised frequencies. Thresholds are a first one and positive gaps. Adam
     steps over all rows, from zero weights."""
-    size = (1 << WORD_BITS) + (1 << TRIGRAM_BITS)
+    size = SLOTS
     w, free = np.zeros(size), np.concatenate([[-0.7], np.full(grades - 2, 0.3)])
     if not design.rows:
         return w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))

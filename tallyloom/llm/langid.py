@@ -1,6 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-Counts come from a sample of documents of bounded expected size per language (SAMPLE_DOCS), whole texts each.
+Counts come from a sample of whole documents of each language, SAMPLE_DOCS in expectation and more where there are many
+(GROWTH times the root of their number), so that what is gathered grows with the corpus while the tables stay on one machine.
 Characters are lower-cased, and every run without a letter becomes one blank. Orders 1 to ORDER: the
 highest has raw counts, lower ones the number of different characters before a gram; each has one
 discount d = n1 / (n1 + 2 n2). Probabilities of all grams that any language has seen stand in arrays sorted by
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import mixed, received, send, slices
 
 ORDER = 4
-SAMPLE_DOCS = 400
+#: Documents of a language that are sampled, in expectation: the larger of a number and a multiple of the root of all there are.
+SAMPLE_DOCS, GROWTH = 400, 2.0
 REJECT = 0.5
 #: Characters that numpy scores at once.
 CHARS = 1 << 20
@@ -202,13 +204,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None)
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier | None:
     """Learn from text and non-null lang of documents that are not held out. The expected sample of a
-    language has sample_docs documents, a fifth of which calibrate. None if no language is there."""
+    language has sample_docs documents, or GROWTH times the root of the number there are where that is more; a fifth of
+    which calibrate. None if no language is there."""
     pool = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
         return None
     languages = sorted(sizes)
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample_docs / sizes[x]))) for x in languages])
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, max(sample_docs, GROWTH * sizes[x] ** 0.5) / sizes[x]))) for x in languages])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 20)) / F.lit(1 << 20)
     fifth = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0
     sample = pool.where(draw < share).select("text", "lang", fifth.alias("calibrates"))
@@ -275,6 +278,9 @@ def identify(docs: DataFrame, identifier: Identifier | None, reject: float = REJ
 
 
 def identify_documents(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, reject: float = REJECT) -> DataFrame:
-    """Train on docs (doc_id, text, lang), then (doc_id, held_out, lang_pred, score, rejected) for all of them."""
+    """Train on docs (doc_id, text, lang), then (doc_id, held_out, lang_pred, score, rejected) for all of them.
+
+    A null doc_id is not held out; null, empty and letterless texts are `und`; rows that repeat are predicted alike; an
+    empty table gives an empty result; other columns are ignored, whatever their names."""
     out = identify(docs, train(docs, sample_docs), reject)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import UNSPACED, Hasher, Words, mixed, release, sequence_hash, shingles, slices, stored, text_bytes
@@ -208,8 +207,10 @@ def inner_blocks(joined: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Spanning links (u, v) between the documents of `rows` (doc_id, n_shingles, keys), one per class."""
-    keys = rows.select(F.explode("keys").alias("h"), "doc_id").withColumns({"leader": F.min("doc_id").over(W.partitionBy("h")), "last": F.max("doc_id").over(W.partitionBy("h"))})
-    joined = stored(keys.where("leader < last").select("leader", "doc_id").distinct(), "blocks")
+    keys = rows.select(F.explode("keys").alias("h"), "doc_id")
+    # tasks sum up before the shuffle, and adaptive execution splits the join of a frequent key
+    lead = keys.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("h", "leader")
+    joined = stored(keys.join(stored(lead, "leaders"), "h").select("leader", "doc_id").distinct(), "blocks")
     size = joined.join(rows.select("doc_id", "n_shingles"), "doc_id").groupBy("leader").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("items"))
     size = size.join(inner_blocks(joined), "leader", "left_anti")
     # with c chunks, two of which make a block, a block has 2 / c of all
@@ -275,7 +276,10 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, whole and once each."""
+    """The rows of docs whose doc_id is the smallest of its group, with all their columns.
+
+    Null and empty texts, and null doc_ids, are in no group and stay; rows that repeat or share a doc_id stay or go
+    together; an empty table stays empty."""
     groups = ngram_groups(docs, n, percent)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

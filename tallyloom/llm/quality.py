@@ -45,6 +45,8 @@ def rate(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_docs: in
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of docs whose tail probability reaches keep, as they are."""
+    """The rows of docs whose tail probability reaches keep, as they are; without a model, all of them.
+
+    Null and empty texts, ties, repeated rows and empty tables are as in rate(); columns may have any name but `__linear`."""
     out, _, tail = _rated(docs, labels, sample_docs)
     return out.where(tail >= keep).drop("__linear")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, quality, rules
+from tallyloom.llm import hashtext, langid, quality, rules
+from tallyloom.llm.common import Hasher, shingles
 from tallyloom.llm.hashtext import Design, fit_cumulative_link
 
 SF = "/root/testdata/sf0.01"
@@ -26,16 +27,99 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert right[0] > 0.98 and 0 <= right[1] <= right[2] <= 1
 
 
+def models_of(texts):
+    counts = [Counter(tuple(t[k : k + langid.ORDER].encode("utf-32-le")[::4]) for k in range(len(t) - langid.ORDER + 1)) for t in texts]
+    return counts, langid.Models([str(k) for k in range(len(texts))], [dict(c) for c in counts])
+
+
 def test_kneser_ney_sums_to_one():
-    counts = Counter(tuple("abcab cabba"[k : k + langid.ORDER].encode()) for k in range(8))
-    m = langid.Models(["x"], [dict(counts)])
-    alphabet = sorted({g[-1] for g in counts} | {c for g in counts for c in g[1:]})
-    known = {g[-1] for n in range(1, langid.ORDER + 1) for g in counts}
-    for context in {g[:-1] for g in counts}:
-        total = sum(float(np.exp(m.log_probability(np.array([*context, c], dtype=np.uint64))[0, 0])) for c in known)
-        assert total <= 1.0001
-        assert total > 0.5
-    assert alphabet
+    """Over all known characters and one that is unknown, after contexts that are known, partly known and unknown."""
+    counts, m = models_of([" abcab cabba ab ", " xyzzy abx "])
+    for k, own in enumerate(counts):
+        known = {g[-1] for g in own} | {c for g in own for c in g[1:]}
+        for context in [*{g[:-1] for g in own}, (97, 98, 1), (1, 2, 3)]:
+            p = lambda c: float(np.exp(m.log_probability(np.array([*context, c], dtype=np.uint64))[0, k]))  # noqa: B023, E731
+            assert abs(sum(map(p, known)) + p(5000) - 1) < 1e-9
+
+
+def test_entropies_against_brute_force():
+    """Cross-entropy by the recursion of interpolated Kneser-Ney, on counts of grams of every order."""
+    counts, m = models_of([" abcab cabba ab ", " xyzzy abx "])
+
+    def probability(own, context, c):
+        level = {langid.ORDER: own}
+        for n in range(langid.ORDER - 1, 0, -1):
+            level[n] = Counter(g[1:] for g in level[n + 1])
+        p = 1 / (len(level[1]) + 1)
+        for n in range(1, langid.ORDER + 1):
+            h = context[len(context) - n + 1 :] if n > 1 else ()
+            here = {g: x for g, x in level[n].items() if g[:-1] == h}
+            if here:
+                one, two = (sum(x == v for x in level[n].values()) for v in (1, 2))
+                d = one / (one + 2 * two) if one and two else 0.5
+                p = max(here.get((*h, c), 0) - d, 0) / sum(here.values()) + d * len(here) / sum(here.values()) * p
+        return p
+
+    texts = ["abba cab", "xyz, ab!", "q", "Zzyx  Zzy"]
+    got = m.entropies(texts, langid.Letters())
+    for t, row in zip(texts, got, strict=True):
+        said = [ord(c) for c in re.sub(r"[^a-z]+", " ", f" {t.lower()} ")]
+        said = [32] * langid.ORDER + said if len(said) < langid.ORDER else said
+        for k, own in enumerate(counts):
+            logs = [np.log(probability(own, tuple(said[j : j + 3]), said[j + 3])) for j in range(len(said) - 3)]
+            width = max(1, len(said) - 3) if len(said) < 2 * langid.ORDER and t == "q" else len(logs)
+            assert abs(row[k] + sum(logs) / (1 if t == "q" else width)) < 1e-9
+
+
+def brute_score(text, weights):
+    """The linear score, counted feature by feature."""
+    hasher, parts = Hasher(), [[], [], []]
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    hashes = [hasher(d, np.array([0]), np.array([len(d)]))[0] for d in data]
+    for k, h in enumerate(hashes):
+        parts[0].append(int(h) >> (64 - hashtext.WORD_BITS))
+        if k:
+            parts[1].append(hashtext.BASES[1] + (int(shingles(np.array(hashes[k - 1 : k + 1]), 2)[0]) >> (64 - hashtext.PAIR_BITS)))
+            if words[k] == words[k - 1]:
+                parts[0].append(int(hashtext._AGAIN) >> (64 - hashtext.WORD_BITS))
+    for a, b, c in zip(text, text[1:], text[2:], strict=False):
+        code = (ord(a) << 42 | ord(b) << 21 | ord(c)) * int(hashtext._SPREAD) % (1 << 64)
+        parts[2].append(hashtext.BASES[2] + (code >> (64 - hashtext.TRIGRAM_BITS)))
+    return sum(hashtext.SCALE * float(np.mean([weights[s] for s in p])) for p in parts if p)
+
+
+def test_scores_against_brute_force(spark, empty):
+    """Scores, expected grades, tail probabilities and verdicts from the weights; ties at the threshold are kept."""
+    texts = ["Good words here, good words", "é日本 \U0001f600x", "", "ab", "bad bad bad  BAD", None, "one", "long " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    weights = np.random.default_rng(3).normal(size=hashtext.SLOTS).astype(np.float32)
+    got = {r["doc_id"]: r["__linear"] for r in hashtext.scored(docs, weights).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - brute_score(t or "", weights)) < 1e-4 * max(1, abs(got[k]))
+    model = rules.Rated(weights, 0.01, 0.2)
+    words = spark.createDataFrame([(k, f"{t} " + " ".join(f"w{j}" for j in range(60))) for k, t in enumerate(texts)], "doc_id long, text string")
+    said = {r["doc_id"]: r["text"] for r in words.collect()}
+    found = rules.apply_rules(words, model).collect()
+    for r in found:
+        want = 1 / (1 + np.exp(-(0.01 * brute_score(said[r["doc_id"]], weights) + 0.2)))
+        assert abs(r["quality"] - want) < 1e-5 and r["kept"] == (not r["base_failed"] and r["quality"] >= rules.KEEP)
+    tie = found[0]["quality"]
+    assert {r["doc_id"]: r["kept"] for r in rules.apply_rules(words, model, keep=tie).collect()}[found[0]["doc_id"]] == (not found[0]["base_failed"])
+
+
+@supplied
+def test_rating_against_brute_force(spark):
+    docs = read(spark, "documents").limit(60).cache()
+    labels = read(spark, "labels")
+    design, grade, _, weight = hashtext.sampled(read(spark, "documents"), quality.grades(labels))
+    weights, cuts = fit_cumulative_link(design, grade, quality.GRADES, weight)
+    whole = quality.rate(read(spark, "documents"), labels).join(docs.select("doc_id"), "doc_id", "left_semi").collect()
+    for r in whole:
+        above = [1 / (1 + np.exp(cut - brute_score(r["text"], weights.astype(np.float32)))) for cut in cuts]
+        assert abs(r["expected_grade"] - sum(above)) < 1e-4 and abs(r["tail_probability"] - above[-1]) < 1e-4
+        assert r["kept"] == (r["tail_probability"] >= quality.KEEP)
 
 
 def test_language_odd(spark, odd, empty):

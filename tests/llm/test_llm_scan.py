@@ -134,3 +134,23 @@ def test_chat_format(spark):
     assert got[1]["loss_chars"] == 7 and got[1]["loss_sha256"] == hashlib.sha256(b"a\\b</s>").hexdigest()
     assert got[3]["n_turns"] == 2 and got[2]["loss_chars"] == 0 and got[None]["n_turns"] == 1
     assert chatformat.read_back(chatformat.format_turns(turns.where("false"))).count() == 0
+
+
+def test_read_back_rejects_what_does_not_parse(spark):
+    kind = "conv_id long, seq long, formatted string, loss_start long, loss_end long"
+    read = lambda *rows: chatformat.read_back(spark.createDataFrame(list(rows), kind)).collect()
+    assert read((1, 0, "<s>[INST] a [/INST]", None, None), (1, 1, " b</s>", 1, 2))[0]["loss_chars"] == 1
+    with pytest.raises(Exception, match="conversation 7, seq 1: no turn parses from character 0"):
+        read((7, 0, "<s>[INST] a [/INST]", None, None), (7, 1, "<s>[INST] a", None, None))
+    for begin, end in ((None, None), (1, 1)):
+        with pytest.raises(Exception, match="loss mask"):
+            read((7, 0, " b</s>", begin, end))
+
+
+def test_long_conversations(spark):
+    """A very long text, and a conversation of very many turns."""
+    rows = [(1, 0, "user", "[INST] \\" * 200_000)] + [(2, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(20_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chatformat.read_back(chatformat.format_turns(turns)).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(f"user\n{rows[0][3]}\n".encode()).hexdigest() and got[2]["n_turns"] == 20_000
+    assert got[2]["loss_sha256"] == hashlib.sha256("".join(r[3] for r in rows[1:] if r[2] == "assistant").encode()).hexdigest()

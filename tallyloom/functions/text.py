@@ -6,6 +6,8 @@ function; ASCII texts stay in built-in expressions, where both agree.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -122,16 +124,90 @@ def number(text: Column) -> Column:
     return text.cast("string").try_cast("double")
 
 
-def number_spellings(value: str) -> list[str]:
-    """Ways in which a document may write a number: point or comma, grouped by blank, comma or point."""
-    whole, _, part = value.partition(".")
-    groups = [whole]
-    if whole.isdigit() and len(whole) > 3:
-        cut = len(whole) % 3 or 3
-        pieces = [whole[:cut], *(whole[k : k + 3] for k in range(cut, len(whole), 3))]
-        groups += [sep.join(pieces) for sep in (",", " ", " ", ".")]
-    out = [g + (sep + part if part else "") for g in groups for sep in ((".", ",") if part else ("",)) if not (part and sep in g)]
-    return list(dict.fromkeys(out))
+def number_spellings(value: Column) -> Column:
+    """Ways in which a document may write a number, in order: as it is, without a closing .0, with a comma or a blank for the
+    point, and, for whole numbers of four digits or more, grouped by commas or by blanks."""
+    grouped = F.format_number(value.try_cast("decimal(38,0)"), 0)
+    whole = value.rlike("^[0-9]{4,38}$")
+    every = F.array(
+        value,
+        F.when(value.endswith(".0"), F.substr(value, F.lit(1), F.length(value) - 2)),
+        F.translate(value, ".", ","),
+        F.translate(value, ".", " "),
+        F.when(whole, grouped),
+        F.when(whole, F.translate(grouped, ",", " ")),
+    )
+    return F.when(value.isNotNull(), F.array_distinct(F.array_compact(every)))
+
+
+def folded_text(value: Column) -> Column:
+    """Text for search in monographs: without signs, marks, punctuation and trade-mark letters, case folded, with a blank
+    around each % and single blanks between words."""
+    said = normalized(value, TextRules(form="NFKD", strip_marks=True, strip_punctuation=True))
+    said = F.regexp_replace(said, r"(?<![\p{L}\p{N}_])(?:pr|mc|tm)(?![\p{L}\p{N}_])", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(said, "%", " % "), r"\s+", " "))
+
+
+def json_strings(text: Column, strict: bool = False) -> Column:
+    """A JSON list as an array of strings. What is no list is an empty array or, strict, fails the query; null is empty."""
+    found = F.from_json(text, "array<string>")
+    fine = F.trim(text).startswith("[") & found.isNotNull()
+    other = F.raise_error(F.concat(F.lit("not a JSON list: "), F.substring(text, 1, 100))).cast("array<string>") if strict else F.array().cast("array<string>")
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(fine, found).otherwise(other)
+
+
+def canonical_sha256(text: Column) -> Column:
+    """SHA-256 of a JSON document with sorted keys and no blanks, so that equal documents have one hash; null if it is no JSON."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> str | None:
+            try:
+                return hashlib.sha256(json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+            except ValueError:
+                return None
+
+        return texts.map(one, na_action="ignore")
+
+    return run(text)
+
+
+def with_settings(text: str, settings: dict[str, str]) -> str:
+    """${NAME} and ${NAME:-default} replaced by settings, in defaults as well; a name without either is an error."""
+    pattern = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-((?:[^{}]|\{[^{}]*\})*))?\}")
+
+    def put(m: re.Match) -> str:
+        if settings.get(m[1]):
+            return settings[m[1]]
+        if m[2] is None:
+            raise KeyError(f"{m[1]} is not set")
+        return with_settings(m[2], settings)
+
+    return pattern.sub(put, text)
+
+
+def filled(template: str, columns: list[str]) -> Column:
+    """A prompt: {name} becomes the column's text (null: empty), {{ and }} are braces, and a name that is no column stays."""
+    parts = []
+    for m in re.finditer(r"\{\{|\}\}|\{([^{}]*)\}|[^{}]+|[{}]", template):
+        known = m[1] is not None and m[1] in columns
+        parts.append(F.coalesce(F.col(f"`{m[1]}`").cast("string"), F.lit("")) if known else F.lit({"{{": "{", "}}": "}"}.get(m[0], m[0])))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def percent(value: Column, digits: int = 1) -> Column:
+    """0.1234 as 12.3%; null as an empty text."""
+    return F.when(value.isNull(), "").otherwise(F.concat(F.format_string(f"%.{digits}f", value * 100), F.lit("%")))
+
+
+def dollars(value: Column, digits: int = 4) -> Column:
+    return F.when(value.isNull(), "").otherwise(F.concat(F.lit("$"), F.format_string(f"%,.{digits}f", value)))
+
+
+def strength(text: Column) -> Column:
+    """A strength as a number without needless zeros: whole where it is whole. Null where the text is no number."""
+    found = text.try_cast("decimal(38,10)")
+    return F.when(found.isNotNull(), F.regexp_replace(F.regexp_replace(found.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
 def complexity(pages: Column) -> Column:

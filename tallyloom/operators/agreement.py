@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import ratio, wilson
 
 #: Levels of judge validation, weakest first.
-LEVELS = ["exploratory", "screening", "decision_support", "operational"]
+LEVELS = ["exploratory", "calibrated", "decision_grade", "publishable"]
 
 
 def cohen_kappa(df: DataFrame, reference: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -86,8 +86,8 @@ def kappa_interval(df: DataFrame, reference: str, predicted: str, replicates: in
             same = sum(a == b for a, b in taken) / n
             left, right = pd.Series([a for a, _ in taken]).value_counts(), pd.Series([b for _, b in taken]).value_counts()
             chance = sum(left.get(k, 0) * right.get(k, 0) for k in left.index) / (n * n)
-            if chance < 1:
-                found.append((same - chance) / (1 - chance))
+            if chance < 1 or same == 1:  # one label alone on both sides agrees fully
+                found.append((same - chance) / (1 - chance) if chance < 1 else 1.0)
         s = pd.Series(found, dtype=float)
         return pd.DataFrame({"kappa_low": [s.quantile(0.025)], "kappa_high": [s.quantile(0.975)], "replicates": [len(s)]})
 
@@ -135,11 +135,18 @@ def gate_results(gates: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def achieved_level(results: DataFrame, levels: list[str] = LEVELS, synthetic: bool = False) -> DataFrame:
-    """One row: the highest level whose gates, and those of all lower levels, passed. Synthetic cases stay at the lowest."""
-    index = F.array_position(F.lit(levels), F.col("level"))
-    failed = results.agg(F.min(F.when(~F.col("passed"), index)).alias("failed"), F.max(index).alias("most"))
-    best = F.when(F.lit(synthetic), 1).otherwise(F.greatest(F.lit(1), F.least(F.col("most"), F.coalesce(F.col("failed") - 1, F.col("most")))))
-    return failed.select(F.try_element_at(F.lit(levels), best.cast("int")).alias("level"))
+    """One row: the highest level that is reached by results (level, passed).
+
+    A level is reached if there are gates for it or for levels below, all of these passed, and the levels before it are
+    reached; so without a gate of the second level nothing above the first is. Synthetic cases stay at the lowest. No gates, a
+    gate of the first or an unknown level, or one whose `passed` is null, fail the query."""
+    if synthetic:
+        return results.sparkSession.createDataFrame([(levels[0],)], "level string")
+    rank = F.array_position(F.lit(levels), F.coalesce("level", F.lit("")))
+    found = results.agg(F.count(F.lit(1)).alias("n"), F.count_if(rank < 2).alias("odd"), F.count_if(F.col("passed").isNull()).alias("unknown"), F.min(rank).alias("least"), F.min(F.when(~F.col("passed"), rank)).alias("failed"))
+    wrong = F.when(F.col("n") == 0, "there are no gates").when(F.col("odd") > 0, "a gate's level is the first or unknown").when(F.col("unknown") > 0, "a gate has no result")
+    best = F.when(F.col("least") > 2, 1).otherwise(F.coalesce(F.col("failed") - 1, F.lit(len(levels))))
+    return found.select(F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.try_element_at(F.lit(levels), best.cast("int"))).alias("level"))
 
 
 def claim_block(results: DataFrame, level: str, required: str, levels: list[str] = LEVELS) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import number_spellings, stable_id
+from ..functions.text import folded_text, number_spellings, stable_id, trimmed
 from .validate import first_reason
 
 
@@ -70,16 +72,50 @@ def parsed_record(text: Column) -> Column:
 
 
 def first_evidence_page(pages: DataFrame, wanted: DataFrame, document: str = "document_id") -> DataFrame:
-    """wanted (document, field, candidates array) with the first page that holds any candidate; pages: (document, page, text)."""
-    each = wanted.select(document, "field", F.explode("candidates").alias("candidate"))
-    met = each.join(pages.select(document, "page", F.lower("text").alias("__text")), document).where(F.col("__text").contains(F.lower("candidate")))
+    """wanted (document, field, candidates array) with the first page that holds any candidate; pages: (document, page, text).
+
+    Both are searched as folded_text, whole; a candidate of which nothing is left is not searched. Pages meet the
+    candidates of their own document only."""
+    each = wanted.select(document, "field", F.explode("candidates").alias("candidate")).select(document, "field", folded_text(F.col("candidate")).alias("candidate")).where("candidate <> ''")
+    met = each.join(pages.select(document, "page", folded_text(F.col("text")).alias("said")), document).where(F.col("said").contains(F.col("candidate")))
     found = met.groupBy(document, "field").agg(F.min("page").alias("page"))
     return wanted.join(found, [document, "field"], "left")
 
 
 def number_candidates(value: Column) -> Column:
-    @F.udf("array<string>", useArrow=True)
-    def spell(text: str) -> list[str]:
-        return number_spellings(text) if text else []
-
-    return spell(value)
+    """Spellings of a number to search for."""
+    return F.coalesce(number_spellings(value), F.array().cast("array<string>"))
+
+
+#: Why a drug record is no variant, in the order in which it is found.
+INELIGIBLE = [
+    "not_human", "missing_or_ambiguous_current_status", "current_status_not_marketed", "missing_french_status", "invalid_din", "missing_brand_name", "missing_or_ambiguous_din_owner",
+    "incomplete_din_owner", "incomplete_ingred_rows", "incomplete_form_rows", "incomplete_route_rows", "incomplete_schedule_rows", "non_numeric_strength",
+]
+
+
+def eligibility(drug: DataFrame, status: DataFrame, company: DataFrame, children: dict[str, DataFrame], required: dict[str, list[str]], strength: tuple[str, str] = ("ingred", "strength")) -> DataFrame:
+    """drug (drug_code, din, brand_name, class) with `reason`: the first that keeps it from being a variant, or null.
+
+    status: (drug_code, status, status_f, current) rows, of which one has to be current; company: (drug_code, company_code,
+    company_name, company_type), of which one has to own the DIN; children: tables by name whose required columns have to have
+    a value in every row, and that have to have rows. Each table is brought to a row per drug before it is joined."""
+    has = lambda c: F.coalesce(trimmed(F.col(c).cast("string")), F.lit("")) != ""
+    same = lambda c, word: F.lower(trimmed(F.col(c).cast("string"))) == word
+    now = status.where(F.coalesce(F.col("current"), F.lit(False))).groupBy("drug_code").agg(F.count(F.lit(1)).alias("n_status"), F.bool_and(F.coalesce(same("status", "marketed"), F.lit(False))).alias("marketed"), F.bool_and(has("status_f")).alias("french"))
+    owner = company.where(same("company_type", "din_owner")).groupBy("drug_code").agg(F.count(F.lit(1)).alias("n_owner"), F.bool_and(has("company_code") & has("company_name")).alias("owner"))
+    out = drug.join(now, "drug_code", "left").join(owner, "drug_code", "left")
+    for name, rows in children.items():
+        whole = [has(c) for c in required[name]]
+        fine = F.bool_and(reduce(lambda a, b: a & b, whole, F.lit(True)))
+        extra = [F.bool_and(F.coalesce(F.col(strength[1]).try_cast("decimal(38,10)").isNotNull(), F.lit(False))).alias("numeric")] if name == strength[0] else []
+        out = out.join(rows.groupBy("drug_code").agg(fine.alias(f"whole_{name}"), *extra), "drug_code", "left")
+    rules = [same("class", "human"), F.col("n_status") == 1, F.col("marketed"), F.col("french"), trimmed(F.col("din")).rlike(r"^\d{8}$"), has("brand_name"), F.col("n_owner") == 1, F.col("owner")]
+    rules += [F.col(f"whole_{n}") for n in ("ingred", "form", "route", "schedule")] + [F.col("numeric")]
+    return out.select(*drug.columns, first_reason(list(zip(INELIGIBLE, rules, strict=True))).alias("reason"))
+
+
+def stratum(ingredients: Column, variants: Column) -> Column:
+    """Complexity of a product family by its distinct ingredients and its variants."""
+    many, several = ingredients >= 2, variants >= 2
+    return F.when(many & several, "multi_ingredient_multi_variant").when(several, "multi_variant").when(many, "multi_ingredient").otherwise("single_ingredient")

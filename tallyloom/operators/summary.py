@@ -230,11 +230,12 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def run_counters(results: DataFrame) -> DataFrame:
-    """Rows, distinct cases and models, rows by evaluation source and type, of a run; one row."""
+    """Rows, distinct cases and models, rows by evaluation type and, where there is the column, by evaluation source, of a run; one row."""
+    sources = [F.count_if(F.col("evaluation_source") == s).alias(f"{s}_source_rows") for s in ("deterministic", "judge", "generation_error", "judge_error")] if "evaluation_source" in results.columns else []
     return results.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("case_id").alias("cases"), F.count_distinct("model_name").alias("models"),
         F.array_sort(F.collect_set("model_name")).alias("model_names"),
-        *[F.count_if(F.col("evaluation_type") == t).alias(f"{t}_rows") for t in ("exact", "json", "judge")],
+        *[F.count_if(F.col("evaluation_type") == t).alias(f"{t}_rows") for t in ("exact", "json", "judge")], *sources,
     )
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized
+
 
 class ContractError(ValueError):
     pass
@@ -46,18 +48,33 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def definition_conflicts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Keys with more than one value in a column that defines them; null counts as a value."""
-    kinds = [(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns]
-    wide = df.groupBy(key).agg(*kinds)
-    long = wide.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("kinds")) for c in columns])).alias("x"))
-    return _found(long.where("x.kinds > 1"), "conflicting definition", F.concat_ws("|", F.col(key).cast("string"), F.col("x.column")), F.col("x.kinds"))
+    """Keys with more than one value in a column that defines them; null counts as a value.
+
+    Least and greatest values find the conflicts in one pre-aggregated pass; values are counted for these keys and columns only."""
+    differ = [(F.min(c).isNotNull() & ((F.min(c) != F.max(c)) | (F.count(c) < F.count(F.lit(1))))).alias(c) for c in columns]
+    wide = df.groupBy(key).agg(*differ)
+    odd = wide.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("differs")) for c in columns])).alias("x")).where("x.differs").select(key, "x.column")
+    each = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(key, "x.column", "x.value")
+    kinds = each.join(odd, [key, "column"], "left_semi").distinct().groupBy(key, "column").agg(F.count(F.lit(1)).alias("kinds"))
+    return _found(kinds, "conflicting definition", F.concat_ws("|", F.col(key).cast("string"), F.col("column")), F.col("kinds"))
+
+
+def short_cases(df: DataFrame, case: str, model: str) -> DataFrame:
+    """Cases that lack a model: (rule, case, models that it has of all). One pre-aggregated pass and one row of totals."""
+    have = df.groupBy(case).agg(F.count_distinct(model).alias("have"))
+    every = df.agg(F.count_distinct(model).alias("every"))
+    short = have.join(F.broadcast(every), F.col("have") < F.col("every"))  # one row
+    return _found(short, "missing models", F.col(case), F.concat_ws(" of ", "have", "every"))
 
 
-def coverage_gaps(df: DataFrame, case: str, model: str) -> DataFrame:
-    """Pairs of a case and a model that have no row. Models are few; the pairs are cases times models, as asked."""
-    present = df.select(case, model).distinct()
-    wanted = df.select(case).distinct().crossJoin(df.select(model).distinct())
-    return _found(wanted.join(present, [case, model], "left_anti"), "missing pair", _key([case, model]), F.lit("absent"))
+def coverage_gaps(df: DataFrame, case: str, model: str, most_models: int = 10_000) -> DataFrame:
+    """Pairs of a case and a model that have no row: only cases that lack a model are expanded, by the list of all models, of
+    which there may be most_models."""
+    names = df.agg(F.array_sort(F.collect_set(model)).alias("every"))
+    few = names.select(F.when(F.size("every") > most_models, F.raise_error(F.lit("too many models"))).otherwise(F.col("every")).alias("every"))
+    have = df.groupBy(case).agg(F.collect_set(model).alias("have"))
+    gaps = have.join(F.broadcast(few), F.size("have") < F.size("every"))  # one row
+    return _found(gaps.select(case, F.explode(F.array_except("every", "have")).alias(model)), "missing pair", _key([case, model]), F.lit("absent"))
 
 
 def unknown_keys(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -70,7 +87,7 @@ def unknown_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 
 def set_difference(left: DataFrame, right: DataFrame, key: str, fold: bool = False) -> DataFrame:
     """(key, side): keys that only one side has."""
-    at = F.lower(F.trim(key)) if fold else F.col(key)
+    at = normalized(F.col(key)) if fold else F.col(key)
     a, b = left.select(at.alias(key)).distinct().withColumn("l", F.lit(1)), right.select(at.alias(key)).distinct().withColumn("r", F.lit(1))
     return a.join(b, key, "full_outer").where("l is null or r is null").select(key, F.when(F.col("r").isNull(), "missing").otherwise("extra").alias("side"))
 

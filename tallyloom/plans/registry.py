@@ -234,7 +234,7 @@ def self_preference(t):
     return agreement.self_preference(t("events").select("value", F.when(F.col("event_id") % 2 == 0, "named").otherwise("blinded").alias("identity_condition")), F.col("value") > 50)
 
 
-GATES = [("accuracy_floor", "exploratory", "accuracy", ">=", 0.05), ("recall_floor", "screening", "recall", ">=", 0.2), ("kappa_floor", "decision_support", "kappa", ">=", 0.6), ("unknown", "operational", "absent", "<=", 0.1)]
+GATES = [("accuracy_floor", "calibrated", "accuracy", ">=", 0.05), ("recall_floor", "calibrated", "recall", ">=", 0.2), ("kappa_floor", "decision_grade", "kappa", ">=", 0.6), ("unknown", "publishable", "absent", "<=", 0.1)]
 METRICS = """m AS (SELECT 'accuracy' AS metric, count(*) FILTER (quality = 1 - toxic) / count(*)::DOUBLE AS value FROM labels UNION ALL SELECT 'recall', count(*) FILTER (quality = 0 AND toxic = 0) / count(*) FILTER (quality = 0)::DOUBLE FROM labels UNION ALL SELECT 'kappa', 0.25::DOUBLE)"""
 GATE_ROWS = "g(gate, level, metric, comparison, threshold) AS (VALUES " + ", ".join(f"('{g}', '{v}', '{m}', '{c}', {x}::DOUBLE)" for g, v, m, c, x in GATES) + ")"
 
@@ -255,7 +255,7 @@ def validation_gates(t):
     return gates(t)
 
 
-@query(f"{GATE_SQL}, l(k, level) AS (VALUES (1, 'exploratory'), (2, 'screening'), (3, 'decision_support'), (4, 'operational')), f AS (SELECT coalesce(min(k) FILTER (NOT passed), 5) AS k FROM r JOIN l USING (level)) SELECT level FROM l, f WHERE l.k = greatest(1, f.k - 1)")
+@query(f"{GATE_SQL}, l(k, level) AS (VALUES (1, 'exploratory'), (2, 'calibrated'), (3, 'decision_grade'), (4, 'publishable')), f AS (SELECT min(k) AS least, coalesce(min(k) FILTER (NOT passed), 5) AS k FROM r JOIN l USING (level)) SELECT level FROM l, f WHERE l.k = CASE WHEN f.least > 2 THEN 1 ELSE f.k - 1 END")
 def achieved_level(t):
     return agreement.achieved_level(gates(t))
 
@@ -277,15 +277,11 @@ def field_accuracy(t):
     return summary.field_accuracy(jsonscore.score_outputs(rows), ["k"], ["model_name"])
 
 
-@query("""WITH s AS (SELECT role AS model_name, CASE WHEN turn % 2 = 0 THEN 'exact' ELSE 'judge' END AS evaluation_type, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n, text FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))
- SELECT model_name, count(*) AS cases, count(*) FILTER (evaluation_type = 'exact') AS evaluated_cases, count(*) FILTER (evaluation_type = 'judge') AS skipped_cases, round(avg((upper(text) = text)::INT) FILTER (evaluation_type = 'exact'), 9) AS exact_match_rate,
- round(avg((n = lower(trim(regexp_replace(upper(text), '\\s+', ' ', 'g'))))::INT) FILTER (evaluation_type = 'exact'), 9) AS normalized_exact_match_rate FROM s GROUP BY 1""")
+@query("""WITH s AS (SELECT role AS model_name, turn % 2 = 0 AS fixed, upper(coalesce(text, '')) AS wanted, coalesce(text, '') AS given FROM conversations),
+ n AS (SELECT *, lower(nfc_normalize(trim(regexp_replace(wanted, '\\s+', ' ', 'g')))) = lower(nfc_normalize(trim(regexp_replace(upper(given), '\\s+', ' ', 'g')))) AS same FROM s)
+ SELECT model_name, count(*) AS cases, count(*) FILTER (fixed) AS evaluated_cases, count(*) FILTER (NOT fixed) AS skipped_cases, round(avg((wanted = given)::INT) FILTER (fixed), 9) AS exact_match_rate,
+ round(avg(same::INT) FILTER (fixed), 9) AS normalized_exact_match_rate FROM n GROUP BY 1""")
 def text_normalized_match(t):
-    return turns_match(t("conversations").where("text rlike '^[\\\\x00-\\\\x7F]*$'"))
-
-
-@query()
-def text_normalized_match_all(t):
     return turns_match(t("conversations"))
 
 
@@ -454,17 +450,14 @@ def policy_expressions(t):
     return t("supplier").select("s_suppkey", cost.bounded_inverse(F.col("s_acctbal"), 10000.0).alias("component"), selection.result_status(F.col("s_acctbal"), 5000.0, F.col("s_nationkey") % 2 == 0).alias("status"))
 
 
-@query("SELECT item_id, min(doc_id) AS page FROM (SELECT item_id, lower(substr(text, 1, 40)) AS c FROM benchmark) b LEFT JOIN (SELECT doc_id, lower(text) AS t FROM documents) d ON contains(t, c) GROUP BY 1")
-def evidence_pages(t):
-    pages = t("documents").select(F.lit(1).alias("document_id"), F.col("doc_id").alias("page"), "text")
-    wanted = t("benchmark").select(F.lit(1).alias("document_id"), F.col("item_id").alias("field"), F.array(F.substring("text", 1, 40)).alias("candidates"))
-    return family.first_evidence_page(pages, wanted).select(F.col("field").alias("item_id"), "page")
+_FOLDED = "trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}_\\s%]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("SELECT item_id, min(doc_id) AS page FROM (SELECT item_id, lower(text) AS c FROM benchmark) b LEFT JOIN (SELECT doc_id, lower(text) AS t FROM documents) d ON contains(t, c) GROUP BY 1")
-def evidence_pages_whole(t):
-    pages = t("documents").select(F.lit(1).alias("document_id"), F.col("doc_id").alias("page"), "text")
-    wanted = t("benchmark").select(F.lit(1).alias("document_id"), F.col("item_id").alias("field"), F.array("text").alias("candidates"))
+@query(f"SELECT item_id, min(doc_id) AS page FROM (SELECT item_id, {_FOLDED} AS c FROM benchmark) b LEFT JOIN (SELECT doc_id, {_FOLDED} AS t FROM documents) d ON doc_id % 8 = item_id % 8 AND contains(t, c) GROUP BY 1")
+def evidence_pages(t):
+    """The first page with a whole item, in the one document of eight that the item belongs to."""
+    pages = t("documents").select(F.pmod("doc_id", F.lit(8)).alias("document_id"), F.col("doc_id").alias("page"), "text")
+    wanted = t("benchmark").select(F.pmod("item_id", F.lit(8)).alias("document_id"), F.col("item_id").alias("field"), F.array("text").alias("candidates"))
     return family.first_evidence_page(pages, wanted).select(F.col("field").alias("item_id"), "page")
 
 
@@ -476,3 +469,6 @@ def balanced_cohort(t):
 @query("SELECT s_suppkey, (rank() OVER (ORDER BY s_nationkey DESC))::INTEGER AS rank FROM supplier")
 def competition_rank(t):
     return t("supplier").select("s_suppkey", stats.rank_present(F.col("s_nationkey")).alias("rank"))
+
+
+from . import more  # noqa: E402, F401  registers further queries

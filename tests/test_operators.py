@@ -1,9 +1,11 @@
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import folded_text
 from tallyloom.operators import agreement, cohort, family, reshape, selection, summary, validate
 from tallyloom.sources import tables
 from tallyloom.streaming import checkpoint
@@ -53,12 +55,25 @@ def test_agreement(spark):
 
 
 def test_levels(spark):
-    gates = spark.createDataFrame([("g1", "exploratory", "a", ">=", 0.5), ("g2", "screening", "b", "<=", 0.1), ("g3", "decision_support", "c", ">=", 0.1)], "gate string, level string, metric string, comparison string, threshold double")
+    gates = spark.createDataFrame([("g1", "calibrated", "a", ">=", 0.5), ("g2", "calibrated", "b", "<=", 0.1), ("g3", "decision_grade", "c", ">=", 0.1)], "gate string, level string, metric string, comparison string, threshold double")
     values = spark.createDataFrame([("a", 0.6), ("b", 0.1)], "metric string, value double")
     got = agreement.gate_results(gates, values)
     assert {r["gate"]: r["passed"] for r in got.collect()} == {"g1": True, "g2": True, "g3": False}
-    assert agreement.achieved_level(got).first()["level"] == "screening"
+    assert agreement.achieved_level(got).first()["level"] == "calibrated"
     assert agreement.achieved_level(got, synthetic=True).first()["level"] == "exploratory"
+    level = lambda *rows: agreement.achieved_level(spark.createDataFrame(list(rows), "level string, passed boolean")).first()["level"]
+    assert level(("calibrated", True)) == "publishable"  # no gate stands against it
+    assert level(("publishable", True)) == "exploratory" == level(("calibrated", False), ("decision_grade", True))
+    assert level(("calibrated", True), ("decision_grade", True), ("publishable", False)) == "decision_grade"
+    for rows, why in (((), "no gates"), ((("exploratory", True),), "first or unknown"), ((("other", True),), "first or unknown"), ((("calibrated", None),), "no result")):
+        with pytest.raises(Exception, match=why):
+            level(*rows)
+
+
+def test_kappa_interval_counts_full_agreement(spark):
+    one = spark.createDataFrame([(k, "a", "a") for k in range(5)], "i int, r string, p string")
+    got = agreement.kappa_interval(one, "r", "p", 20, 1, "i").first()
+    assert (got["kappa_low"], got["kappa_high"], got["replicates"]) == (1.0, 1.0, 20)
 
 
 SUMMARY = "rank int, model_name string, unscored_cases long, pass_rate double, pass_rate_ci_low double, generation_requests long, generation_failure_rate double, generation_p95_seconds double, generation_latency_coverage double, generation_cost_usd double"
@@ -142,7 +157,11 @@ def test_records_and_evidence(spark):
     assert row["t"] == "name: Aspirin\nstrength: 325 mg | 500 mg" and row["m"] == {"name": "Aspirin", "strength": "325 mg | 500 mg"}
     pages = spark.createDataFrame([("d", 1, "none"), ("d", 2, "takes 1,250.5 mg"), ("d", 3, "1250.5")], "document_id string, page int, text string")
     wanted = spark.createDataFrame([("d", "dose", "1250.5"), ("d", "none", "77")], "document_id string, field string, v string").withColumn("candidates", family.number_candidates(F.col("v"))).drop("v")
-    assert {r["field"]: r["page"] for r in family.first_evidence_page(pages, wanted).collect()} == {"dose": 2, "none": None}
+    assert {r["field"]: r["page"] for r in family.first_evidence_page(pages, wanted).collect()} == {"dose": 3, "none": None}
+    folded = pages.limit(1).select(F.explode(F.array(F.lit("Tylenol\u2122 5%"), F.lit("PR CRÈME, 2,5 mg"), F.lit("apres tm"))).alias("t")).select(folded_text(F.col("t")).alias("t"))
+    assert [r["t"] for r in folded.collect()] == ["tylenol 5 %", "creme 2 5 mg", "apres"]
+    spelt = spark.createDataFrame([("5.0",), ("1250",), ("1.5",), ("12",), (None,)], "v string").select(family.number_candidates(F.col("v")).alias("c"))
+    assert [r["c"] for r in spelt.collect()] == [["5.0", "5", "5,0", "5 0"], ["1250", "1,250", "1 250"], ["1.5", "1,5", "1 5"], ["12"], []]
 
 
 def test_families(spark):
@@ -166,6 +185,18 @@ def test_sources(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text("\n".join([lines[0], "{torn", lines[1]]))
     with pytest.raises(Exception, match="torn"):
         tables.read_checkpoint(spark, str(tmp_path / "d.jsonl"), "case_id string").collect()
+    with pytest.raises(Exception, match="version 1.0 is not 2.0"):
+        tables.read_checkpoint(spark, str(tmp_path / "c.jsonl"), "case_id string", "2.0").collect()
+    tables.repair_checkpoint(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "whole"), "case_id string")
+    tables.write_checkpoint(spark.createDataFrame([("9",)], "case_id string"), str(tmp_path / "whole"))
+    assert sorted(r["case_id"] for r in tables.read_checkpoint(spark, str(tmp_path / "whole"), "case_id string").collect()) == ["0", "1", "2", "9"]
+    (tmp_path / "n.csv").write_text('a,b\n1,"x\ny"\n2,z\n\n')
+    assert tables.record_count(spark, str(tmp_path / "n.csv"), "csv") == 2 and tables.record_count(spark, str(tmp_path / "c.jsonl")) == 4
+    (tmp_path / "g.csv").write_text("case_id,input,evaluation_type\n 1 ,a, JSON \n2,b,exact\n")
+    assert [(r["case_id"], r["evaluation_type"]) for r in tables.read_generation_cases(spark, str(tmp_path / "g.csv")).collect()] == [("1", "json"), ("2", "exact")]
+    (tmp_path / "h.csv").write_text("case_id,input\n1,a\n1,b\n")
+    with pytest.raises(ValueError, match="duplicate key"):
+        tables.read_generation_cases(spark, str(tmp_path / "h.csv"))
     df = spark.createDataFrame([("m", 1.5), ("n", float("nan"))], "model string, v double")
     assert sorted(r["record"] for r in tables.records(df).collect()) == ['{"model":"m","v":1.5}', '{"model":"n","v":null}']
     tables.write_bundle(df, str(tmp_path / "b"), ["model"], {"rows": 2})
@@ -184,3 +215,14 @@ def test_stream_takes_each_record_once(spark, tmp_path):
         stream = checkpoint.first_records(checkpoint.record_stream(spark, source, "case_id string, model_name string"), ["case_id", "model_name"])
         checkpoint.materialize(stream, out, state).awaitTermination()
     assert sorted(r["case_id"] for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
+
+
+def test_doubles_as_c_writes_them(spark, tmp_path):
+    rng = random.Random(3)
+    values = [0.5, 0.0, -1.0, 100.0, 1e11, 123456789012.0, 1e12, 1.5e300, 1e-4, 1e-5, 0.1 + 0.2, 2 / 3, -1234.5678901234567, None, float("inf"), float("-inf"), 999999999999.5]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 16) for _ in range(300)]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", tables.shown_double(F.col("v")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == {k: None if v is None else "%.12g" % v for k, v in enumerate(values)}
+    tables.write_csv(spark.createDataFrame([("b", None, "x,y"), ("a", 0.5, 'q"')], "k string, v double, t string"), str(tmp_path / "out"), ["k"])
+    text = next((tmp_path / "out").glob("*.csv")).read_text()
+    assert text == 'k,v,t\na,0.5,"q"""\nb,,"x,y"\n'

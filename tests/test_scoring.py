@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.functions.jsonscore import Comparer, JsonRules, number_of, read_json, score_outputs
+from tallyloom.functions.jsonscore import Comparer, JsonRules, Shape, json_error, number_of, read_json, score_outputs
 from tallyloom.operators import summary
 
 TEXTS = ["", None, "  A\t b ", "Straße™ é", "x_y, 5%!", "ÉCOLE  2", "a\x1cb", "İx", "ﬁn"]
@@ -50,17 +50,25 @@ def test_rules():
     assert not c.score("true", "1")["json_exact_match"] and c.score("1", "1.0")["json_exact_match"]
 
 
-def test_repairs():
+def test_error_classes(spark):
+    shape = Shape(frozenset({"name"}), frozenset({"forms", "codes"}), frozenset({"forms"}))
+    want = {"name": "Ab", "forms": ["tablet, coated", "gel"], "codes": ["1", "2"]}
+    say = lambda **other: Comparer(JsonRules()).error_class(json.dumps(want), json.dumps(want | other), shape)
+    assert say() == "pass" == say(name=" AB ")
+    assert say(name=["ab"]) == "schema_type_only" and say(codes=["1", "2", "1"]) == "duplicate_items_only"
+    one = want | {"forms": ["tablet, coated"]}
+    other = lambda **given: Comparer(JsonRules()).error_class(json.dumps(one), json.dumps(one | given), shape)
+    assert other(forms=["tablet", "coated"]) == "compound_label_split_only" and other(forms="tablet, coated") == "schema_type_only"
+    assert other(name=["Ab"], codes=["1", "1", "2"]) == "schema_and_duplicates" and other(name=["Ab"], forms=["tablet", "coated"]) == "schema_and_label_split"
+    assert other(name=["Ab"], forms=["tablet", "coated"], codes=["1", "1", "2"]) == "multiple_repairable"
+    assert other(name=["Ab", "Cd"]) == "text_or_value_error" and other(codes=["2", "1"]) == "text_or_value_error" and other(more=1) == "missing_or_extra_fields"
     c = Comparer(JsonRules())
-    say = lambda e, o: c.repairs(json.dumps(e), o if isinstance(o, str) else json.dumps(o))
-    assert say({"a": 1}, "{") == "invalid_json"
-    assert say({"a": 1}, {"a": 1}) == "match"
-    assert say({"a": 1}, {"a": 1, "b": 2}) == "extra_fields"
-    assert say({"a": 1, "b": 2}, {"a": 1}) == "missing_fields"
-    assert say({"a": ["x"]}, {"a": "x"}) == "scalar_for_list"
-    assert say({"a": "x"}, {"a": ["x"]}) == "list_for_scalar"
-    assert say({"a": 1}, {"a": "1"}) == "type_only"
-    assert say({"a": 1}, {"a": 2}) == "wrong_values"
+    assert c.error_class(json.dumps(one), "{", shape) == c.error_class(json.dumps(one), "[1]", shape) == "invalid_json"
+    with pytest.raises(ValueError, match="not one JSON object"):
+        c.error_class("[1]", "{}", shape)
+    df = spark.createDataFrame([("{}", None, "success"), ("{}", "{}", "error"), ("{}", "{}", None)], "e string, o string, s string")
+    got = df.select(json_error(F.col("e"), F.col("o"), shape, status=F.col("s")).alias("x")).collect()
+    assert [r["x"] for r in got] == ["invalid_json", "generation_error", "pass"]
 
 
 def rows(spark):

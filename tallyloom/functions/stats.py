@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log, pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,19 +28,31 @@ def wilson(passed: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(some, low), F.when(some, high)
 
 
+def _log_factorial(x: Column) -> Column:
+    """ln x! by Stirling's series, for x of 64 or more, where its error is below that of doubles."""
+    y = x + 1
+    return (y - 0.5) * F.log(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+
+
 def mcnemar_exact(b: Column, c: Column) -> Column:
     """Two-sided exact McNemar p of b and c discordant pairs: twice the binomial(b + c, 1/2) tail up to the smaller.
 
-    Sums exp of log probabilities, each from the one before, so that no factorial overflows."""
-    n, m = (b + c).cast("double"), F.least(b, c)
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+    Sums exp of log probabilities, each from the one before, so that no factorial overflows. Terms more than
+    20 roots of b + c below the last one are too small for a double and left out, so a pair of models costs as
+    many steps at most, however many cases there are."""
+    n, m = (b + c).cast("double"), F.least(b, c).cast("long")
+    first = m - F.ceil(20 * F.sqrt(n))
+    first = F.when(first >= 64, first).otherwise(F.lit(0)).cast("long")
+    k0 = first.cast("double")
+    begin = F.when(first == 0, 0.0).otherwise(_log_factorial(n) - _log_factorial(k0) - _log_factorial(n - k0)) - n * F.log(F.lit(2.0))
+    start = F.struct(begin.alias("term"), F.exp(begin).alias("sum"))
 
     def step(acc: Column, k: Column) -> Column:
         term = acc["term"] + F.log(n - k + 1) - F.log(k.cast("double"))
         return F.struct(term.alias("term"), (acc["sum"] + F.exp(term)).alias("sum"))
 
-    tail = F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["sum"])
-    return F.when(b + c == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    terms = F.when(m > first, F.sequence(first + 1, m)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(b + c == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, start, step, lambda acc: acc["sum"])))
 
 
 def with_holm(df: DataFrame, p: str, ties: list[str], out: str = "holm_p_value") -> DataFrame:

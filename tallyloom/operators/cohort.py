@@ -103,3 +103,48 @@ def cost_preflight(pending: DataFrame, sample: DataFrame, multiplier: float, lim
     out = pending.groupBy("model_name").agg(F.count(F.lit(1)).alias("pending")).join(mean, "model_name", "left")
     expected = F.col("pending") * F.col("sample_mean_usd") * multiplier
     return out.withColumns({"expected_usd": expected, "request_ceiling_usd": F.col("sample_max_usd") * multiplier, "within_limit": F.coalesce(expected <= limit, F.lit(False))})
+
+
+def tier_chain(parents: dict[str, str | None], tier: str) -> list[str]:
+    """A tier and those that it inherits from, nearest first. An unknown parent or a circle is an error. Tiers are a handful."""
+    out: list[str] = []
+    while tier is not None:
+        if tier in out:
+            raise ValueError(f"tiers inherit in a circle: {' -> '.join([*out, tier])}")
+        if tier not in parents:
+            raise ValueError(f"unknown tier: {tier}")
+        out.append(tier)
+        tier = parents[tier]
+    return out
+
+
+def diverse_products(products: DataFrame, targets: dict[str, int], routes: dict[str, list[str]], seed: object = 0) -> list[str]:
+    """product_ids for a demonstration, in order: first one product for each group of routes, then each stratum up to its
+    target, each the first by seeded hash that shares no ingredient with those chosen before. Too few products are an error.
+
+    products: (product_id, stratum, ingredients array, routes array). A choice depends on all before it, so each is a
+    query of its own that brings back one row; targets are small."""
+    strata = list(targets)
+    chosen: list[str] = []
+    used: list[str] = []
+    taken = dict.fromkeys(targets, 0)
+
+    def pick(rows: DataFrame, purpose: str, group: str) -> bool:
+        free = rows.where(~F.col("product_id").cast("string").isin(chosen)).where(~F.arrays_overlap("ingredients", F.lit(used).cast("array<string>")))
+        order = hash_order(seed, F.lit(purpose), F.lit(group), F.col("product_id").cast("string"), separator="|")
+        found = free.withColumn("place", order).orderBy("place").limit(1).collect()
+        for r in found:
+            chosen.append(str(r["product_id"]))
+            used.extend(r["ingredients"])
+            taken[r["stratum"]] += 1
+        return bool(found)
+
+    for group, accepted in routes.items():
+        open_strata = [s for s in strata if taken[s] < targets[s]]
+        if not pick(products.where(F.col("stratum").isin(open_strata) & F.arrays_overlap("routes", F.lit(accepted))), "route", group):
+            raise ValueError(f"no product for the routes of {group}")
+    for s in strata:
+        while taken[s] < targets[s]:
+            if not pick(products.where(F.col("stratum") == s), "fill", s):
+                raise ValueError(f"{s}: {taken[s]} of {targets[s]} products")
+    return chosen

@@ -64,3 +64,20 @@ def test_four_cost_totals(spark):
     v, n = F.col("v"), F.count(F.lit(1))
     got = df.groupBy("m").agg(cost.complete_sum(v, n).alias("c"), cost.observed_sum(v).alias("o"), cost.filled_sum(v).alias("f")).orderBy("m").collect()
     assert [tuple(r) for r in got] == [("a", None, 1.0, 1.0), ("b", 2.0, 2.0, 2.0), ("c", None, None, 0.0)]
+
+
+def test_mcnemar_of_many_cases(spark):
+    """Few terms are summed, and they give what exact integers give."""
+    from fractions import Fraction
+    from math import comb
+
+    pairs = [(0, 0), (1, 0), (300, 260), (5000, 4700), (9000, 9000), (20_000, 19_500), (3, 4000)]
+    got = spark.createDataFrame(pairs, "b long, c long").select("b", "c", stats.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()
+    for b, c, p in got:
+        n, term, total = b + c, 1, 1
+        for k in range(1, min(b, c) + 1):
+            term = term * (n - k + 1) // k
+            total += term
+        assert term == comb(n, min(b, c)) and p == pytest.approx(min(1.0, float(Fraction(2 * total, 2**n))), rel=1e-9)
+    huge = spark.createDataFrame([(500_000_000, 499_950_000)], "b long, c long").select(stats.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).first()["p"]
+    assert huge == pytest.approx(0.1138, abs=0.002)  # z = 1.5811

@@ -63,14 +63,29 @@ def scores(column: pa.Array, hasher: Hasher, weights: np.ndarray) -> np.ndarray:
 
 
 class Design:
-    """Sparse rows of a sample: frequencies of slots, words first."""
+    """Sparse rows of a sample: frequencies of slots, in twelve bytes each."""
 
     def __init__(self, rows: list[tuple[bytes, bytes]]) -> None:
         self.slot = np.concatenate([np.frombuffer(a, dtype=np.int32) for a, _ in rows] or [np.empty(0, np.int32)])
-        self.value = np.concatenate([np.frombuffer(b, dtype=np.float32) for _, b in rows] or [np.empty(0, np.float32)]).astype(np.float64)
-        self.row = np.repeat(np.arange(len(rows)), [len(a) // 4 for a, _ in rows])
+        self.value = np.concatenate([np.frombuffer(b, dtype=np.float32) for _, b in rows] or [np.empty(0, np.float32)])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) // 4 for a, _ in rows])
         self.rows = len(rows)
 
+    @classmethod
+    def of(cls, slots: pa.Array, values: pa.Array) -> Design:
+        """From binary columns, without an object for each row."""
+        out = cls([])
+        out.slot, out.value = (np.concatenate([np.empty(0, t), *(cls._flat(c, t) for c in column.chunks)]) for column, t in ((slots, np.int32), (values, np.float32)))
+        out.rows = len(slots)
+        out.row = np.repeat(np.arange(out.rows, dtype=np.int32), pc.divide(pc.binary_length(slots), 4).to_numpy())
+        return out
+
+    @staticmethod
+    def _flat(column: pa.Array, kind: type) -> np.ndarray:
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(data, dtype=kind, count=int(at[-1] - at[0]) // 4, offset=int(at[0])) if data is not None and at[-1] > at[0] else np.empty(0, kind)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.slot] * self.value, minlength=self.rows)
 
@@ -112,10 +127,13 @@ def sampled(docs: DataFrame, classes: DataFrame, sample_docs: int = SAMPLE_DOCS)
 
     found = picked.mapInArrow(features, "grade int, draw long, slots binary, freqs binary").toArrow()
     found = found.take(pc.sort_indices(found, sort_keys=[("draw", "ascending"), ("slots", "ascending")]))
-    rows = list(zip(found["slots"].to_pylist(), found["freqs"].to_pylist(), strict=True))
+    design = Design.of(found["slots"], found["freqs"])
     grade = np.array(found["grade"].to_pylist(), dtype=np.int64)
+    draw = np.array(found["draw"].to_pylist(), dtype=np.int64)
+    del found
+    pa.default_memory_pool().release_unused()
     share = {g: sizes[g] / sum(sizes.values()) / max(1, int((grade == g).sum())) for g in sizes}
-    return Design(rows), grade, np.array(found["draw"].to_pylist(), dtype=np.int64) % 5, np.array([share[g] for g in grade.tolist()])
+    return design, grade, draw % 5, np.array([share[g] for g in grade.tolist()])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,7 +145,7 @@ def telling(design: Design, grade: np.ndarray, least: float = TELLING[0], full:
     `full` or more, less by the fourth power of t / full below, 0 below `least`. Keeps the many rare slots from fitting noise."""
     size, n = SLOTS, design.rows
     total = np.bincount(design.slot, weights=design.value, minlength=size)
-    square = np.bincount(design.slot, weights=design.value**2, minlength=size)
+    square = np.bincount(design.slot, weights=np.square(design.value, dtype=np.float64), minlength=size)
     spread = np.maximum(square / max(1, n) - (total / max(1, n)) ** 2, 1e-12)
     best = np.zeros(size)
     for g in np.unique(grade):
@@ -154,6 +172,7 @@ def fit_cumulative_link(design: Design, grade: np.ndarray, grades: int, weight:
     part.slot, part.row = design.slot[used], design.row[used]
     part.value = design.value[used] * scale[part.slot]
     design = part
+    del used
     share = np.full(len(grade), 1 / len(grade)) if weight is None else weight / weight.sum()
     moments = [np.zeros(size), np.zeros(size), np.zeros(len(free)), np.zeros(len(free))]
     for t in range(1, steps + 1):

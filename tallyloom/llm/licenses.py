@@ -19,21 +19,68 @@ from .common import ALNUM, Hasher, Words, slices
 #: Phrases whose places count, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+_GNU = (
+    "<<var:3>> is free software you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation "
+    "either version <<var:3>> of the license or at your option any later version <<var:3>> is distributed in the hope that it will be useful but without any warranty without even the implied "
+    "warranty of merchantability or fitness for a particular purpose see the gnu {0}general public license for more details"
+)
+
 #: License notices and texts, by label.
 TEMPLATES = [
     ("mit-notice", "<<opt>> released <<end>> <<opt>> licensed <<end>> <<opt>> distributed <<end>> under the mit license"),
     (
-        "mit-text",
+        "mit-grant",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>> the software <<end>> "
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
         "copies of the software <<opt>> and to permit persons to whom the software is furnished to do so <<end>>",
     ),
+    (
+        "mit-text",
+        "<<opt>> <<opt>> the <<end>> mit license <<end>> <<opt>> copyright <<opt>> c <<end>> <<var:8>> <<end>> permission is hereby granted free of charge to any person obtaining a copy of this software "
+        "and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute "
+        "sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this "
+        "permission notice <<opt>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any "
+        "kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and <<opt>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and <<var:6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <<var:6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of "
+        "contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    (
+        "bsd-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>> 1 <<end>> redistributions of source code must "
+        "retain the above copyright notice this list of conditions and the following disclaimer <<opt>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>> <<opt>> 3 <<end>> neither the name of <<var:10>> nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission <<end>> this software is provided by the copyright holders and "
+        "contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event "
+        "shall the copyright <<var:1>> or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of "
+        "substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+        "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
     ("apache-2.0-notice", "licensed under <<opt>> the <<end>> apache license <<opt>> version <<end>> 2 0 <<opt>> the license <<end>>"),
-    ("gpl-3.0-notice", "<<opt>> under <<end>> <<opt>> the terms of <<end>> <<opt>> the <<end>> <<opt>> gnu <<end>> general public license <<opt>> as published by <<var:6>> either <<end>> version 3"),
+    (
+        "apache-2.0-header",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<var:1>> www apache org licenses "
+        "license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    *[(f"gpl-{v}.0-notice", f"<<opt>> under <<end>> <<opt>> the terms of <<end>> <<opt>> the <<end>> <<opt>> gnu <<end>> general public license <<opt>> as published by <<var:6>> either <<end>> version {v}") for v in (2, 3)],
+    ("gpl-header", _GNU.format("")),
+    ("lgpl-header", _GNU.format("lesser ")),
+    ("agpl-header", _GNU.format("affero ")),
+    ("mpl-2.0-header", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var:2>> mozilla org mpl 2 0"),
     ("cc-by-nc-4.0-notice", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> <<opt>> creative commons <<end>> cc by nc 4 0"),
+    ("cc-notice", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> creative commons attribution <<opt>> noncommercial <<end>> <<opt>> non commercial <<end>> <<opt>> sharealike <<end>> <<opt>> noderivatives <<end>> <<var:2>> <<opt>> international <<end>> license"),
     (
-        "bsd-text",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a "
+        "compiled binary for any purpose commercial or non commercial and by any means",
     ),
     ("copyright-notice", "copyright <<opt>> c <<end>> <<var:4>> all rights reserved"),
 ]

@@ -108,6 +108,17 @@ def test_templates_against_regular_expressions(spark):
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(method)
 
 
+def test_whole_licenses(spark):
+    """A whole text is accepted with its optional regions or without, and not with other conditions; the grant alone is told apart."""
+    by_label = dict(licenses.TEMPLATES)
+    plain = lambda label: re.sub(r"<<[^>]+>>", " ", by_label[label])
+    mit = plain("mit-text")
+    texts = [f"The MIT License. Copyright (c) 2020 Some One {mit[mit.index('permission') :]}", mit[mit.index("permission") :].replace("shall be included in all copies", "may be left out"), "This program" + plain("gpl-header").replace("version", "version 2", 1), plain("bsd-text").replace("neither the name of", "neither the name of some project")]
+    got = [set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert {"mit", "mit-text", "mit-grant"} <= got[0] and "mit-grant" in got[1] and "mit-text" not in got[1]
+    assert {"gpl", "gpl-header"} <= got[2] and not got[2] & {"lgpl-header", "agpl-header"} and {"bsd-text", "bsd-grant"} <= got[3]
+
+
 def test_license_odd(odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 

@@ -61,6 +61,16 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.read_back(chatformat.format_turns(turns))
 
 
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("labels", "score", "matches")
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return rules.apply_rules(table(spark, sf_dir, "documents"), None).drop("kept", "quality")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -74,4 +84,6 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
+    "license_places": license_places,
+    "quality_rule_counts": quality_rule_counts,
 }

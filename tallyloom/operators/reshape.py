@@ -46,3 +46,26 @@ def attach(df: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
     one = metadata.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in metadata.columns if c != key])
     checked = one.withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string"))).cast("long")).otherwise(F.col("__n")))
     return df.join(checked.where("__n = 1").drop("__n"), key, "left")
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in order: a pre-aggregated minimum. Rows that tie are told apart by their other columns."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    out = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("x"))
+    return out.select(*keys, *[F.col(f"x.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
+
+
+def group_records(df: DataFrame, by: list[str], case: str) -> DataFrame:
+    """How many rows and distinct cases each group has, null groups included."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(case).alias("cases"))
+
+
+def restricted(df: DataFrame, keys: DataFrame, columns: list[str], models: list[str] | None = None) -> DataFrame:
+    """Rows whose key is among those given and, if there is a list of models, whose model is."""
+    out = df.join(keys.select(*columns).distinct(), columns, "left_semi")
+    return out.where(F.col("model_name").isin(models)) if models else out
+
+
+def display_pivot(df: DataFrame, row: str, column: str, values: list[str], value: str) -> DataFrame:
+    """A table to look at: one row per `row`, one column for each of the values given, blank where there is none."""
+    return df.groupBy(row).pivot(column, values).agg(F.first(value))

@@ -5,6 +5,7 @@ arithmetic what each of three models puts out. Judges and reviewers rate the lab
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.jsonscore import Shape
-from ..operators import board, census, family, judging, validate
-from ..sources import tables
+from ..operators import board, census, cohort, contracts, family, judging, reshape, validate
+from ..sources import manifest, tables
 from .registry import query, rounded  # noqa: F401
 
 MODELS = ["m0", "m1", "m2"]
@@ -215,3 +216,77 @@ def short_cases(t):
 def shown_doubles(t):
     x = F.col("l_extendedprice")
     return t("lineitem").where((F.col("l_linenumber") == 1) & (x != F.floor(x))).select("l_orderkey", "l_linenumber", "l_partkey", tables.shown_double(x).alias("shown"))
+
+
+AS_OF = datetime.date(2026, 1, 1)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'superseded' WHEN o_orderdate::DATE < DATE '1995-06-01' THEN 'stale' ELSE 'current' END AS effective_status, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE greatest(0, DATE '1995-06-01' - o_orderdate::DATE) END::INTEGER AS overdue_days FROM orders")
+def evidence_status(t):
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "superseded").otherwise("current").alias("status"), F.col("o_orderdate").cast("date").alias("review_by"))
+    return contracts.evidence_status(rows, datetime.date(1995, 6, 1)).select("id", "effective_status", "overdue_days")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'blocked' WHEN p_size > 40 THEN 'blocked' WHEN p_size < 10 THEN 'stale' WHEN p_size % 7 = 0 THEN 'free' ELSE 'ready' END AS status FROM part")
+def price_readiness(t):
+    n = F.col("p_size")
+    rate = F.when(n % 5 != 0, F.when(n % 7 == 0, 0.0).otherwise(F.col("p_retailprice")))
+    day = F.when(n > 40, F.lit(datetime.date(2026, 2, 1))).when(n < 10, F.lit(datetime.date(2025, 1, 1))).otherwise(F.lit(datetime.date(2025, 12, 1)))
+    return t("part").select("p_partkey", contracts.price_status(rate, rate, day, AS_OF).alias("status"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'not a JSON object' WHEN event_id % 5 = 1 THEN 'no reason' WHEN event_id % 5 = 2 THEN 'score out of range' END AS error, CASE WHEN event_id % 5 > 2 THEN 0.5::DOUBLE END AS score FROM events")
+def judge_responses(t):
+    e = F.col("event_id")
+    said = F.when(e % 5 == 0, "no").when(e % 5 == 1, '{"score": 0.5, "passed": true, "reason": ""}').when(e % 5 == 2, '{"score": 1.5, "passed": true, "reason": "r"}').otherwise('```json\n{"score": 0.5, "passed": false, "reason": "r"}\n```')
+    return t("events").select("event_id", contracts.judge_response(said).alias("x")).select("event_id", "x.error", "x.score")
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
+def merged_scores(t):
+    s = t("supplier")
+    return contracts.one_to_one(s.select("s_suppkey", "s_nationkey"), s.select("s_suppkey", "s_acctbal"), ["s_suppkey"])
+
+
+@query("SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'missing member' ELSE 'extra member' END AS rule, lower(n_name) AS key FROM nation WHERE n_nationkey % 3 <> 1 UNION ALL SELECT 'repeated member', lower(n_name) FROM nation WHERE n_nationkey % 3 = 1 AND n_nationkey % 2 = 0")
+def member_differences(t):
+    n = t("nation")
+    twice = n.where("n_nationkey % 3 = 1 and n_nationkey % 2 = 0").select(F.lower("n_name").alias("id"))
+    mine = n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("id")).unionByName(twice)
+    return manifest.membership_violations(mine, "id", n.where("n_nationkey % 3 <> 2").select(F.upper("n_name").alias("id"))).select("rule", "key")
+
+
+@query("SELECT c_mktsegment AS \"column\", c_nationkey::VARCHAR AS value, count(*) AS rows FROM (SELECT 'c_mktsegment' AS c_mktsegment, c_mktsegment AS c_nationkey FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR FROM customer) GROUP BY 1, 2")
+def value_counters(t):
+    return board.counters(t("customer"), ["c_mktsegment", "c_nationkey"])
+
+
+@query("SELECT s_nationkey AS model_name, count(DISTINCT s_suppkey % 7) AS clusters, round(avg((s_acctbal > 0)::INT), 9) AS accuracy FROM supplier GROUP BY 1")
+def clustered_scores(t):
+    rows = t("supplier").select(F.col("s_nationkey").alias("model_name"), (F.col("s_suppkey") % 7).alias("c"), (F.col("s_acctbal") > 0).cast("double").alias("score"))
+    return board.clustered_error(rows, ["model_name"], "c").select("model_name", "clusters", "accuracy")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS priority, CASE WHEN o_orderkey % 4 = 0 THEN 'critical' WHEN o_orderkey % 4 = 1 THEN 'high' WHEN o_orderkey % 4 = 2 THEN 'medium' ELSE 'none' END AS severity, CASE WHEN o_orderkey % 4 = 0 THEN 'scorer' WHEN o_orderkey % 4 = 1 THEN 'dataset' WHEN o_orderkey % 4 = 2 THEN 'extract' ELSE 'model' END AS owner FROM orders")
+def audit_decisions(t):
+    k = F.col("o_orderkey") % 4
+    return t("orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), board.audit_decision(k != 0, k != 2, k != 1).alias("x")).select("o_orderkey", "priority", "x.severity", "x.owner")
+
+
+@query()
+def diverse_demo(t):
+    """No SQL: each product depends on the ingredients of those before it. A brute-force test holds it."""
+    p = t("part")
+    rows = p.select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") > 25, "large").otherwise("small").alias("stratum"), F.array(F.col("p_brand"), F.col("p_type")).alias("ingredients"), F.array(F.pmod("p_partkey", F.lit(3)).cast("string")).alias("routes"))
+    chosen = cohort.diverse_products(rows, {"large": 3, "small": 3}, {"first": ["0"]}, 5)
+    return p.sparkSession.createDataFrame([(c, k + 1) for k, c in enumerate(chosen)], "product_id string, pick int")
+
+
+@query("SELECT model_name, rows, cases FROM (SELECT l_returnflag AS model_name, count(*) AS rows, count(DISTINCT l_orderkey) AS cases FROM lineitem GROUP BY 1)")
+def group_records(t):
+    return reshape.group_records(t("lineitem"), ["l_returnflag"], "l_orderkey").select(F.col("l_returnflag").alias("model_name"), "rows", "cases")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1")
+def keep_first(t):
+    return reshape.keep_first(t("orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"])

@@ -73,12 +73,18 @@ def readiness(structural: Column, unresolved: Column, expected_cost: Column, bud
     return F.when(F.coalesce(structural, F.lit(1)) > 0, "invalid").when(F.coalesce(unresolved, F.lit(1)) > 0, "unresolved").when(~F.coalesce(expected_cost <= budget, F.lit(False)), "cost_blocked").otherwise("ready")
 
 
-def audit_decision(reproduced: Column, source_agrees: Column, expected_agrees: Column) -> DataFrame | Column:
-    """struct(owner, severity): who has to act on an audited case. A score that can't be reproduced is the scorer's, a wrong expected
-    answer the dataset's, a source that disagrees with the extract the extract's; else the failure is the model's."""
-    made = lambda owner, severity: F.struct(F.lit(owner).alias("owner"), F.lit(severity).alias("severity"))
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    return F.when(no(reproduced), made("scorer", "critical")).when(no(expected_agrees), made("dataset", "high")).when(no(source_agrees), made("extract", "medium")).otherwise(made("model", "none"))
+def audit_decision(error_types: Column, mismatched: Column, material: list[str]) -> Column:
+    """struct(error_owner, operational_severity, ground) of an audited case whose source, expected answer and score were reproduced.
+
+    error_types: classes of the failures of the models in focus; mismatched: fields that these get wrong. Without failures nobody owns an error;
+    else the models do, at medium severity where a text or value is wrong in a material field, at low severity otherwise. ground is
+    control, compound_label (labels split at a comma alone), shape (types and duplicates alone), or text."""
+    shape = ["schema_type_only", "duplicate_items_only", "schema_and_duplicates"]
+    kinds = F.array_distinct(error_types)
+    bad = F.array_contains(kinds, "text_or_value_error") & F.arrays_overlap(mismatched, F.lit(material).cast("array<string>"))
+    ground = F.when(kinds == F.array(F.lit("compound_label_split_only")), "compound_label").when(F.size(F.array_except(kinds, F.lit(shape))) == 0, "shape").otherwise("text")
+    made = lambda owner, severity, why: F.struct(F.lit(owner).alias("error_owner"), severity.alias("operational_severity"), why.alias("ground"))
+    return F.when(F.size(kinds) == 0, made("none", F.lit("none"), F.lit("control"))).otherwise(made("model", F.when(F.coalesce(bad, F.lit(False)), "medium").otherwise("low"), ground))
 
 
 def resume_violations(records: DataFrame, wanted: DataFrame, fingerprint_column: str, value: str, keys: tuple[str, str] = ("case_id", "model_name")) -> DataFrame:

@@ -267,10 +267,13 @@ def clustered_scores(t):
     return board.clustered_error(rows, ["model_name"], "c").select("model_name", "clusters", "accuracy")
 
 
-@query("SELECT o_orderkey, o_orderpriority AS priority, CASE WHEN o_orderkey % 4 = 0 THEN 'critical' WHEN o_orderkey % 4 = 1 THEN 'high' WHEN o_orderkey % 4 = 2 THEN 'medium' ELSE 'none' END AS severity, CASE WHEN o_orderkey % 4 = 0 THEN 'scorer' WHEN o_orderkey % 4 = 1 THEN 'dataset' WHEN o_orderkey % 4 = 2 THEN 'extract' ELSE 'model' END AS owner FROM orders")
+@query(f"""WITH {CENSUS}, w AS (SELECT case_id, coalesce(list(DISTINCT error_type) FILTER (NOT ok), []) AS e FROM d GROUP BY 1)
+ SELECT case_id, CASE WHEN len(e) = 0 THEN 'none' ELSE 'model' END AS error_owner, CASE WHEN len(e) = 0 THEN 'none' WHEN list_contains(e, 'text_or_value_error') THEN 'medium' ELSE 'low' END AS operational_severity,
+ CASE WHEN len(e) = 0 THEN 'control' WHEN len(list_filter(e, lambda c: c NOT IN ('schema_type_only', 'duplicate_items_only'))) = 0 THEN 'shape' ELSE 'text' END AS ground FROM w""")
 def audit_decisions(t):
-    k = F.col("o_orderkey") % 4
-    return t("orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), board.audit_decision(k != 0, k != 2, k != 1).alias("x")).select("o_orderkey", "priority", "x.severity", "x.owner")
+    bad = ~F.col("final_passed")
+    per = diagnosed(t).groupBy("case_id").agg(F.collect_set(F.when(bad, F.col("error_type"))).alias("e"), F.flatten(F.collect_set(F.when(bad, F.col("json_mismatched_fields")))).alias("m"))
+    return per.select("case_id", board.audit_decision(F.col("e"), F.col("m"), ["s"]).alias("x")).select("case_id", "x.*")
 
 
 @query()

@@ -205,3 +205,10 @@ def test_texts(spark):
     assert tuple(row) == ("q {x} {other}", "12.3%", "$1,234.50", "")
     values = spark.createDataFrame([("5.0",), ("0.50",), ("100",), ("x",), ("10.00",)], "v string").select(text.strength(F.col("v")).alias("s"))
     assert [r["s"] for r in values.collect()] == ["5", "0.5", "100", None, "10"]
+
+
+def test_audit_decision(spark):
+    rows = [([], []), (["compound_label_split_only"], ["l"]), (["schema_type_only", "schema_and_duplicates"], ["l"]), (["text_or_value_error"], ["l"]), (["text_or_value_error", "invalid_json"], ["s", "l"])]
+    df = spark.createDataFrame(rows, "e array<string>, m array<string>")
+    got = [tuple(r["x"]) for r in df.select(board.audit_decision(F.col("e"), F.col("m"), ["s"]).alias("x")).collect()]
+    assert got == [("none", "none", "control"), ("model", "low", "compound_label"), ("model", "low", "shape"), ("model", "low", "text"), ("model", "medium", "text")]

@@ -1,7 +1,7 @@
 """Byte-level BPE over Arrow batches: pieces in numpy, merges by the tokenizers library, exact decoding.
 
 A text is cut into pieces by the GPT-2 pattern, as runs of character classes found in numpy. Each
-piece that a task meets for the first time goes, as byte-to-character mapped text, through a
+piece that a Python worker meets for the first time goes, as byte-to-character mapped text, through a
 `tokenizers` BPE model; its ids are kept in a bounded store under the piece's hash, in sorted arrays. Ids of
 a text are gathered from there, and decoded to see that their bytes are the text's: where they are not, two pieces
 share a hash, and the pieces of that batch are told apart by their bytes. Every split of a token into two tokens is a merge at that token's
@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Hasher, received, send, slices, text_bytes
+from .common import Hasher, kept, send, slices, text_bytes
 
-#: Pieces kept by a task; beyond, its store starts afresh.
+#: Pieces kept by a worker; beyond, its store starts afresh.
 MOST_PIECES = 1_500_000
 #: Mapped pieces that go to the library as one text.
 AT_ONCE = 400
@@ -120,7 +120,7 @@ def piece_starts(points: np.ndarray, row: np.ndarray, classes: np.ndarray) -> np
 
 
 class Encoder:
-    """Ids of the rows of a column. Made once in each task."""
+    """Ids of the rows of a column. Made once in each Python worker."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,12 +167,16 @@ class Encoder:
         return start, np.append(start[1:], len(data))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ids of all rows, id offsets of each row, and the rows' bytes and byte offsets."""
+        """ids of all rows, id offsets of each row, and the rows' bytes and byte offsets; the bytes that the ids decode to are in `back`."""
         data, off = text_bytes(column)
         start, end = self.pieces(data, off)
         if not len(start):
+            self.back = np.empty(0, np.uint8)
             return np.empty(0, np.uint32), np.zeros(len(off), np.int64), data, off
-        key, first, which = np.unique(self.hasher(data, start, end), return_index=True, return_inverse=True)
+        # distinct hashes in order of their first piece, found by a hash table instead of a sort
+        coded = pa.array(self.hasher(data, start, end).view(np.int64)).dictionary_encode()
+        key, which = coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         if len(self.known) > MOST_PIECES:
             self.forget()
         new = np.ones(len(key), dtype=bool)
@@ -187,9 +191,10 @@ class Encoder:
             self.known, self.at, self.size = np.concatenate([self.known, key[new]])[order], self.at[order], self.size[order]
         here = np.searchsorted(self.known, key)[which]
         ids, total = self.gathered(self.at[here], self.size[here], self.pool)
-        back = self.decode(ids)
-        if len(back) != len(data) or not np.array_equal(back, data):
+        self.back = self.decode(ids)
+        if len(self.back) != len(data) or not np.array_equal(self.back, data):
             ids, total = self.by_bytes(data, start, end)
+            self.back = self.decode(ids)
         before = np.concatenate([[0], total])[np.searchsorted(start, off)]
         return ids, before, data, off
 
@@ -235,11 +240,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], with_ids: bool =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", char_start array<int>, char_end array<int>" * with_offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(received(sent))
+        encoder = kept(sent, Encoder)
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 ids, at, data, off = encoder.encode(part.column("text"))
-                raw, back = ids.astype("<u4").tobytes(), encoder.decode(ids).tobytes()
+                raw, back = ids.astype("<u4").tobytes(), encoder.back.tobytes()
                 ends = np.concatenate([[0], np.cumsum(encoder.length[ids])])[at]
                 out = [
                     part.column("doc_id"),

@@ -11,7 +11,7 @@ import gc
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that numpy handles at once; a longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
 #: Bytes over which one run of prefix hashes reaches.
-HASH_BLOCK = 1 << 18
+HASH_BLOCK = 1 << 15
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -74,6 +74,13 @@ def received(sent: Broadcast) -> object:
     return pickle.loads(sent.value)
 
 
+def kept(sent: Broadcast, make: Callable[[object], object]) -> object:
+    """What make() gives of a broadcast thing, made once by each Python worker and used again by its later tasks."""
+    if not hasattr(sent, "_kept"):
+        sent._kept = make(received(sent))
+    return sent._kept
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and what its plan left behind can go."""
     spark = df.sparkSession

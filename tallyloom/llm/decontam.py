@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Hasher, Words, received, same_bytes, send, slices
+from .common import ALNUM, Hasher, Words, kept, received, same_bytes, send, slices
 
 WINDOW = 10
 #: Symbols of runs after which a shard's index is built, and bytes of phrases that are searched at once.
@@ -250,7 +250,7 @@ class Searcher:
     """Hits of all blocks in the columns of a task."""
 
     def __init__(self, blocks: list[Broadcast]) -> None:
-        self.blocks, self.only = blocks, received(blocks[0]) if len(blocks) == 1 else None
+        self.blocks, self.only = blocks, kept(blocks[0], lambda x: x) if len(blocks) == 1 else None
 
     def __call__(self, columns: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray, list[list[str]]]]:
         """For each column: the range of words of each row, which words are hit, and the names of each row's items."""

@@ -13,6 +13,7 @@ documents that the models have not seen, of the margin to the next language; bel
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, received, send, slices
+from .common import kept, mixed, send, slices
 
 ORDER = 4
 #: Documents of a language that are sampled, in expectation: the larger of a number and a multiple of the root of all there are.
@@ -185,6 +186,11 @@ class Identifier:
         return float(1 / (1 + np.exp(-(self.slope * gap + self.intercept))))
 
 
+@functools.lru_cache(1)
+def letter_table() -> Letters:
+    return Letters()
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and intercept by Newton steps, with one made-up case of either kind so that both exist."""
     n = len(x)
@@ -217,7 +223,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier | None:
     sample = pool.where(draw < share).select("text", "lang", fifth.alias("calibrates"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Letters()
+        letters = letter_table()
         for batch in batches:
             for part in slices(batch):
                 found: dict[tuple, int] = {}
@@ -241,7 +247,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier | None:
     sent = send(docs.sparkSession, models)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, letters = received(sent), Letters()
+        known, letters = kept(sent, lambda x: x), letter_table()
         for batch in batches:
             found = [margin(known.entropies([t], letters)[0]) for t in batch.column("text").to_pylist()]
             right = [known.languages[b] == x for (b, _), x in zip(found, batch.column("lang").to_pylist(), strict=True)]
@@ -261,7 +267,7 @@ def identify(docs: DataFrame, identifier: Identifier | None, reject: float = REJ
     sent = send(docs.sparkSession, identifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, letters = received(sent), Letters()
+        known, letters = kept(sent, lambda x: x), letter_table()
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import SLICE, Encoder, Vocabulary
-from .common import received, send, slices
+from .common import kept, send, slices
 
 RECORD = np.dtype([("doc_id", "<i8"), ("null_id", "<u4"), ("bytes", "<u4"), ("offset", "<i8"), ("ids", "<i8")])
 #: Compressed bytes after which a block is closed.
@@ -88,7 +88,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
     total = docs.count()
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = FileEncoder(*received(sent))
+        encoder = kept(sent, lambda x: FileEncoder(*x))
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 ids = encoder.documents(part.column("text"), end_id)
@@ -108,7 +108,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part_no, number, start = FileEncoder(*received(sent)), TaskContext.get().partitionId(), 0, 0
+        encoder, part_no, number, start = kept(sent, lambda x: FileEncoder(*x)), TaskContext.get().partitionId(), 0, 0
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(packed.value, dict_type=zstandard.DICT_TYPE_RAWCONTENT if packed.value[:4] != b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_FULLDICT), write_checksum=False)
         frames, records, held = [], [], 0
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import cohort, contracts
-from tallyloom.sources import manifest
+from tallyloom.sources import configs, manifest
 
 RULES = lambda df: {(r["rule"], r["key"]) for r in df.collect()}
 
@@ -112,3 +112,35 @@ def test_tiers_and_demonstrations(spark):
     assert got == chosen and len(got) == 3
     with pytest.raises(ValueError, match="of 9 products"):
         cohort.diverse_products(df, {"s": 9, "m": 0}, {}, 9)
+
+
+def test_configs(tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "plan-a", "benchmark": "b", "fingerprint": "f", "capabilities": ["json"]}')
+    (tmp_path / "b.yaml").write_text("id: plan-b\nbenchmark: b\nfingerprint: g\n") if configs.yaml else None
+    plans = configs.load_folder(tmp_path)
+    assert configs.run_plans(plans, "b", "f") == ["plan-a"] and configs.run_plans(plans, "b", capabilities=set()) == (["plan-b"] if configs.yaml else [])
+    bad = {"c.json": ('{"id": "x", "id": "y"}', "repeated key"), "d.json": ("[1]", "not a mapping"), "e.json": ('{"id": "Bad Id"}', "no identifier"), "f.json": ('{"id": "plan-a"}', "registered twice")}
+    if configs.yaml:
+        bad["g.yaml"] = ("id: x\nid: y\n", "repeated key")
+    for name, (text, why) in bad.items():
+        (tmp_path / name).write_text(text)
+        with pytest.raises(configs.ConfigError, match=why):
+            configs.load_folder(tmp_path)
+        (tmp_path / name).unlink()
+
+
+def test_balanced_cohort_against_brute_force(spark):
+    rows = [(k // 2, ("en", "fr", None)[k % 3], ("x", "y")[(k * k) % 5 % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "unit int, lang string, kind string").repartition(3)
+    got = [r["unit"] for r in cohort.balanced_units(df, "unit", ["lang", "kind"], 9, 4).orderBy("pick").collect()]
+    values = lambda r: [("lang", r[1] or "<null>"), ("kind", r[2])]
+    share = lambda units: {v: n / len(units) for v in {v for r in rows for v in values(r)} for n in [sum(v in values(r) for r in units)]}
+    target, chosen = share(rows), []
+    rank = {u: hashlib.sha256(f"4:{u}".encode()).hexdigest() for u in range(30)}
+    for _ in range(9):
+        def cost(u):
+            mine = share([r for r in rows if r[0] in (*chosen, u)])
+            return round(sum(abs(mine[v] - target[v]) for v in target), 12), rank[u], u
+
+        chosen.append(min((u for u in range(30) if u not in chosen), key=cost))
+    assert got == chosen

@@ -45,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like this one that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir)."""
     return f"{checkpoint_root(spark)}/{what}-{uuid.uuid4().hex}"

@@ -194,15 +194,15 @@ def fit_cumulative_link(design: Design, grade: np.ndarray, grades: int, weight:
     return w * scale, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with a column `__linear`: the score of each whole text, 0 for a null or empty one."""
+def scored(docs: DataFrame, weights: np.ndarray, name: str = "__linear") -> DataFrame:
+    """docs with a column of this name, which they may not have: the score of each whole text, 0 for a null or empty one."""
     sent = send(docs.sparkSession, weights.astype(np.float32))  # of fixed size
-    schema = T.StructType([*docs.schema.fields, T.StructField("__linear", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = Hasher(), received(sent)
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(part.column("text"), hasher, w))], [*part.schema.names, "__linear"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(part.column("text"), hasher, w))], [*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)

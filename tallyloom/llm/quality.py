@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .hashtext import SAMPLE_DOCS, fit_cumulative_link, sampled, scored
 
 #: Grades: 0 harmful, 1 poor, 2 good.
@@ -20,17 +21,15 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.cast("int").alias("grade")).where("grade is not null")
 
 
-def _above(cut: float) -> Column:
-    return 1 / (1 + F.exp(F.lit(float(cut)) - F.col("__linear")))
-
-
-def _rated(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataFrame, Column, Column]:
-    """docs with a linear score, and the expected grade and tail probability on it."""
+def _rated(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataFrame, str, Column, Column]:
+    """docs with a linear score, the name of its column, and the expected grade and tail probability on it."""
+    name = fresh(docs, "linear_score")
+    above = lambda cut: 1 / (1 + F.exp(F.lit(float(cut)) - F.col(name)))
     design, grade, _, weight = sampled(docs, grades(labels), sample_docs)
     if len(set(grade.tolist())) < 2:
-        return docs.withColumn("__linear", F.lit(0.0)), F.lit(float(GRADES - 1)), F.lit(1.0)
+        return docs.withColumn(name, F.lit(0.0)), name, F.lit(float(GRADES - 1)), F.lit(1.0)
     weights, cuts = fit_cumulative_link(design, grade, GRADES, weight)
-    return scored(docs, weights), sum((_above(c) for c in cuts[1:]), _above(cuts[0])), _above(cuts[-1])
+    return scored(docs, weights, name), name, sum((above(c) for c in cuts[1:]), above(cuts[0])), above(cuts[-1])
 
 
 def rate(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -40,13 +39,13 @@ def rate(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_docs: in
     is rated on its whole text and stays, with all its columns; repeated rows are rated alike. A null or
     empty text has no features and scores 0 before the thresholds. Without labels of two grades there is no
     model: all tail probabilities are 1 and all rows are kept. An empty table gives an empty result."""
-    out, expected, tail = _rated(docs, labels, sample_docs)
-    return out.withColumns({"expected_grade": expected, "tail_probability": tail, "kept": tail >= keep}).drop("__linear")
+    out, name, expected, tail = _rated(docs, labels, sample_docs)
+    return out.withColumns({"expected_grade": expected, "tail_probability": tail, "kept": tail >= keep}).drop(name)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of docs whose tail probability reaches keep, as they are; without a model, all of them.
 
-    Null and empty texts, ties, repeated rows and empty tables are as in rate(); columns may have any name but `__linear`."""
-    out, _, tail = _rated(docs, labels, sample_docs)
-    return out.where(tail >= keep).drop("__linear")
+    Null and empty texts, ties, repeated rows and empty tables are as in rate(); columns may have any name."""
+    out, name, _, tail = _rated(docs, labels, sample_docs)
+    return out.where(tail >= keep).drop(name)

@@ -161,6 +161,9 @@ def test_quality_odd(spark, odd, empty, no_labels):
     kept = quality.keep_good(odd, labels)
     assert kept.columns == odd.columns and {r["kept"] for r in quality.keep_good(odd, no_labels).collect()} == {"mine"}
     assert quality.rate(odd, labels).count() == odd.count() and quality.rate(empty, labels).count() == 0
+    clash = odd.selectExpr("*", "'mine' as Linear_Score", "'too' as linear_score_")
+    assert quality.keep_good(clash, labels).columns == clash.columns
+    assert {(r["Linear_Score"], r["linear_score_"]) for r in quality.keep_good(clash, no_labels).collect()} == {("mine", "too")}
 
 
 def brute_counts(text):

@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, decontamination, byte-level BPE."""
+"""Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, decontamination, byte-level BPE.
+
+Every stage takes null doc_ids, null, empty and very long texts, ties, repeated rows, an empty table and further columns of any
+name, as its operator says: a null or empty text is rated by the model's thresholds, loses no line, is in no group, is not hit, and
+has no ids; rows that repeat are treated alike; an empty table stays empty."""
 
 from __future__ import annotations
 

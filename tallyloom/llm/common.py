@@ -10,6 +10,7 @@ import functools
 import gc
 import pickle
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -109,9 +110,15 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more; at most once a second, as steps
+    that take less leave little behind."""
+    if time.monotonic() - _released[0] >= 1:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
+_released = [0.0]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

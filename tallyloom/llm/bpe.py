@@ -28,6 +28,7 @@ from .common import Hasher, kept, send, slices, text_bytes
 MOST_PIECES = 1_500_000
 #: Mapped pieces that go to the library as one text.
 AT_ONCE = 400
+#: Bytes of text that are encoded at once.
 SLICE = 1 << 20
 SPACE, OTHER, LETTER, NUMBER = 0, 1, 2, 3
 

@@ -63,7 +63,42 @@ o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o
 """
 
+_BLANKS = r"\x20\x09-\x0D"
+
+#: CRC-32 by its byte table, the damage, the faults, and a step a row that keeps the cheapest (cost, audit) of each of four states.
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)) AS v FROM (SELECT unnest(range(256)) AS b))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS fate FROM k, crc),
+d AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM f, (SELECT unnest([1, 2]) AS copy) WHERE fate <> 0 AND (copy = 1 OR fate = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS r FROM d),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{_BLANKS}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{_BLANKS}]*\z') THEN 'truncated' END AS fault,
+  lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM o),
+m AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM g),
+s AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS s0, {{'c': 1000000000::BIGINT, 'a': ''}} AS s1, {{'c': 5::BIGINT, 'a': 'I'}} AS s2, {{'c': 10::BIGINT, 'a': 'II'}} AS s3 FROM m
+  UNION ALL
+  SELECT conv_id, i, n0, n1, n2, least(n3, {{'c': n2.c + 5, 'a': n2.a || 'I'}}) FROM (
+    SELECT conv_id, i, n0, n1, n3, list_min([n2, {{'c': n0.c + 5, 'a': n0.a || 'I'}}, {{'c': n1.c + 5, 'a': n1.a || 'I'}}, {{'c': n3.c + 5, 'a': n3.a || 'I'}}]) AS n2 FROM (
+      SELECT s.conv_id, m.i,
+        {{'c': s0.c + 2, 'a': s0.a || 'D'}} AS n0,
+        least({{'c': s1.c + 2, 'a': s1.a || 'D'}}, {{'c': CASE WHEN gone OR r <> 's' THEN 1000000000 ELSE s0.c + more END, 'a': s0.a || 'K'}}) AS n1,
+        list_min(list_prepend({{'c': s2.c + 2, 'a': s2.a || 'D'}}, flatten(list_transform([s0, s1, s3], lambda p: [{{'c': CASE WHEN gone OR r <> 'u' THEN 1000000000 ELSE p.c + more END, 'a': p.a || 'K'}}, {{'c': CASE WHEN gone THEN 1000000000 ELSE p.c + more + 1 END, 'a': p.a || 'R'}}])))) AS n2,
+        list_min([{{'c': s3.c + 2, 'a': s3.a || 'D'}}, {{'c': CASE WHEN gone OR r <> 'a' THEN 1000000000 ELSE s2.c + more END, 'a': s2.a || 'K'}}, {{'c': CASE WHEN gone THEN 1000000000 ELSE s2.c + more + 1 END, 'a': s2.a || 'R'}}]) AS n3
+      FROM s JOIN m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.i = s.i + 1))),
+b AS (SELECT conv_id, least(s0, s3) AS best FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+-- each letter of the audit, the row that it takes and the roles before it
+x AS (SELECT conv_id, best.c AS cost, best.a AS audit, unnest(range(1, length(best.a) + 1)) AS p FROM b),
+y AS (SELECT conv_id, p, audit[p] AS e, length(replace(audit[:p], 'I', '')) AS i, length(replace(replace(audit[:p], 'D', ''), 'S', '')) AS nth FROM x),
+z AS (SELECT y.conv_id, p, e, nth, role, text, coalesce(any_value(role) FILTER (nth = 1) OVER (PARTITION BY y.conv_id), '') AS opening FROM y LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM y.conv_id AND m.i = y.i AND e <> 'I' WHERE e <> 'D'),
+w AS (SELECT *, bool_or(nth = 1 AND e = 'K' AND left(role, 1) = 's') OVER (PARTITION BY conv_id) AS led FROM z),
+q AS (SELECT conv_id, sha256(string_agg((CASE e WHEN 'K' THEN role ELSE CASE (nth + led::INT) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END) || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS digest FROM w GROUP BY 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLE_SQL = {
+    "op11_conversation_repair": CONVERSATION_REPAIR,
     "op3_benchmark_decontamination": DECONTAMINATION,
     "op7_ngram_jaccard_join": NGRAM_GROUPS,
     "op9_chat_format": CHAT_FORMAT,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatformat, decontam, langid, licenses, linededup, quality, rules, tokenstore
+from . import bpe, chatformat, decontam, langid, licenses, linededup, quality, repair, rules, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 from .oracle import ORACLE_SQL
@@ -61,6 +61,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.read_back(chatformat.format_turns(turns))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.summaries(repair.edits(repair.damaged(turns)), turns)
+
+
 def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that SQL can express."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("labels", "score", "matches")
@@ -84,6 +89,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
+    "op11_conversation_repair": op11_conversation_repair,
     "license_places": license_places,
     "quality_rule_counts": quality_rule_counts,
 }

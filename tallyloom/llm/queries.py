@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatformat, decontam, langid, licenses, linededup, quality, repair, rules, tokenstore
+from . import bpe, chatformat, decontam, langid, licenses, linededup, quality, repair, rules, shards, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 from .oracle import ORACLE_SQL
@@ -66,6 +66,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.summaries(repair.edits(repair.damaged(turns)), turns)
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a store of 16 shards, brought to 24, and read back."""
+    path = shared_dir(spark, "shards")
+    shards.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, 16)
+    shards.reshard(spark, path, 24)
+    stored = shards.read_shards(spark, path)
+    nothing = F.lit(None).cast("int").alias("grown_shard")
+    return stored.select("row.doc_id", shards.text_size("row.text").alias("size"), shards.text_crc32("row.text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), nothing)
+
+
 def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that SQL can express."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("labels", "score", "matches")
@@ -90,6 +100,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_sharding": op13_sharding,
     "license_places": license_places,
     "quality_rule_counts": quality_rule_counts,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatformat, decontam, langid, licenses, linededup, quality, repair, rules, shards, tokenstore
+from . import alignment, bpe, chatformat, decontam, langid, licenses, linededup, quality, repair, rules, shards, tokenstore
 from .common import shared_dir, table
 from .ngramjoin import ngram_groups
 from .oracle import ORACLE_SQL
@@ -66,6 +66,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.summaries(repair.edits(repair.damaged(turns)), turns)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *alignment.sources(bpe.vocabulary_path("byte_bpe_50k.json"), bpe.vocabulary_path("piece_bpe_32k.model")))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a store of 16 shards, brought to 24, and read back."""
     path = shared_dir(spark, "shards")
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
     "op13_sharding": op13_sharding,
     "license_places": license_places,
     "quality_rule_counts": quality_rule_counts,

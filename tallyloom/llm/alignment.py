@@ -5,28 +5,28 @@ over the text, each giving ids and the byte at which each token ends. The rest i
 of the end arrays gives the cuts, sorted unions of ends and cuts their places among the tokens, and transform, sequence and
 slice the groups and links. Ids linked in a document are counted once for it; counts meet the documents again in a join.
 
-sentencepiece's merges never cross from a word into the spaces before the next one, nor a character that no longer piece holds, so B is
-called on each distinct stretch between such places; Segments checks that the model's pieces allow it.
+A worker sends the libraries each distinct stretch of text once: A's pattern gives such pieces, and sentencepiece's merges never cross from a
+word into the spaces before the next one, nor a control character that no longer piece holds, which PieceSide checks. Decoded ids are compared with the bytes.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, send, slices, stored
+from .bpe import Encoder, Vocabulary
+from .common import Hasher, kept, send, slices, stored
+from .tokenstore import ranks_in
 
 #: Bytes of text that are tokenised at once.
-SLICE = 256 << 10
-#: Stretches kept by a worker, and the longest that is kept; beyond, the store starts afresh.
-MOST_SEGMENTS, LONGEST = 400_000, 64
+SLICE = 512 << 10
 #: Id pairs whose counts are broadcast (16 bytes each); more go through a shuffled join.
 BROADCAST_PAIRS = 1 << 20
 #: An id pair as one number: A id times this, plus B id.
@@ -36,113 +36,75 @@ MARK = "▁"
 TOKENS = "row long, doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
 
 
-class ByteBPE:
-    """A: a tokenizers file, special tokens being plain text, and the bytes of each id."""
+class ByteSide(Encoder):
+    """A: the ids of a tokenizers file for plain text, and the bytes of each."""
 
     def __init__(self, source: str) -> None:
-        import json
+        super().__init__(Vocabulary(ranks_in(source)))
 
-        from tokenizers import Tokenizer
 
-        from .bpe import byte_characters
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
-        byte = {c: b for b, c in enumerate(byte_characters())}
-        vocabulary = json.loads(source)["model"]["vocab"]
-        self.tokens = [b""] * (max(vocabulary.values()) + 1)
-        for token, k in vocabulary.items():
-            self.tokens[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-
-
-class Segments:
-    """B: a sentencepiece model, called on distinct stretches of text, and the bytes of each id."""
+class PieceSide(Encoder):
+    """B: the ids of a sentencepiece model for text behind one space, found by stretches, and the bytes of each."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
-        self.tokens = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
-        joined = "".join(p for k, p in enumerate(pieces) if len(p) > 1 and not self.model.is_byte(k) and not self.model.is_control(k) and not self.model.is_unknown(k))
-        alone = "".join(c for c in "\n\t\r" if c not in joined)
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        #: A stretch: a lone character, or spaces with what follows up to the next space or lone character.
-        self.pattern = None if crossing or alone[:1] != "\n" else re.compile(f"[{alone}]| *[^ {alone}]+| +")
-        self.begin()
-
-    def begin(self) -> None:
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.pattern:
-            return self.model.encode(texts, num_threads=1)
-        if len(self.known) > MOST_SEGMENTS:
-            self.begin()
-        found = [self.pattern.findall(" " + t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(found)).difference(self.known))
-        # behind a line feed, which is a token by itself, the library's own space in front does no harm
-        fresh = dict(zip(new, (ids[2:] for ids in self.model.encode(["\n" + s for s in new], num_threads=1)), strict=True))
-        ids = self.known | fresh if len(fresh) > len(self.known) else None
-        look = ids if ids is not None else self.known
-        if ids is None:
-            self.known.update(fresh)
-        out = [list(chain.from_iterable(map(look.__getitem__, f))) for f in found]
-        if ids is not None:
-            self.known = ids
-        for s in fresh:
-            if len(s) > LONGEST:
-                del self.known[s]
-        return out
+        tokens = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
+        self.length, self.token_bytes = np.array([len(t) for t in tokens], dtype=np.int64), np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.token_start = np.cumsum(self.length) - self.length
+        held = "".join(p for k, p in enumerate(pieces) if len(p) > 1 and not self.model.is_byte(k))
+        if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) or "\n" in held:
+            raise ValueError("pieces of this model cross from a word into spaces, or hold a line feed")
+        self.lone = np.array([chr(c) not in held and c < 0x20 for c in range(256)])
+        self.hasher = Hasher()
+        self.forget()
+
+    def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches: a lone control character, or spaces with what follows up to the next space or lone character."""
+        if not len(data):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        space, lone = data == 0x20, self.lone[data]
+        begin = lone.copy()
+        begin[1:] |= lone[:-1] | (space[1:] & ~space[:-1])
+        begin[off[off < len(data)]] = True
+        start = np.flatnonzero(begin)
+        return start, np.append(start[1:], len(data))
+
+    def merge(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # behind a line feed, which is a token by itself, the space that the library puts in front does no harm
+        raw = data.tobytes()
+        ids = [x[2:] for x in self.model.encode(["\n" + raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)], num_threads=1)]
+        count = np.array([len(x) for x in ids], dtype=np.int64)
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(count.sum())), count
 
 
 class Both:
     """Both tokenizers in a worker: ids and ends of each text, none where the tokens' bytes are not the text's."""
 
     def __init__(self, sources: tuple[str, bytes]) -> None:
-        self.sides = [ByteBPE(sources[0]), Segments(sources[1])]
-        self.length = [np.array([len(t) for t in s.tokens], dtype=np.int64) for s in self.sides]
-        self.flat = [np.frombuffer(b"".join(s.tokens), dtype=np.uint8) for s in self.sides]
-        self.start = [np.cumsum(n) - n for n in self.length]
-
-    def tokens(self, texts: list[str]) -> list[pa.ListArray]:
-        raw = [(" " + t).encode() if t else b"" for t in texts]
-        size = np.array([len(r) for r in raw], dtype=np.int64)
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        off = np.concatenate([[0], np.cumsum(size)])
+        self.sides = [ByteSide(sources[0]), PieceSide(sources[1])]
+
+    def tokens(self, texts: pa.Array) -> list[pa.ListArray]:
+        texts = pc.if_else(pc.greater(pc.binary_length(texts), 0), pc.binary_join_element_wise("", texts, " "), "")
         good, found = np.ones(len(texts), dtype=bool), []
-        for k, side in enumerate(self.sides):
-            ids = side.encode(texts)
-            count = np.array([len(x) if t else 0 for x, t in zip(ids, texts, strict=True)], dtype=np.int64)
-            flat = np.fromiter(chain.from_iterable(x if t else () for x, t in zip(ids, texts, strict=True)), dtype=np.int64, count=int(count.sum()))
-            good &= self.same(k, flat, count, data, off)
-            found.append((flat, count))
+        for side in self.sides:
+            ids, at, data, off = side.encode(texts)
+            reach = np.concatenate([[0], np.cumsum(side.length[ids])])
+            if len(side.back) != len(data) or not np.array_equal(side.back, data):
+                parts = zip(reach[at[:-1]], reach[at[1:]], off[:-1], off[1:], strict=True)
+                good &= np.array([np.array_equal(side.back[a:b], data[c:d]) for a, b, c, d in parts], dtype=bool)
+            found.append((ids, at, reach))
         out = []
-        for k, (flat, count) in enumerate(found):
-            stay = np.repeat(good, count)
-            flat, count = flat[stay], np.where(good, count, 0)
-            at = np.concatenate([[0], np.cumsum(count)])
-            reach = np.concatenate([[0], np.cumsum(self.length[k][flat])])
+        for ids, at, reach in found:
+            count = np.diff(at)
             ends = reach[1:] - np.repeat(reach[at[:-1]], count)
-            out += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (flat, ends)]
+            stay = np.repeat(good, count)
+            at = np.concatenate([[0], np.cumsum(np.where(good, count, 0))])
+            out += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x[stay].astype(np.int32))) for x in (ids, ends)]
         return out
 
-    def same(self, k: int, flat: np.ndarray, count: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Which rows' tokens spell the row's bytes."""
-        size = self.length[k][flat]
-        total = np.cumsum(size)
-        reach = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(count)])]
-        spelled = self.flat[k][np.repeat(self.start[k][flat] - total + size, size) + np.arange(int(reach[-1]))]
-        if len(spelled) == len(data) and np.array_equal(reach, off):
-            good = np.ones(len(count), dtype=bool)
-            good[np.searchsorted(off, np.flatnonzero(spelled != data), side="right") - 1] = False
-            return good
-        return np.array([np.array_equal(spelled[a:b], data[c:d]) for a, b, c, d in zip(reach[:-1], reach[1:], off[:-1], off[1:], strict=True)], dtype=bool)
-
 
 def tokenised(docs: DataFrame, a_source: str, b_source: bytes) -> DataFrame:
     """docs (doc_id, text) -> ids and byte ends of both tokenizers; no tokens where a text is null, empty or not spelled by both.
@@ -154,8 +116,8 @@ def tokenised(docs: DataFrame, a_source: str, b_source: bytes) -> DataFrame:
         both = kept(sent, Both)
         for batch in batches:
             for part in slices(batch, limit=SLICE):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *both.tokens(texts)], ["row", "doc_id", "a", "a_ends", "b", "b_ends"])
+                tokens = both.tokens(pc.fill_null(part.column("text"), ""))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *tokens], ["row", "doc_id", "a", "a_ends", "b", "b_ends"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, TOKENS)
@@ -173,58 +135,53 @@ def _places(ends: Column, cuts: Column) -> Column:
     return let(union, lambda u: F.transform(twice(u), lambda k, g: k - g))
 
 
-def _stretch(of: Column, places: Column, g: Column) -> Column:
-    """The tokens of group g: those behind the cut before it, up to its own cut."""
-    first = F.when(g == 0, 0).otherwise(F.get(places, g - 1) + 1)
-    return F.slice(of, first + 1, F.get(places, g) - first + 1)
+NO_SPANS = "array<struct<p:int,x:int,q:int,y:int>>"
 
 
 def groups(tokens: DataFrame) -> DataFrame:
-    """tokens -> their columns and `groups`, array of (a array<int>, b array<int>), in order."""
-    cut = F.array_intersect("a_ends", "b_ends")
-    cuts = tokens.withColumn("cuts", cut).where("size(cuts) >= 0")
-    placed = cuts.withColumn("ia", F.when(F.size("cuts") > 0, _places(F.col("a_ends"), F.col("cuts")))).withColumn("ib", F.when(F.size("cuts") > 0, _places(F.col("b_ends"), F.col("cuts"))))
-    made = F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), lambda g: F.struct(_stretch(F.col("a"), F.col("ia"), g).alias("a"), _stretch(F.col("b"), F.col("ib"), g).alias("b")))
-    nothing = F.array().cast("array<struct<a:array<int>,b:array<int>>>")
-    return placed.withColumn("groups", F.when(F.size("cuts") > 0, made).otherwise(nothing)).drop("cuts", "ia", "ib")
+    """tokens -> their columns and `groups`, array of (p, x, q, y): group g has A's tokens p + 1 to x and B's q + 1 to y, places from 0."""
+    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    some = F.size("cuts") > 0
+    placed = cut.withColumns({"ia": F.when(some, _places(F.col("a_ends"), F.col("cuts"))), "ib": F.when(some, _places(F.col("b_ends"), F.col("cuts")))})
+    before = lambda of, g: F.coalesce(F.get(of, g - 1), F.lit(-1))
+    spans = F.transform("ia", lambda x, g: F.struct(before("ia", g).alias("p"), x.alias("x"), before("ib", g).alias("q"), F.get("ib", g).alias("y")))
+    return placed.withColumn("groups", F.when(some, spans).otherwise(F.array().cast(NO_SPANS))).drop("cuts", "ia", "ib")
 
 
-def _shown(groups_: Column) -> Column:
-    numbers = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups_, lambda g: F.concat(numbers(g["a"]), F.lit("|"), numbers(g["b"]))), ";")
+def _single(s: Column) -> Column:
+    """A group of one token each, as most are."""
+    return (s["x"] - s["p"] == 1) & (s["y"] - s["q"] == 1)
 
 
-def _pairs(groups_: Column) -> Column:
-    """Sorted codes of all linked occurrences."""
-    code = lambda x, y: x.cast("long") * PAIR + y
-    of = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: code(x, y))))
-    return F.sort_array(F.flatten(F.transform(groups_, of)))
+def _shown(spans: Column, a: Column, b: Column) -> Column:
+    """The groups as text, from ids as text."""
+    some = lambda of, low, high: F.array_join(F.slice(of, low + 2, high - low), ",")
+    one = lambda s: F.concat(F.get(a, s["x"]), F.lit("|"), F.get(b, s["y"]))
+    more = lambda s: F.concat(some(a, s["p"], s["x"]), F.lit("|"), some(b, s["q"], s["y"]))
+    return F.array_join(F.transform(spans, lambda s: F.when(_single(s), one(s)).otherwise(more(s))), ";")
 
 
-def _runs(codes: Column) -> Column:
-    """(pair, n) of each distinct code of a sorted array."""
-    last = lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda k: (k == F.size(c) - 1) | (F.get(c, k) != F.get(c, k + 1)))
-    made = lambda c, ends: F.transform(ends, lambda e, k: F.struct(F.get(c, e).alias("pair"), (e - F.when(k == 0, -1).otherwise(F.get(ends, k - 1))).alias("n")))
-    return let(codes, lambda c: let(last(c), lambda ends: made(c, ends)))
+def _pairs(spans: Column, a: Column, b: Column) -> Column:
+    """Codes of all linked occurrences."""
+    code = lambda x, y: x.cast("long") * PAIR + y
+    more = lambda s: F.flatten(F.transform(F.slice(a, s["p"] + 2, s["x"] - s["p"]), lambda x: F.transform(F.slice(b, s["q"] + 2, s["y"] - s["q"]), lambda y: code(x, y))))
+    return F.flatten(F.transform(spans, lambda s: F.when(_single(s), F.array(code(F.get(a, s["x"]), F.get(b, s["y"])))).otherwise(more(s))))
 
 
 def aligned(docs: DataFrame, a_source: str, b_source: bytes) -> DataFrame:
-    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs array<(pair long, n int)>): each row's distinct links and how often it has them."""
-    made = groups(tokenised(docs, a_source, b_source))
-    some = F.size("groups") > 0
-    linked = made.select(
-        "row", "doc_id",
-        F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"),
-        F.when(some, F.sha2(_shown(F.col("groups")), 256)).otherwise("").alias("groups_sha256"),
-        F.when(some, _runs(_pairs(F.col("groups")))).otherwise(F.array().cast("array<struct<pair:bigint,n:int>>")).alias("pairs"),
-    )
-    n_links = F.aggregate("pairs", F.lit(0).cast("long"), lambda total, p: total + p["n"])
-    return linked.withColumn("n_links", n_links)
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links array<long>): `links` are the codes of all linked occurrences."""
+    made = groups(tokenised(docs, a_source, b_source)).withColumns({"a_text": F.col("a").cast("array<string>"), "b_text": F.col("b").cast("array<string>")})
+    size = lambda c: F.size(c).cast("long")
+    return made.select(
+        "row", "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), size("groups").alias("n_groups"),
+        F.when(F.size("groups") > 0, F.sha2(_shown(F.col("groups"), F.col("a_text"), F.col("b_text")), 256)).otherwise("").alias("groups_sha256"),
+        _pairs(F.col("groups"), F.col("a"), F.col("b")).alias("links"),
+    ).withColumn("n_links", size("links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     """(pair, n_docs, best): how many rows of aligned() link a pair of ids, and whether no pair of its A id has more."""
-    counts = rows.select(F.explode("pairs.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs")).withColumn("a_id", F.shiftright("pair", 32))
+    counts = rows.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs")).withColumn("a_id", F.shiftright("pair", 32))
     highest = counts.groupBy("a_id").agg(F.max("n_docs").alias("most"))
     return counts.join(highest, "a_id").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
 
@@ -237,9 +194,11 @@ def align_documents(docs: DataFrame, a_source: str, b_source: bytes, broadcast_p
     their own; an empty table gives an empty result; further columns are ignored."""
     rows = stored(aligned(docs, a_source, b_source), "alignment")
     counts = stored(pair_counts(rows), "pair-counts")
+    links = rows.select("row", F.explode("links").alias("pair"))
     if counts.count() <= broadcast_pairs:
-        counts = F.broadcast(counts)
-    links = rows.select("row", F.explode("pairs").alias("p")).select("row", "p.pair", "p.n").join(counts, "pair")
+        links = links.withColumn("n", F.lit(1)).join(F.broadcast(counts), "pair")
+    else:
+        links = links.groupBy("row", "pair").agg(F.count("*").alias("n")).join(counts, "pair")
     sums = links.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("n_docs")).alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

@@ -36,13 +36,18 @@ DDL = "part int, block int, first_id long, last_id long, rows long, tokens long,
 
 def ranks_of(tokenizer_json: str) -> dict[bytes, int]:
     """The byte tokens of a byte-level tokenizers file and their ids."""
+    with open(tokenizer_json, encoding="utf-8") as f:
+        return ranks_in(f.read())
+
+
+def ranks_in(source: str) -> dict[bytes, int]:
+    """As ranks_of(), from the file's text."""
     import json
 
     from .bpe import byte_characters
 
     of = {c: b for b, c in enumerate(byte_characters())}
-    with open(tokenizer_json, encoding="utf-8") as f:
-        return {bytes(of[c] for c in token): rank for token, rank in json.load(f)["model"]["vocab"].items()}
+    return {bytes(of[c] for c in token): rank for token, rank in json.loads(source)["model"]["vocab"].items() if all(c in of for c in token)}
 
 
 class FileEncoder(Encoder):

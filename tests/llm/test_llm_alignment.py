@@ -62,7 +62,7 @@ def brute(texts, libraries):
 
 def check(spark, texts, libraries, **more):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = alignment.align_documents(docs.withColumns({"row": F.lit("mine"), "a": F.lit(1), "pairs": F.lit("x")}), *alignment.sources(A, B), **more)
+    got = alignment.align_documents(docs.withColumns({"row": F.lit("mine"), "a": F.lit(1), "links": F.lit("x")}), *alignment.sources(A, B), **more)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert [tuple(r[n] for n in names) for r in got.orderBy("doc_id").collect()] == brute(texts, libraries)
 
@@ -76,8 +76,6 @@ def test_odd_texts_against_the_libraries(spark, libraries):
 
 
 def test_random_texts(spark, libraries, monkeypatch):
-    monkeypatch.setattr(alignment, "MOST_SEGMENTS", 40)
-    monkeypatch.setattr(alignment, "LONGEST", 6)
     monkeypatch.setattr(alignment, "SLICE", 300)
     rng = random.Random(12)
     parts = ["the", " the", "ing", "é", "日", "\n", "\t", " ", "  ", "123", "'s", "\U0001f600", "ß", "Zu", "straße", ".", "́", "</s>", "\r", "▁"]

@@ -132,15 +132,15 @@ def stratified_cases(cases: DataFrame, count: int, seed: int, purpose: str) -> l
     """`count` case ids, at most one per product: a quota from each stratum and language in order, by seeded hash, and the rest from
     whatever is left, by another.
 
-    Each of the eight groups can at most lose `count` products to the others, so its first 2 * count rows are all that the driver
-    has to see; too few cases are an error."""
+    A group takes the first row of each of its products, and the groups before it can take at most `count` products away, so its first
+    2 * count products are all that the driver has to see. The fill is another query, over the products that no quota took. Too few cases are an error."""
     if count <= 0:
         return []
     order = lambda what: hash_order(seed, F.lit(what), F.col("case_id").cast("string"), separator="|")
     ranked = cases.select(F.col("case_id").cast("string").alias("case_id"), F.col("product_id").cast("string").alias("product_id"), "stratum", "language", order(purpose).alias("h"), order(f"{purpose}:fill").alias("fill"))
+    heads = ranked.groupBy("stratum", "language", "product_id").agg(F.min_by("case_id", "h").alias("case_id"), F.min("h").alias("h"))
     group = W.partitionBy("stratum", "language").orderBy("h")
-    first = ranked.withColumn("k", F.row_number().over(group)).where(F.col("k") <= 2 * count).orderBy("h").collect()
-    spare = ranked.orderBy("fill").limit(4 * count).collect()
+    first = heads.withColumn("k", F.row_number().over(group)).where(F.col("k") <= 2 * count).orderBy("h").collect()
     chosen: list[str] = []
     used: set[str] = set()
     groups = [(s, x) for s in STRATA for x in LANGUAGES]
@@ -152,8 +152,9 @@ def stratified_cases(cases: DataFrame, count: int, seed: int, purpose: str) -> l
                 used.add(r["product_id"])
                 quota -= 1
     # the fill may repeat products of its own, but none that a quota took
-    left = [r["case_id"] for r in spare if r["product_id"] not in used]
-    chosen += left[: count - len(chosen)]
+    if len(chosen) < count:
+        free = ranked.where(~F.coalesce(F.col("product_id").isin(sorted(used)), F.lit(False))) if used else ranked
+        chosen += [r["case_id"] for r in free.orderBy("fill").limit(count - len(chosen)).collect()]
     if len(chosen) < count:
         raise ValueError(f"{purpose}: {len(chosen)} of {count} cases")
     return chosen

@@ -117,9 +117,8 @@ def labelled(cases: DataFrame, humans: DataFrame, observations: DataFrame, plan:
     reference = humans.where("annotation_stage = 'adjudicated'").select("case_id", "criterion", F.col("label").alias("reference_label"))
     seen = baseline_observations(observations, plan, by)
     grid = cases
-    if by:  # values of a factor are a handful, read off the observations
-        values = seen.select(*by).distinct()
-        grid = cases.join(F.broadcast(values.limit(1000)), how="cross") if "criterion" not in by else cases.join(F.broadcast(values.limit(1000)), how="cross")
+    if by:  # every case meets every observed value: that many rows are the result
+        grid = cases.join(seen.select(*by).distinct(), how="cross")
     if "criterion" not in by:
         grid = grid.withColumn("criterion", F.lit(plan.criterion))
     seen = seen.select("case_id", "criterion", *[b for b in by if b != "criterion"], F.col("label").alias("judge_label"), "status", "uncertainty")

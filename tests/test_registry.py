@@ -34,3 +34,8 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(got.columns) == sorted(want.columns)
     order = [want.columns.index(c) for c in got.columns]
     assert sorted((tuple(map(plain, r)) for r in got.collect()), key=repr) == sorted((tuple(plain(r[k]) for k in order) for r in want.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+def test_query_without_sql_runs(spark, name):
+    assert registry.QUERIES[name](spark, SF).collect()

@@ -149,3 +149,42 @@ def rescored(outputs: DataFrame, expected: str = "expected_output", output: str
         F.when(is_object, F.when(objects, wrong).otherwise(F.array().cast("array<string>"))).alias("json_mismatched_fields"),
     )
     return keyed.join(result, "__pair").drop("__pair")
+
+
+def fingerprint(rules: JsonRules = JsonRules(), expected: str = "expected_output", output: str = "model_output", route: str = "evaluation_type") -> Column:
+    """What a deterministic score depends on, as one hash: route, expected answer, output and rules."""
+    part = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    said = [F.coalesce(F.lower(F.trim(F.col(route))), F.lit("")), F.coalesce(F.col(expected), F.lit("")), F.coalesce(F.col(output), F.lit(""))]
+    return F.sha2(F.concat(*[part(c) for c in said], F.lit(repr(rules))), 256)
+
+
+def changed(outputs: DataFrame, saved: DataFrame | None, rules: JsonRules = JsonRules()) -> DataFrame:
+    """Distinct contents (fingerprint, evaluation_type, expected_output, model_output) of outputs that `saved` has no score of."""
+    each = outputs.withColumn("fingerprint", fingerprint(rules)).groupBy("fingerprint").agg(*[F.first(c).alias(c) for c in ("evaluation_type", "expected_output", "model_output")])
+    return each if saved is None else each.join(saved.select("fingerprint"), "fingerprint", "left_anti")
+
+
+def rescore_saved(outputs: DataFrame, model: str, saved: DataFrame | None = None, rules: JsonRules = JsonRules()) -> DataFrame:
+    """Saved outputs of one model with their scores, fingerprint, and `reused`: whether the score is one of `saved` (saved_scores of an earlier run).
+
+    Only contents without a score are scored, each once, however many cases share it; a change of rules changes all fingerprints. Outputs of no or another model,
+    and rows that a judge has to score, are a ValueError, as there is nobody to ask."""
+    route = F.lower(F.trim("evaluation_type"))
+    other = ~F.col("model_name").eqNullSafe(F.lit(model))
+    found = outputs.agg(F.count("*").alias("n"), F.count_if(other).alias("other"), F.min(F.when(other, F.coalesce("model_name", F.lit("null")))).alias("name"), F.count_if(route == "judge").alias("judged")).first()
+    if not found["n"] or found["other"]:
+        raise ValueError(f"outputs of {model} alone are wanted; {found['other']} of {found['n']} rows are another's, such as {found['name']}")
+    if found["judged"]:
+        raise ValueError(f"{found['judged']} rows need a judge")
+    fresh = score_outputs(changed(outputs, saved, rules), rules).withColumn("reused", F.lit(False))
+    names = [c for c in fresh.columns if c not in ("evaluation_type", "expected_output", "model_output")]
+    known = fresh.select(*names)
+    if saved is not None:
+        known = known.unionByName(saved.withColumn("reused", F.lit(True)).select(*names))
+    return outputs.withColumn("fingerprint", fingerprint(rules)).join(known, "fingerprint")
+
+
+def saved_scores(scored: DataFrame) -> DataFrame:
+    """What a later rescore_saved needs of this one: a row for each content."""
+    names = [c for c in scored.columns if c.startswith(("json_", "metric_", "exact_", "normalized_", "expected_is", "output_is"))]
+    return scored.groupBy("fingerprint").agg(*[F.first(c).alias(c) for c in names])

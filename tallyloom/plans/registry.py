@@ -471,4 +471,4 @@ def competition_rank(t):
     return t("supplier").select("s_suppkey", stats.rank_present(F.col("s_nationkey")).alias("rank"))
 
 
-from . import more  # noqa: E402, F401  registers further queries
+from . import more, saved  # noqa: E402, F401  register further queries

@@ -205,9 +205,20 @@ def dollars(value: Column, digits: int = 4) -> Column:
 
 
 def strength(text: Column) -> Column:
-    """A strength as a number without needless zeros: whole where it is whole. Null where the text is no number."""
-    found = text.try_cast("decimal(38,10)")
-    return F.when(found.isNotNull(), F.regexp_replace(F.regexp_replace(found.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    """A strength as a number without needless zeros: whole where it is whole, all of its digits else. Null where the text is no number.
+
+    A sign, digits with or without a point and an exponent make a number."""
+    said = trimmed(text)
+    part = lambda k: F.regexp_extract(said, r"\A([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?\z", k)
+    number = said.rlike(r"\A[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d{1,3})?\z")
+    power = F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
+    # the point moves by the exponent, over zeros where digits end
+    digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), -power)), part(2), part(3), F.repeat(F.lit("0"), F.greatest(F.lit(0), power)))
+    point = F.greatest(F.lit(0), -power) + F.length(part(2)) + power
+    whole = F.ltrim(F.substr(digits, F.lit(1), point), F.lit("0"))
+    rest = F.rtrim(F.substr(digits, point + 1), F.lit("0"))
+    shown = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
+    return F.when(number, F.concat(F.when((part(1) == "-") & (shown != "0"), "-").otherwise(""), shown))
 
 
 def complexity(pages: Column) -> Column:

@@ -150,7 +150,12 @@ def achieved_level(results: DataFrame, levels: list[str] = LEVELS, synthetic: bo
 
 
 def claim_block(results: DataFrame, level: str, required: str, levels: list[str] = LEVELS) -> DataFrame:
-    """One row: the weakest judge level among judged rows, and whether a claim that needs `required` is blocked."""
-    index = F.coalesce(F.array_position(F.lit(levels), F.col(level)), F.lit(0))
-    low = results.where("evaluation_source = 'judge'").agg(F.min(index).alias("low"), F.count(F.lit(1)).alias("judged_rows"))
-    return low.select("judged_rows", F.when(F.col("low") > 0, F.try_element_at(F.lit(levels), F.col("low").cast("int"))).alias("lowest_level"), F.coalesce(F.col("low") < levels.index(required) + 1, F.lit(False)).alias("blocked"))
+    """One row: the weakest judge level among judged rows, and whether a claim that needs `required` is blocked.
+
+    Judged rows are those whose evaluation_source is llm_judge. Rows without a level don't count; if none has one, or there is no such column, the
+    level is the first. An unknown level fails the query. Without judged rows nothing is blocked and the level is null."""
+    given = F.col(level).cast("string") if level in results.columns else F.lit(None).cast("string")
+    rank = F.array_position(F.lit(levels), given)
+    low = results.where("evaluation_source = 'llm_judge'").agg(F.min(rank).alias("low"), F.min(F.when(rank == 0, given)).alias("odd"), F.count("*").alias("judged_rows"))
+    low = low.withColumn("low", F.when(F.col("odd").isNotNull(), F.raise_error(F.concat(F.lit("unknown judge level: "), F.col("odd"))).cast("long")).when(F.col("judged_rows") > 0, F.coalesce("low", F.lit(1))))
+    return low.select("judged_rows", F.try_element_at(F.lit(levels), F.col("low").cast("int")).alias("lowest_level"), F.coalesce(F.col("low") < levels.index(required) + 1, F.lit(False)).alias("blocked"))

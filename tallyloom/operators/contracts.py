@@ -7,10 +7,14 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+from ..functions.variants import fields, number_of, strict_json, text_of, unfenced
 from .validate import _found, blank_keys, duplicate_keys, unknown_values, violations
 
 #: What an evidence record may be, and how ids are written.
-EVIDENCE_STATUSES, RECORD_ID = ["current", "superseded"], r"^[a-z0-9]+(?:[._-][a-z0-9]+)*$"
+EVIDENCE_STATUSES, SOURCE_KINDS, RECORD_ID = ["current", "stale", "superseded"], ["living", "versioned", "static", "local"], r"^[a-z0-9]+(?:[._-][a-z0-9]+)*$"
+#: Texts that an evidence record has to have.
+EVIDENCE_TEXTS = ["title", "evidence_type", "document", "section", "version_scope", "review_trigger"]
 IDENTIFIER, VERSION = r"^[a-z0-9][a-z0-9._-]*$", r"^\d+\.\d+\.\d+$"
 
 
@@ -28,15 +32,37 @@ def case_violations(cases: DataFrame, required: list[str], splits: list[str] | N
     return violations(*found)
 
 
-def judge_response(text: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """struct(score, passed, reason, error) of a judge's JSON answer {"score", "passed", "reason"}. error, null for a valid answer, says
-    what the first fault is; then score and passed are null."""
-    kind = "score double, passed boolean, reason string"
-    x = F.from_json(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", ""), kind)
-    error = F.when(text.isNull(), "no answer").when(x.isNull() | ~F.trim(text).rlike(r"^(```(json)?\s*)?\{"), "not a JSON object").when(x["score"].isNull(), "no score")
-    error = error.when(~x["score"].between(low, high), "score out of range").when(x["passed"].isNull(), "no verdict").when(F.coalesce(F.trim(x["reason"]), F.lit("")) == "", "no reason")
+def judge_response(text: Column, criteria: dict[str, float], low: float = 0.0, high: float = 1.0) -> Column:
+    """struct(score, scores, reason, error) of a judge's JSON answer {"criteria": {name: {"score", "reason"}}, "overall_reason"}.
+
+    criteria: weights by name; each has to be there, no other may be, with a number from low to high and a reason. score is the weighted mean of the scores
+    brought to 0 to 1. error, null for a valid answer, says the first fault; then the others are null."""
+    if high <= low:
+        raise ValueError("the highest score must be above the lowest")
+    answer = fields(strict_json(unfenced(text)))
+    given = fields(F.element_at(answer, F.lit("criteria")))
+    names = F.lit(sorted(criteria))
+    missing, more = F.array_except(names, F.map_keys(given)), F.array_except(F.map_keys(given), names)
+    error = F.when(text.isNull(), "no answer").when(answer.isNull(), "not a JSON object").when(given.isNull(), "criteria are no object")
+    error = error.when(F.size(missing) > 0, F.concat(F.lit("missing criteria: "), F.array_join(missing, ", "))).when(F.size(more) > 0, F.concat(F.lit("unexpected criteria: "), F.array_join(F.array_sort(more), ", ")))
+    filled = lambda value: F.coalesce(F.length(trimmed(text_of(value))) > 0, F.lit(False))
+    scores, total = [], F.lit(0.0)
+    for name, weight in criteria.items():
+        one = fields(F.element_at(given, F.lit(name)))
+        score = number_of(F.element_at(one, F.lit("score")))
+        error = error.when(one.isNull(), f"{name}: no object").when(score.isNull(), f"{name}: score is no number").when(~score.between(low, high), f"{name}: score out of range").when(~filled(F.element_at(one, F.lit("reason"))), f"{name}: no reason")
+        scores += [F.lit(name), score]
+        total += weighted_share(score, low, high) * weight
+    overall = F.element_at(answer, F.lit("overall_reason"))
+    error = error.when(~filled(overall), "no overall reason")
     fine = error.isNull()
-    return F.struct(F.when(fine, x["score"]).alias("score"), F.when(fine, x["passed"]).alias("passed"), F.when(fine, x["reason"]).alias("reason"), error.alias("error"))
+    mean = total / sum(criteria.values()) if sum(criteria.values()) else F.lit(0.0)
+    return F.struct(F.when(fine, mean).alias("score"), F.when(fine, F.create_map(*scores)).alias("scores"), F.when(fine, text_of(overall)).alias("reason"), error.alias("error"))
+
+
+def weighted_share(score: Column, low: float, high: float) -> Column:
+    """A score as a share of its range, within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - low) / (high - low)))
 
 
 def price_status(rate_in: Column, rate_out: Column, effective: Column, as_of: datetime.date, stale_days: int = 180) -> Column:
@@ -48,22 +74,36 @@ def price_status(rate_in: Column, rate_out: Column, effective: Column, as_of: da
 
 
 def evidence_violations(records: DataFrame) -> DataFrame:
-    """Evidence records (id, title, status, last_reviewed, review_by, superseded_by, source_urls array): ids, blank titles, statuses, order of dates,
-    links, and records that replace an old one and have to exist."""
+    """Evidence records (id, title, evidence_type, source_kind, status, last_reviewed, review_by, document, section, source_urls array, version_scope,
+    review_trigger, superseded_by, supersession_note).
+
+    Ids are well formed and not repeated, texts are filled, statuses and kinds known in any case, dates in order; links are HTTP and, but for local
+    sources, there; a superseded record, and no other, names a known successor other than itself, or says in a note what became of it."""
     key = F.coalesce(F.col("id"), F.lit("<null>"))
+    filled = lambda c: F.coalesce(F.length(trimmed(F.col(c))) > 0, F.lit(False))
+    superseded = F.coalesce(F.lower(trimmed(F.col("status"))) == "superseded", F.lit(False))
+    local = F.coalesce(F.lower(trimmed(F.col("source_kind"))) == "local", F.lit(False))
+    said = filled("superseded_by") | filled("supersession_note")
+    linked = F.coalesce(F.forall("source_urls", lambda u: F.coalesce(trimmed(u).rlike(r"^https?://[^/\s]+"), F.lit(False))), F.lit(False))
+    blank = F.array_compact(F.array(*[F.when(~filled(c), c) for c in EVIDENCE_TEXTS]))
+    found = [
+        (~F.coalesce(trimmed(F.col("id")).rlike(RECORD_ID), F.lit(False)), "record id", F.col("id")),
+        (F.size(blank) > 0, "blank text", F.array_join(blank, ",")),
+        (~F.coalesce(F.col("review_by") >= F.col("last_reviewed"), F.lit(False)), "date order", F.col("review_by").cast("string")),
+        (~linked | ((F.size("source_urls") == 0) & ~local), "link", F.concat_ws(",", "source_urls")),
+        (superseded & ~said, "superseded without successor or note", F.lit("")),
+        (~superseded & (F.col("superseded_by").isNotNull() | F.col("supersession_note").isNotNull()), "supersession of a record that is not superseded", F.coalesce("superseded_by", "supersession_note")),
+        (F.coalesce(F.col("superseded_by") == F.col("id"), F.lit(False)), "supersedes itself", F.col("superseded_by")),
+    ]
+    each = F.filter(F.array(*[F.struct(bad.alias("bad"), F.lit(rule).alias("rule"), detail.alias("detail")) for bad, rule, detail in found]), lambda x: x["bad"])
+    rows = records.select(key.alias("key"), F.explode(each).alias("x")).select("x.rule", "key", "x.detail")  # all rules of a row in one scan
     known = records.select(F.col("id").alias("known")).distinct()
     gone = records.where("superseded_by is not null").join(known, F.col("superseded_by") == F.col("known"), "left_anti")
-    lone = records.where(F.coalesce(F.lower("status") == "superseded", F.lit(False)) != F.col("superseded_by").isNotNull())
+    plain = lambda c: records.withColumn(c, F.lower(trimmed(F.col(c))))
     return violations(
-        _found(records.where(~F.coalesce(F.col("id").rlike(RECORD_ID), F.lit(False))), "record id", key, F.col("id")),
-        duplicate_keys(records, ["id"]),
-        _found(records.where(F.coalesce(F.trim("title"), F.lit("")) == ""), "blank title", key, F.col("title")),
-        unknown_values(records.withColumn("status", F.lower("status")), "status", EVIDENCE_STATUSES),
-        _found(records.where(~F.coalesce(F.col("review_by") >= F.col("last_reviewed"), F.lit(False))), "date order", key, F.col("review_by")),
-        _found(records.where(F.exists("source_urls", lambda u: ~u.rlike(r"^https?://[^/\s]+"))), "link", key, F.concat_ws(",", "source_urls")),
-        _found(lone, "superseded without successor, or the reverse", key, F.col("superseded_by")),
+        rows, duplicate_keys(records, ["id"]), unknown_values(plain("status"), "status", EVIDENCE_STATUSES), unknown_values(plain("source_kind"), "source_kind", SOURCE_KINDS),
         _found(gone, "unknown successor", key, F.col("superseded_by")),
-    )
+    )
 
 
 def evidence_status(records: DataFrame, as_of: datetime.date) -> DataFrame:

@@ -13,18 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonscore import JsonRules, score_outputs, steps
 from ..functions.text import aliased, normalized, without_parentheses, zero_padded
+from ..functions.variants import strict_json, unfenced
 
 #: Levels of nesting; deeper JSON is an error.
 MOST_LEVELS = 64
 _NUMBER = r"\A([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d+))?\z"
 _NUMERIC = r"\A[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\z"
-_BLANK = r"(?U)\A\s+|\s+\z"
-
-
-def unfenced(text: Column) -> Column:
-    """The text inside a code fence, if it stands in one."""
-    text = F.regexp_replace(text, _BLANK, "")
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\A(?:```json\s*)?(?:```\s*)?", ""), r"(?U)\s*```\z", "")
 
 
 def plain_number(number: Column) -> Column:
@@ -120,12 +114,12 @@ def rescored(outputs: DataFrame, expected: str = "expected_output", output: str
     key = F.sha2(F.concat(F.length(e).cast("string"), F.lit(":"), e, g), 256)
     keyed = outputs.withColumn("__pair", key)
     pairs = keyed.groupBy(F.col("__pair").alias("key")).agg(F.first(unfenced(e)).alias("e"), F.first(unfenced(g)).alias("g"))
-    found = pairs.select(F.max(F.greatest(*[F.coalesce(F.when(F.try_parse_json(c).isNotNull(), depth(F.col(c))), F.lit(0)) for c in ("e", "g")]))).first()[0]
+    found = pairs.select(F.max(F.greatest(*[F.coalesce(F.when(strict_json(F.col(c)).isNotNull(), depth(F.col(c))), F.lit(0)) for c in ("e", "g")]))).first()[0]
     levels = found or 0
     if levels > MOST_LEVELS:
         raise ValueError(f"JSON of {levels} levels; {MOST_LEVELS} are the most")
-    wanted = F.coalesce(F.try_parse_json("e"), F.try_parse_json(F.raise_error(F.concat(F.lit("expected output is not JSON: "), F.substring("e", 1, 100))).cast("string")))
-    sides = pairs.select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), wanted.alias("v")), F.struct(F.lit(1).alias("side"), F.try_parse_json("g").alias("v")))).alias("x")).select("key", "x.side", "x.v")
+    wanted = F.coalesce(strict_json(F.col("e")), F.try_parse_json(F.raise_error(F.concat(F.lit("expected output is not JSON: "), F.substring("e", 1, 100))).cast("string")))
+    sides = pairs.select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), wanted.alias("v")), F.struct(F.lit(1).alias("side"), strict_json(F.col("g")).alias("v")))).alias("x")).select("key", "x.side", "x.v")
     root = F.substring(F.schema_of_variant("v"), 1, 6)
     rows = _exploded(sides.select("key", "side", F.when(F.col("v").isNull(), "none").otherwise(root).alias("root"), "v"), levels)
     rows = rows.withColumn("said", leaf(F.col("v"), F.col("path"), rules)).drop("v")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.variants import fields, strict_json
 from .validate import ContractError, enforce
 
 
@@ -69,8 +70,8 @@ def rule_violations(cases: DataFrame, rules: DataFrame) -> DataFrame:
     cells = cases.select("benchmark", F.col("case_id").cast("string").alias("case_id"), F.explode("cells").alias("column", "value"))
     met = cells.join(rules, ["benchmark", "column"])
     said = F.coalesce(F.trim("value"), F.lit(""))
-    keys = F.json_object_keys("value")
-    lacks = F.when(F.try_parse_json("value").isNull() | keys.isNull(), F.array(F.lit("no object"))).otherwise(F.array_except(F.coalesce(F.from_json("argument", "array<string>"), F.array().cast("array<string>")), keys))
+    keys = F.map_keys(fields(strict_json(F.col("value"))))
+    lacks = F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(F.array_except(F.coalesce(F.from_json("argument", "array<string>"), F.array().cast("array<string>")), keys))
     bad = F.when(F.col("kind") == "filled", said == "").when(F.col("kind") == "type", F.lower(F.coalesce("value", F.lit(""))) != F.lower("argument")).when(F.col("kind") == "json", F.size(lacks) > 0).otherwise(F.lit(False))
     value = F.when(F.col("kind") == "unique", F.col("value"))
     counted = met.groupBy("benchmark", "column", "kind", "argument", value.alias("value")).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.min(F.when(bad, F.col("case_id"))).alias("first"))

@@ -19,23 +19,26 @@ def mean_of(flag: Column) -> Column:
 def final_results(scored: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """Deterministic scores and stored judge results to final_score, final_passed, evaluation_source.
 
-    A failed generation scores 0 and fails. A judge error, or a judge row without result, stays null: it is unscored.
+    A failed generation scores 0 and fails. A judge error stays null: it is unscored. A row that needs a judge and has no judge result at all fails the query.
     judged: (case_id, model_name, judge_status, judge_score, judge_passed)."""
     keys = ["case_id", "model_name"]
-    df = scored if judged is None else scored.join(judged, keys, "left")
+    df = scored if judged is None else scored.join(judged.withColumn("__judged", F.lit(True)), keys, "left")
+    there = F.lit("judge_status" in scored.columns) if judged is None else F.col("__judged").isNotNull()
     for name, kind in (("judge_status", "string"), ("judge_score", "double"), ("judge_passed", "boolean"), ("generation_status", "string")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
     failed = generation_failed(F.col("generation_status"))
     judge_ok = F.lower(F.trim("judge_status")) == "success"
     fixed = F.when(F.col("evaluation_type") == "exact", F.col("metric_passed").cast("double")).when(F.col("evaluation_type") == "json", F.coalesce("json_field_match_rate", F.col("metric_passed").cast("double")))
+    asks = ~failed & ~F.coalesce(F.col("metric_applicable"), F.lit(False)) & ~there
+    absent = F.raise_error(F.concat(F.lit("no judge result for case "), F.col("case_id").cast("string"), F.lit(" of model "), F.col("model_name")))
     return df.withColumns(
         {
-            "final_score": F.when(failed, 0.0).when(F.col("metric_applicable"), fixed).when(judge_ok, F.col("judge_score")),
+            "final_score": F.when(asks, absent.cast("double")).when(failed, 0.0).when(F.col("metric_applicable"), fixed).when(judge_ok, F.col("judge_score")),
             "final_passed": F.when(failed, False).when(F.col("metric_applicable"), F.col("metric_passed")).when(judge_ok, F.col("judge_passed")),
-            "evaluation_source": F.when(failed, "generation_error").when(F.col("metric_applicable"), "deterministic").when(judge_ok, "judge").otherwise("judge_error"),
+            "evaluation_source": F.when(asks, absent.cast("string")).when(failed, "generation_error").when(F.col("metric_applicable"), "deterministic").when(judge_ok, "llm_judge").otherwise("judge_error"),
         }
-    )
+    ).drop("__judged")
 
 
 def generation_failed(status: Column) -> Column:
@@ -231,7 +234,7 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def run_counters(results: DataFrame) -> DataFrame:
     """Rows, distinct cases and models, rows by evaluation type and, where there is the column, by evaluation source, of a run; one row."""
-    sources = [F.count_if(F.col("evaluation_source") == s).alias(f"{s}_source_rows") for s in ("deterministic", "judge", "generation_error", "judge_error")] if "evaluation_source" in results.columns else []
+    sources = [F.count_if(F.col("evaluation_source") == s).alias(f"{s}_source_rows") for s in ("deterministic", "llm_judge", "generation_error", "judge_error")] if "evaluation_source" in results.columns else []
     return results.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("case_id").alias("cases"), F.count_distinct("model_name").alias("models"),
         F.array_sort(F.collect_set("model_name")).alias("model_names"),

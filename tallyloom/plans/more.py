@@ -242,11 +242,19 @@ def price_readiness(t):
     return t("part").select("p_partkey", contracts.price_status(rate, rate, day, AS_OF).alias("status"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'not a JSON object' WHEN event_id % 5 = 1 THEN 'no reason' WHEN event_id % 5 = 2 THEN 'score out of range' END AS error, CASE WHEN event_id % 5 > 2 THEN 0.5::DOUBLE END AS score FROM events")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'fit: no reason' WHEN 2 THEN 'tone: score out of range' WHEN 3 THEN 'missing criteria: tone' WHEN 4 THEN 'unexpected criteria: ' || event_type END AS error,
+ CASE WHEN event_id % 7 > 4 THEN round((3 * (event_id % 6) / 5.0 + (event_id % 4) / 5.0) / 4, 9)::DOUBLE END AS score FROM events""")
 def judge_responses(t):
+    """Two criteria with weights 3 and 1 on a scale to 5, scores by the event's number, and a fault in five of seven."""
     e = F.col("event_id")
-    said = F.when(e % 5 == 0, "no").when(e % 5 == 1, '{"score": 0.5, "passed": true, "reason": ""}').when(e % 5 == 2, '{"score": 1.5, "passed": true, "reason": "r"}').otherwise('```json\n{"score": 0.5, "passed": false, "reason": "r"}\n```')
-    return t("events").select("event_id", contracts.judge_response(said).alias("x")).select("event_id", "x.error", "x.score")
+    one = lambda score, reason="r": F.struct(score.alias("score"), F.lit(reason).alias("reason"))
+    fit, tone = e % 6, e % 4
+    answer = lambda *c: F.to_json(F.struct(F.struct(*c).alias("criteria"), F.lit("o").alias("overall_reason")))
+    full = answer(one(fit).alias("fit"), one(tone).alias("tone"))
+    more = F.regexp_replace(full, '"tone":', F.concat(F.lit('"'), F.col("event_type"), F.lit('":{},"tone":')))
+    said = F.when(e % 7 == 0, F.concat(full, F.lit(" so"))).when(e % 7 == 1, answer(one(fit, " ").alias("fit"), one(tone).alias("tone"))).when(e % 7 == 2, answer(one(fit).alias("fit"), one(tone + 6).alias("tone")))
+    said = said.when(e % 7 == 3, answer(one(fit).alias("fit"))).when(e % 7 == 4, more).otherwise(F.concat(F.lit("```json\n"), full, F.lit("\n```")))
+    return t("events").select("event_id", contracts.judge_response(said, {"fit": 3.0, "tone": 1.0}, 0, 5).alias("x")).select("event_id", "x.error", "x.score")
 
 
 @query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")

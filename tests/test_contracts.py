@@ -2,12 +2,14 @@
 
 import datetime
 import hashlib
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import cohort, contracts
+from tallyloom.functions import text
+from tallyloom.operators import agreement, cohort, contracts
 from tallyloom.sources import configs, manifest
 
 RULES = lambda df: {(r["rule"], r["key"]) for r in df.collect()}
@@ -56,10 +58,18 @@ def test_tasks_and_answers(spark):
     cases = spark.createDataFrame([("1", "EXACT", "dev"), ("1", "other", "test"), (" ", "json", "dev")], "case_id string, evaluation_type string, split string")
     assert RULES(contracts.case_violations(cases, ["case_id"], ["dev"])) == {("blank case_id", "case_id"), ("duplicate key", "1"), ("unknown evaluation_type", "other"), ("unknown split", "test")}
     assert RULES(contracts.case_violations(cases, ["input"], names=["q"])) == {("missing column", "input"), ("missing column", "q")}
-    said = ['{"score": 0.5, "passed": true, "reason": "ok"}', '```json\n{"score": 1, "passed": false, "reason": "x"}\n```', "no", None, '{"passed": true}', '{"score": 2, "passed": true, "reason": "x"}', '{"score": 1, "reason": "x"}', '{"score": 1, "passed": true, "reason": " "}', "[1]"]
-    got = spark.createDataFrame([(x,) for x in said], "t string").select(contracts.judge_response(F.col("t")).alias("x")).select("x.*").collect()
-    assert [r["error"] for r in got] == [None, None, "not a JSON object", "no answer", "no score", "score out of range", "no verdict", "no reason", "not a JSON object"]
-    assert tuple(got[1])[:3] == (1.0, False, "x") and got[5]["score"] is None
+    one = lambda score, reason="r": {"score": score, "reason": reason}
+    answer = lambda overall="why", **c: json.dumps({"criteria": c, "overall_reason": overall})
+    said = {
+        answer(a=one(5), b=one(1.5)): None, "```json\n" + answer(a=one(0), b=one(5)) + "\n```": None, "no": "not a JSON object", None: "no answer", "[1]": "not a JSON object", answer(a=one(5), b=one(1)) + " more": "not a JSON object",
+        '{"criteria": [], "overall_reason": "x"}': "criteria are no object", answer(a=one(1)): "missing criteria: b", answer(a=one(1), b=one(1), d=one(1), c=one(1)): "unexpected criteria: c, d", answer(a=1, b=one(1)): "a: no object",
+        answer(a=one("1"), b=one(1)): "a: score is no number", answer(a=one(True), b=one(1)): "a: score is no number", answer(a=one(1), b=one(6)): "b: score out of range", answer(a=one(1), b=one(float("1e308"))).replace("1e+308", "1e999"): "b: score out of range",
+        answer(a=one(1, " "), b=one(1)): "a: no reason", answer(a=one(1, None), b=one(1)): "a: no reason", answer(" ", a=one(1), b=one(1)): "no overall reason", '{"criteria": {"a": {"score": 1, "reason": "r"}, "b": {"score": 1, "reason": "r"}}}': "no overall reason",
+    }
+    got = spark.createDataFrame([(x,) for x in said], "t string").select(contracts.judge_response(F.col("t"), {"a": 3.0, "b": 1.0}, 0, 5).alias("x")).select("x.*").collect()
+    assert [r["error"] for r in got] == list(said.values())
+    assert got[0]["score"] == pytest.approx((3 * 1 + 0.3) / 4) and got[0]["scores"] == {"a": 5.0, "b": 1.5} and got[0]["reason"] == "why" and got[1]["score"] == 0.25
+    assert all(r["score"] is None and r["scores"] is None and r["reason"] is None for r in got[2:])
     day = datetime.date
     prices = spark.createDataFrame([(1.0, 2.0, day(2026, 7, 1)), (None, 2.0, day(2026, 7, 1)), (1.0, 2.0, day(2026, 9, 1)), (1.0, 2.0, day(2025, 7, 1)), (0.0, 0.0, day(2026, 7, 1))], "i double, o double, d date")
     assert [r["s"] for r in prices.select(contracts.price_status(F.col("i"), F.col("o"), F.col("d"), day(2026, 8, 1)).alias("s")).collect()] == ["ready", "blocked", "blocked", "stale", "free"]
@@ -67,18 +77,40 @@ def test_tasks_and_answers(spark):
 
 def test_evidence_records(spark):
     day = datetime.date
-    kind = "id string, title string, status string, last_reviewed date, review_by date, superseded_by string, source_urls array<string>"
-    rows = [("a.b-1", "t", "current", day(2026, 1, 1), day(2026, 6, 1), None, ["https://x.org/y"]), ("c", "t", "Superseded", day(2026, 1, 1), day(2026, 6, 1), "a.b-1", [])]
+    kind = "id string, title string, evidence_type string, source_kind string, status string, last_reviewed date, review_by date, document string, section string, source_urls array<string>, version_scope string, review_trigger string, superseded_by string, supersession_note string"
+
+    def record(id_, status="current", by=None, note=None, urls=("https://x.org/y",), kind="static", title="t", reviewed=day(2026, 1, 1), due=day(2026, 6, 1), section="s"):
+        return (id_, title, "e", kind, status, reviewed, due, "d", section, list(urls) if urls is not None else None, "v", "r", by, note)
+
+    rows = [record("a.b-1"), record("c", "Superseded", "a.b-1"), record("n", "superseded", note="withdrawn"), record("loc", kind="Local", urls=()), record("st", "stale")]
     good = spark.createDataFrame(rows, kind)
     assert contracts.evidence_violations(good).count() == 0
-    assert {r["id"]: (r["effective_status"], r["overdue_days"]) for r in contracts.evidence_status(good, day(2026, 6, 11)).collect()} == {"a.b-1": ("stale", 10), "c": ("superseded", 0)}
-    assert contracts.evidence_status(good, day(2026, 6, 1)).where("effective_status = 'current'").count() == 1
-    bad = spark.createDataFrame([*rows, ("A b", " ", "old", day(2026, 2, 1), day(2026, 1, 1), None, ["ftp://x"]), ("c", "t", "superseded", day(2026, 1, 1), day(2026, 6, 1), "z", []), ("d", "t", "superseded", day(2026, 1, 1), day(2026, 6, 1), None, [])], kind)
-    assert RULES(contracts.evidence_violations(bad)) == {
-        ("record id", "A b"), ("duplicate key", "c"), ("blank title", "A b"), ("unknown status", "old"), ("date order", "A b"), ("link", "A b"), ("superseded without successor, or the reverse", "d"), ("unknown successor", "c"),
+    assert {r["id"]: (r["effective_status"], r["overdue_days"]) for r in contracts.evidence_status(good.where("id in ('a.b-1', 'c')"), day(2026, 6, 11)).collect()} == {"a.b-1": ("stale", 10), "c": ("superseded", 0)}
+    assert contracts.evidence_status(good.where("id = 'a.b-1'"), day(2026, 6, 1)).where("effective_status = 'current'").count() == 1
+    bad = [record("A b", "old", title=" ", reviewed=day(2026, 2, 1), due=day(2026, 1, 1), urls=["ftp://x"]), record("c", "superseded", "z"), record("d", "superseded"), record("self", "superseded", "self"), record("e", note="old"), record("f", urls=()), record("g", kind="web"), record("h", urls=None), record("i", section=None)]
+    assert RULES(contracts.evidence_violations(spark.createDataFrame([*rows, *bad], kind))) == {
+        ("record id", "A b"), ("duplicate key", "c"), ("blank text", "A b"), ("blank text", "i"), ("unknown status", "old"), ("unknown source_kind", "web"), ("date order", "A b"), ("link", "A b"), ("link", "f"), ("link", "h"),
+        ("superseded without successor or note", "d"), ("unknown successor", "c"), ("supersedes itself", "self"), ("supersession of a record that is not superseded", "e"),
     }
 
 
+def test_claims_need_the_weakest_judge(spark):
+    rows = lambda *levels: spark.createDataFrame([(x, "llm_judge") for x in levels] + [("calibrated", "deterministic")], "level string, evaluation_source string")
+    block = lambda df: tuple(agreement.claim_block(df, "level", agreement.LEVELS[1]).first())
+    first, second, third = agreement.LEVELS[:3]
+    assert block(rows(second, third)) == (2, second, False) and block(rows(first, third)) == (2, first, True)
+    assert block(rows(second, None)) == (2, second, False)  # nulls don't count
+    assert block(rows(None, None)) == (2, first, True) and block(rows(second).drop("level")) == (1, first, True)
+    assert block(rows()) == (0, None, False)
+    with pytest.raises(Exception, match="unknown judge level: odd"):
+        block(rows(second, "odd"))
+
+
+@pytest.mark.parametrize(("said", "shown"), [("5.0", "5"), ("0.50", "0.5"), (" 100 ", "100"), ("0.12345678912345", "0.12345678912345"), ("1e3", "1000"), ("2.5E-3", "0.0025"), ("-0.0", "0"), ("-.5", "-0.5"), ("12.", "12"), ("123456789012345678901234567890.10", "123456789012345678901234567890.1"), ("x", None), ("1 2", None), ("", None), ("1e", None), ("0012", "12"), ("1.5e1", "15")])
+def test_strengths(spark, said, shown):
+    assert spark.createDataFrame([(said,)], "t string").select(text.strength(F.col("t"))).first()[0] == shown
+
+
 def test_merges(spark):
     a = spark.createDataFrame([("1", 1), ("2", 2)], "k string, x int")
     b = spark.createDataFrame([("2", 5), ("1", 4)], "k string, y int")

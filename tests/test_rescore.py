@@ -43,7 +43,7 @@ def pairs():
         doc = {k: value(rng) for k in rng.sample(["u", "s", "n", "m", "p", "z", "a", "deep", "q"], 4)}
         doc |= {"u": [value(rng, 2) for _ in range(3)], "s": ["b", "B", "a"], "n": [1, "1.0", "x"]}
         out.append((json.dumps(doc), json.dumps(damage(rng, doc))))
-    fixed = [("1", "1.0"), ("true", "1"), ("[1, 2]", "[2, 1]"), ("{}", "{}"), ("{}", "[]"), ("[]", "[]"), ('{"a": 1}', "7"), ('{"a": 1}', None), ('{"a": 1}', "nope"), ("null", "null"), ("null", "nul"), ('"x"', '" X"'), ('{"a": {}}', '{"a": []}'), ('{"a": [[], {}]}', '```json\n{"a": [[], {}]}\n```'), ('{"s": ["x"]}', '{"s": ["x", "X "]}'), ('{"z": "7", "p": "a (b)"}', '{"z": "0007", "p": "a"}'), ('{"m": "1e2"}', '{"m": 100.0}'), ('{"a": ["x,s1:y"]}', '{"a": ["x", "y"]}')]
+    fixed = [("1", "1.0"), ("true", "1"), ("[1, 2]", "[2, 1]"), ("{}", "{}"), ("{}", "[]"), ("[]", "[]"), ('{"a": 1}', "7"), ('{"a": 1}', None), ('{"a": 1}', "nope"), ("null", "null"), ("null", "nul"), ('"x"', '" X"'), ('{"a": {}}', '{"a": []}'), ('{"a": [[], {}]}', '```json\n{"a": [[], {}]}\n```'), ('{"s": ["x"]}', '{"s": ["x", "X "]}'), ('{"z": "7", "p": "a (b)"}', '{"z": "0007", "p": "a"}'), ('{"m": "1e2"}', '{"m": 100.0}'), ('{"a": 1}', '{"a": 1} x'), ('{"a": 1}', '{"a": 1}, {"a": 1}'), ("1", "1] , [1"), ("1", '1} , {"v": 1'), ("1", ""), ('{"a": ["x,s1:y"]}', '{"a": ["x", "y"]}')]
     return out + fixed + fixed[:3]
 
 

@@ -106,4 +106,9 @@ def test_final_results(spark):
     scored = score_outputs(rows(spark)).withColumn("generation_status", F.when(F.col("case_id") == "1", "error"))
     judged = spark.createDataFrame([("4", "m", "success", 0.75, True), ("5", "k", "error", None, None)], "case_id string, model_name string, judge_status string, judge_score double, judge_passed boolean")
     got = {r["case_id"]: (r["final_score"], r["final_passed"], r["evaluation_source"]) for r in summary.final_results(scored, judged).collect()}
-    assert got == {"1": (0.0, False, "generation_error"), "2": (0.5, False, "deterministic"), "3": (0.0, False, "deterministic"), "4": (0.75, True, "judge"), "5": (None, None, "judge_error")}
+    assert got == {"1": (0.0, False, "generation_error"), "2": (0.5, False, "deterministic"), "3": (0.0, False, "deterministic"), "4": (0.75, True, "llm_judge"), "5": (None, None, "judge_error")}
+    with pytest.raises(Exception, match="no judge result for case 5 of model k"):
+        summary.final_results(scored, judged.where("case_id = '4'")).collect()
+    with pytest.raises(Exception, match="no judge result"):
+        summary.final_results(scored).collect()
+    assert summary.final_results(scored.where("metric_applicable")).count() == 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MILLION = 1_000_000
@@ -63,3 +63,28 @@ def skipping_sum(value: Column) -> Column:
 
 def overdue_days(as_of: Column, review_by: Column) -> Column:
     return F.greatest(F.datediff(as_of, review_by), F.lit(0))
+
+
+#: What is wrong with a request's price, in the order in which it is found.
+PRICE_PROBLEMS = ("no price of that id", "price of another route", "no price in force", "several prices of one day")
+
+
+def priced(requests: DataFrame, prices: DataFrame) -> DataFrame:
+    """requests (pricing_id, route, requested_on, prompt_tokens, cached_tokens, completion_tokens, ...) with effective_on, rates, cost_usd and price_problem.
+
+    prices: (pricing_id, route, effective_on, rate_in, rate_cached, rate_out), rates per million tokens. The price is the last one of the id in force on the
+    day of the request. A request without pricing_id has no price and no problem; one whose id is unknown, declares another route, was not yet in
+    force, or has two prices of that day, says so and costs null, as do missing or impossible token counts. The versions of an id are one sorted array, so a
+    request meets one row however often its price has changed, and no range join is needed."""
+    version = F.struct("effective_on", "route", "rate_in", "rate_cached", "rate_out")
+    of = prices.where("pricing_id is not null and effective_on is not null").groupBy("pricing_id").agg(F.sort_array(F.collect_list(version)).alias("versions"))
+    met = requests.join(of, "pricing_id", "left")
+    due = F.filter("versions", lambda v: v["effective_on"] <= F.col("requested_on"))
+    met = met.withColumn("__due", due).withColumn("__price", F.try_element_at("__due", F.lit(-1)))
+    same_day = F.filter("__due", lambda v: v["effective_on"] == F.col("__price.effective_on"))
+    route = F.exists("versions", lambda v: F.coalesce(v["route"] != F.col("route"), F.lit(True)))
+    found = F.when(F.col("pricing_id").isNull(), None).when(F.col("versions").isNull(), PRICE_PROBLEMS[0]).when(route, PRICE_PROBLEMS[1]).when(F.col("__price").isNull(), PRICE_PROBLEMS[2]).when(F.size(same_day) > 1, PRICE_PROBLEMS[3])
+    fine = found.isNull()
+    rate = lambda name: F.when(fine, F.col(f"__price.{name}"))
+    usd = token_cost(F.col("prompt_tokens"), F.col("cached_tokens"), F.col("completion_tokens"), rate("rate_in"), rate("rate_cached"), rate("rate_out"))
+    return met.select(*[f"`{c}`" for c in requests.columns], *[rate(c).alias(c) for c in ("effective_on", "rate_in", "rate_cached", "rate_out")], usd.alias("cost_usd"), found.alias("price_problem"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .variants import let
+
 #: Signs that become blanks.
 SIGNS = "™®©"
 _SPACES = r"[\t-\r\x1c-\x1f ]"
@@ -208,17 +210,23 @@ def strength(text: Column) -> Column:
     """A strength as a number without needless zeros: whole where it is whole, all of its digits else. Null where the text is no number.
 
     A sign, digits with or without a point and an exponent make a number."""
-    said = trimmed(text)
-    part = lambda k: F.regexp_extract(said, r"\A([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?\z", k)
-    number = said.rlike(r"\A[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d{1,3})?\z")
-    power = F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
-    # the point moves by the exponent, over zeros where digits end
-    digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), -power)), part(2), part(3), F.repeat(F.lit("0"), F.greatest(F.lit(0), power)))
-    point = F.greatest(F.lit(0), -power) + F.length(part(2)) + power
-    whole = F.ltrim(F.substr(digits, F.lit(1), point), F.lit("0"))
-    rest = F.rtrim(F.substr(digits, point + 1), F.lit("0"))
-    shown = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
-    return F.when(number, F.concat(F.when((part(1) == "-") & (shown != "0"), "-").otherwise(""), shown))
+    pattern = r"\A([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?\z"
+
+    def moved(sign: Column, whole: Column, rest: Column, power: Column) -> Column:
+        # the point moves by the exponent, over zeros where digits end
+        left, right = F.greatest(F.lit(0), -power), F.greatest(F.lit(0), power)
+        digits = F.concat(F.repeat(F.lit("0"), left), whole, rest, F.repeat(F.lit("0"), right))
+        point = left + F.length(whole) + power
+        short = let(digits, lambda d: F.struct(F.ltrim(F.substr(d, F.lit(1), point), F.lit("0")).alias("whole"), F.rtrim(F.substr(d, point + 1), F.lit("0")).alias("rest")))
+        shown = let(short, lambda s: F.concat(F.when(s["whole"] == "", "0").otherwise(s["whole"]), F.when(s["rest"] == "", "").otherwise(F.concat(F.lit("."), s["rest"]))))
+        return let(shown, lambda s: F.concat(F.when((sign == "-") & (s != "0"), "-").otherwise(""), s))
+
+    def of(said: Column) -> Column:
+        parts = F.array(*[F.regexp_extract(said, pattern, k) for k in (1, 2, 3, 4)])
+        known = lambda p: moved(p[0], p[1], p[2], F.coalesce(F.nullif(p[3], F.lit("")).cast("int"), F.lit(0)))
+        return F.when(said.rlike(r"\A[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d{1,3})?\z"), let(parts, known))
+
+    return let(trimmed(text), of)
 
 
 def complexity(pages: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
-from ..functions.variants import fields, number_of, strict_json, text_of, unfenced
+from ..functions.variants import fields, let, number_of, strict_json, text_of, unfenced
 from .validate import _found, blank_keys, duplicate_keys, unknown_values, violations
 
 #: What an evidence record may be, and how ids are written.
@@ -39,25 +39,33 @@ def judge_response(text: Column, criteria: dict[str, float], low: float = 0.0, h
     brought to 0 to 1. error, null for a valid answer, says the first fault; then the others are null."""
     if high <= low:
         raise ValueError("the highest score must be above the lowest")
-    answer = fields(strict_json(unfenced(text)))
-    given = fields(F.element_at(answer, F.lit("criteria")))
-    names = F.lit(sorted(criteria))
-    missing, more = F.array_except(names, F.map_keys(given)), F.array_except(F.map_keys(given), names)
-    error = F.when(text.isNull(), "no answer").when(answer.isNull(), "not a JSON object").when(given.isNull(), "criteria are no object")
-    error = error.when(F.size(missing) > 0, F.concat(F.lit("missing criteria: "), F.array_join(missing, ", "))).when(F.size(more) > 0, F.concat(F.lit("unexpected criteria: "), F.array_join(F.array_sort(more), ", ")))
     filled = lambda value: F.coalesce(F.length(trimmed(text_of(value))) > 0, F.lit(False))
-    scores, total = [], F.lit(0.0)
-    for name, weight in criteria.items():
-        one = fields(F.element_at(given, F.lit(name)))
-        score = number_of(F.element_at(one, F.lit("score")))
-        error = error.when(one.isNull(), f"{name}: no object").when(score.isNull(), f"{name}: score is no number").when(~score.between(low, high), f"{name}: score out of range").when(~filled(F.element_at(one, F.lit("reason"))), f"{name}: no reason")
-        scores += [F.lit(name), score]
-        total += weighted_share(score, low, high) * weight
-    overall = F.element_at(answer, F.lit("overall_reason"))
-    error = error.when(~filled(overall), "no overall reason")
-    fine = error.isNull()
-    mean = total / sum(criteria.values()) if sum(criteria.values()) else F.lit(0.0)
-    return F.struct(F.when(fine, mean).alias("score"), F.when(fine, F.create_map(*scores)).alias("scores"), F.when(fine, text_of(overall)).alias("reason"), error.alias("error"))
+    names, weights = F.lit(sorted(criteria)), sum(criteria.values())
+
+    def judged(answer: Column, given: Column, each: Column, overall: Column) -> Column:
+        """answer and given: fields; each: (score, reason, whole) by name, in order of criteria."""
+        missing, more = F.array_except(names, F.map_keys(given)), F.array_except(F.map_keys(given), names)
+        error = F.when(answer.isNull(), "not a JSON object").when(given.isNull(), "criteria are no object")
+        error = error.when(F.size(missing) > 0, F.concat(F.lit("missing criteria: "), F.array_join(missing, ", "))).when(F.size(more) > 0, F.concat(F.lit("unexpected criteria: "), F.array_join(F.array_sort(more), ", ")))
+        scores, total = [], F.lit(0.0)
+        for k, (name, weight) in enumerate(criteria.items()):
+            one = F.get(each, F.lit(k))
+            error = error.when(~one["whole"], f"{name}: no object").when(one["score"].isNull(), f"{name}: score is no number").when(~one["score"].between(low, high), f"{name}: score out of range").when(~one["filled"], f"{name}: no reason")
+            scores += [F.lit(name), one["score"]]
+            total += weighted_share(one["score"], low, high) * weight
+        error = error.when(~filled(overall), "no overall reason")
+        return let(error, lambda e: F.struct(F.when(e.isNull(), total / weights if weights else F.lit(0.0)).alias("score"), F.when(e.isNull(), F.create_map(*scores)).alias("scores"), F.when(e.isNull(), text_of(overall)).alias("reason"), e.alias("error")))
+
+    def one_of(given: Column, name: str) -> Column:
+        part = lambda f: F.struct(number_of(F.element_at(f, F.lit("score"))).alias("score"), filled(F.element_at(f, F.lit("reason"))).alias("filled"), f.isNotNull().alias("whole"))
+        return let(fields(F.element_at(given, F.lit(name))), part)
+
+    def of(answer: Column) -> Column:
+        given = fields(F.element_at(answer, F.lit("criteria")))
+        return let(given, lambda g: let(F.array(*[one_of(g, name) for name in criteria]), lambda each: judged(answer, g, each, F.element_at(answer, F.lit("overall_reason")))))
+
+    none = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("map<string,double>").alias("scores"), F.lit(None).cast("string").alias("reason"), F.lit("no answer").alias("error"))
+    return F.when(text.isNull(), none).otherwise(let(fields(strict_json(unfenced(text))), of))
 
 
 def weighted_share(score: Column, low: float, high: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -214,22 +216,50 @@ def paired_language(results: DataFrame, item: str, languages: tuple[str, str], b
     )
 
 
-def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(measure, n, total, minimum, median, p95 at the floor index, maximum) of each column.
+#: Parts into which a round of order_statistics cuts each interval.
+PARTS = 1024
+
+
+def order_statistics(each: DataFrame, places: dict[str, list[int]], bounds: dict[str, tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The values at the given places, from 0 in ascending order, of each measure of `each` (measure, v); bounds: least and greatest value of a measure.
+
+    Each round cuts the intervals that still hold a wanted place in equal parts and counts their values, which tasks combine before the shuffle; the
+    driver sees at most PARTS rows an interval and goes on with the part that holds the place, between the least and greatest value found
+    there. Values and their order are exact, none is sorted, and no task holds a measure's values. The rounds end as soon as these two are one."""
+    state = {(m, k): (*bounds[m], 0) for m, ks in places.items() for k in ks}  # low, high, values below
+    while wide := sorted({(m, low, high) for (m, _), (low, high, _) in state.items() if low < high}):
+        cuts = each.sparkSession.createDataFrame(wide, "measure string, low double, high double")
+        met = each.join(F.broadcast(cuts), "measure").where("v between low and high")  # cuts: at most one row a wanted place
+        part = F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * PARTS)
+        ends = F.when(F.col("v") == F.col("low"), 0).when(F.col("v") == F.col("high"), PARTS)
+        infinite = (F.abs("low") == float("inf")) | (F.abs("high") == float("inf"))
+        part = F.when(infinite, F.coalesce(ends, F.lit(PARTS // 2))).otherwise(F.coalesce(F.when(F.col("v") == F.col("high"), PARTS), F.least(part, F.lit(PARTS - 1))))
+        found: dict[tuple, list] = {}
+        for r in met.groupBy("measure", "low", "high", part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect():
+            found.setdefault((r["measure"], r["low"], r["high"]), []).append((r["part"], r["n"], r["least"], r["most"]))
+        for (m, k), (low, high, below) in state.items():
+            if low < high:
+                for _, n, least, most in sorted(found[m, low, high]):
+                    if k < below + n:
+                        state[m, k] = (least, most, below)
+                        break
+                    below += n
+    return {key: low for key, (low, _, _) in state.items()}
 
-    The floor-index p95 is the smallest value whose cumulative count goes beyond it, from counts of distinct values."""
-    from pyspark.sql import Window as W
 
-    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    counted = each.groupBy("measure", "v").count()
-    run = W.partitionBy("measure").orderBy("v")
-    placed = counted.withColumns({"upto": F.sum("count").over(run.rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("count").over(W.partitionBy("measure"))})
-    at = lambda index: F.min(F.when(F.col("upto") > index, F.col("v")))
-    return placed.groupBy("measure").agg(
-        F.max("n").alias("n"), F.sum(F.col("v") * F.col("count")).alias("total"), F.min("v").alias("minimum"),
-        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"),
-        at(F.floor(F.lit(0.95) * (F.col("n") - 1))).alias("p95"), F.max("v").alias("maximum"),
-    )
+def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(measure, n, total, minimum, median, p95 at the floor index, maximum) of each column; null and NaN are no values, and a column without values has no row.
+
+    Order statistics are exact, by order_statistics; the driver sees a row a column and counts."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null and not isnan(v)")
+    totals = {r["measure"]: r for r in each.groupBy("measure").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("minimum"), F.max("v").alias("maximum")).collect()}
+    three = lambda n: ((n - 1) // 2, n // 2, math.floor(0.95 * (n - 1)))
+    found = order_statistics(each, {m: sorted(set(three(r["n"]))) for m, r in totals.items()}, {m: (r["minimum"], r["maximum"]) for m, r in totals.items()})
+    rows = []
+    for m, r in totals.items():
+        low, high, p95 = (found[m, k] for k in three(r["n"]))
+        rows.append((m, r["n"], r["total"], r["minimum"], (low + high) / 2, p95, r["maximum"]))
+    return df.sparkSession.createDataFrame(rows, "measure string, n long, total double, minimum double, median double, p95 double, maximum double")
 
 
 def run_counters(results: DataFrame) -> DataFrame:

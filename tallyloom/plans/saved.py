@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cost
 from ..functions.jsonscore import JsonRules
-from ..operators import rescore, star
+from ..operators import records, rescore, star, summary
 from ..sources import bundle
 from .registry import query
 
@@ -140,3 +141,55 @@ def registry_case_violations(t):
     rules = [("answer", "json", '["a", "b"]'), ("type", "type", "json"), ("name", "filled", None), ("group", "unique", None), ("slice", "column", None), ("type", "column", None)]
     of = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.lit(a).cast("string").alias("argument")) for c, k, a in rules]))
     return star.rule_violations(cases, cases.select("benchmark").distinct().select("benchmark", of.alias("r")).select("benchmark", "r.*"))
+
+
+@query("""WITH r AS (SELECT row_number() OVER () AS id, l_partkey % 50 AS p, l_shipdate::DATE AS d, l_quantity::BIGINT * 100 AS a, l_partkey % 40 AS c, l_suppkey % 90 AS o, CASE WHEN l_partkey % 11 = 0 THEN 'x' ELSE 'r' END AS route FROM lineitem),
+ v AS (SELECT p, k, DATE '1994-01-01' + (INTERVAL 1 DAY) * (k * 365 + p) AS e, ((p + 1) * (k + 1))::DOUBLE / 10 AS i, CASE WHEN p % 2 = 0 THEN (p + 1)::DOUBLE / 100 END AS h, (p + 2)::DOUBLE / 5 AS u FROM range(45) x(p), range(8) y(k)),
+ j AS (SELECT r.*, v.k, v.e, i, coalesce(h, i) AS h, u, row_number() OVER (PARTITION BY id ORDER BY e DESC NULLS LAST) AS n FROM r LEFT JOIN v ON v.p = r.p AND e <= d AND route = 'r')
+ SELECT route, CASE WHEN p >= 45 THEN 'no price of that id' WHEN route = 'x' THEN 'price of another route' WHEN k IS NULL THEN 'no price in force' END AS price_problem, k AS version, count(*) AS requests,
+ round(sum(CASE WHEN c <= a THEN ((a - c) * i + c * h + o * u) / 1000000 END), 9) AS cost_usd FROM j WHERE n = 1 OR k IS NULL GROUP BY ALL""")
+def priced_requests(t):
+    """Line items as requests, parts as price ids with a new price every year."""
+    part, day = F.col("l_partkey"), F.col("l_shipdate").cast("date")
+    asked = t("lineitem").select(
+        (part % 50).alias("pricing_id"), F.when(part % 11 == 0, "x").otherwise("r").alias("route"), day.alias("requested_on"),
+        (F.col("l_quantity").cast("long") * 100).alias("prompt_tokens"), (part % 40).alias("cached_tokens"), (F.col("l_suppkey") % 90).alias("completion_tokens"),
+    )
+    p, k = F.col("p"), F.col("k")
+    versions = t("nation").sparkSession.range(45).select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    prices = versions.select(p.alias("pricing_id"), F.lit("r").alias("route"), F.date_add(F.lit("1994-01-01").cast("date"), (k * 365 + p).cast("int")).alias("effective_on"), ((p + 1) * (k + 1) / 10).alias("rate_in"), F.when(p % 2 == 0, (p + 1) / 100).alias("rate_cached"), ((p + 2) / 5).alias("rate_out"))
+    found = cost.priced(asked, prices)
+    version = F.when(F.col("price_problem").isNull(), ((F.datediff("effective_on", F.lit("1994-01-01").cast("date")) - F.col("pricing_id")) / 365).cast("long")).alias("version")
+    return found.groupBy("route", "price_problem", version).agg(F.count("*").alias("requests"), F.sum("cost_usd").alias("cost_usd"))
+
+
+@query("""WITH x AS (SELECT 'price' AS measure, list_sort(list(l_extendedprice::DOUBLE)) AS v FROM lineitem UNION ALL SELECT 'quantity', list_sort(list(l_quantity::DOUBLE)) FROM lineitem UNION ALL SELECT 'line', list_sort(list(l_linenumber::DOUBLE)) FROM lineitem)
+ SELECT measure, len(v) AS n, v[1] AS minimum, (v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2 AS median, v[floor(0.95 * (len(v) - 1))::BIGINT + 1] AS p95, v[len(v)] AS maximum FROM x""")
+def distributions(t):
+    """Three measures of all line items."""
+    rows = t("lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("line"))
+    return summary.distribution(rows, ["price", "quantity", "line"]).drop("total")
+
+
+_SORTED = "array_to_string(list_sort(list_distinct(list({0}))), ' | ')"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS k, l_partkey::VARCHAR AS din, 'f, ' || l_returnflag AS form, 'r' || (l_linenumber % 3) AS route, l_linestatus AS schedule, 'Ing ' || (l_partkey % 4) AS name, (l_partkey % 5)::VARCHAR || CASE WHEN l_partkey % 3 = 0 THEN '.5' ELSE '' END AS strength FROM lineitem)
+ SELECT k AS case_id, CASE WHEN k % 10 = 9 THEN 'unknown line: NOTE: x' END AS error, CASE WHEN k % 10 <> 9 THEN array_to_string(list_sort(list(din)), ' | ') END AS din, CASE WHEN k % 10 <> 9 THEN {_SORTED.format("form")} END AS forms, CASE WHEN k % 10 <> 9 THEN {_SORTED.format("route")} END AS routes,
+ CASE WHEN k % 10 <> 9 THEN {_SORTED.format("schedule")} END AS schedules, CASE WHEN k % 10 <> 9 THEN 'Brand ' || k END AS brand_name, CASE WHEN k % 10 <> 9 THEN array_to_string(list_sort(list_distinct(list(name || '=' || strength))), ' | ') END AS ingredients FROM l GROUP BY k""")
+def parsed_families(t):
+    """Orders as product records, every line item a variant, in English or French; every tenth holds a line that no grammar knows."""
+    k, part = F.col("l_orderkey"), F.col("l_partkey")
+    amount = F.concat((part % 5).cast("string"), F.when(part % 3 == 0, ".50").otherwise(""))
+    ingredient = F.struct(F.concat(F.lit("Ing "), (part % 4).cast("string")).alias("name"), amount.alias("strength"), F.lit("mg").alias("unit"))
+    variant = F.struct(
+        part.cast("string").alias("din"), F.concat(F.lit("Brand "), k.cast("string")).alias("brand_name"), F.array(F.concat(F.lit("f, "), F.col("l_returnflag"))).alias("dosage_forms"), F.array(F.concat(F.lit("r"), (F.col("l_linenumber") % 3).cast("string"))).alias("routes"),
+        F.array("l_linestatus").alias("schedule"), F.lit("marketed").alias("product_status"), F.lit("Co").alias("company"), F.array(ingredient).alias("ingredients"),
+    )
+    families = t("lineitem").groupBy(k.alias("case_id")).agg(F.collect_list(variant).alias("v")).withColumn("language", F.when(F.col("case_id") % 2 == 0, "en").otherwise("fr"))
+    said = F.when(F.col("language") == "en", records.rendered(F.col("v"), "en")).otherwise(records.rendered(F.col("v"), "fr"))
+    made = families.select("case_id", "language", F.when(F.col("case_id") % 10 == 9, F.concat(said, F.lit("\nNOTE: x"))).otherwise(said).alias("input"))
+    shown = lambda c: F.array_join(f"parsed.{c}", " | ")
+    ingredients = F.array_join(F.array_sort(F.transform("parsed.active_ingredients", lambda i: F.concat(i["name"], F.lit("="), i["strength"]))), " | ")
+    out = records.parsed_records(made)
+    return out.select("case_id", "parsed.error", shown("din").alias("din"), shown("dosage_forms").alias("forms"), shown("routes").alias("routes"), shown("schedule").alias("schedules"), "parsed.brand_name", ingredients.alias("ingredients"))

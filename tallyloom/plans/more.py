@@ -15,7 +15,7 @@ from ..functions import text
 from ..functions.jsonscore import Shape
 from ..operators import board, census, cohort, contracts, family, judging, reshape, validate
 from ..sources import manifest, tables
-from .registry import query, rounded  # noqa: F401
+from .registry import query, rounded, wilson_sql  # noqa: F401
 
 MODELS = ["m0", "m1", "m2"]
 SHAPE = Shape(frozenset({"s"}), frozenset({"l"}), frozenset({"l"}))
@@ -136,13 +136,24 @@ def baseline_labels(t):
     return judging.labelled(*judged_tables(t), PLAN).select("case_id", "split", "reference_label", "judge_label", "status")
 
 
-@query(f"""WITH {JUDGED}, g AS (SELECT *, status = 'success' AS done FROM f)
- SELECT split, count(*) AS cases, count(*) FILTER (done) AS comparable_cases, count(*) FILTER (status = 'error') AS judge_errors, round(count(*) FILTER (NOT done) / count(*)::DOUBLE, 9) AS observation_failure_rate,
- round(avg((reference_label = judge_label)::INT) FILTER (done), 9) AS raw_agreement, round(avg(uncertainty) FILTER (done), 9) AS average_reported_uncertainty, count(*) FILTER (done AND reference_label = 'fail' AND judge_label = 'fail') AS true_failure,
- count(*) FILTER (done AND reference_label = 'fail' AND judge_label = 'pass') AS false_approval, round(count(*) FILTER (done AND reference_label = 'fail' AND judge_label = 'fail') / count(*) FILTER (done AND judge_label = 'fail')::DOUBLE, 9) AS failure_precision FROM g GROUP BY 1""")
+def _interval(k: str, n: str, names: tuple[str, str], flipped: bool = False) -> str:
+    low, high = wilson_sql(k, n)
+    return f"1 - ({high}) AS {names[0]}, 1 - ({low}) AS {names[1]}" if flipped else f"{low} AS {names[0]}, {high} AS {names[1]}"
+
+
+@query(f"""WITH {JUDGED}, g AS (SELECT *, status = 'success' AS done FROM f),
+ c AS (SELECT split, count(*) AS cases, count(reference_label) AS human_reference_cases, count(*) FILTER (done) AS n, count(*) FILTER (status = 'error') AS judge_errors, count(*) FILTER (done AND reference_label = judge_label) AS same, count(uncertainty) FILTER (done) AS said,
+ avg(uncertainty) FILTER (done) AS unsure, count(*) FILTER (done AND reference_label = 'fail') AS r, count(*) FILTER (done AND judge_label = 'fail') AS p, count(*) FILTER (done AND reference_label = 'fail' AND judge_label = 'fail') AS hit FROM g GROUP BY 1),
+ k AS (SELECT *, same / n::DOUBLE AS o, (r * p + (n - r) * (n - p)) / (n * n)::DOUBLE AS e FROM c)
+ SELECT split, cases, human_reference_cases, n AS comparable_cases, judge_errors, round((cases - n) / cases::DOUBLE, 9) AS observation_failure_rate, round(o, 9) AS raw_agreement, {_interval("same", "n", ("accuracy_ci_low", "accuracy_ci_high"))},
+ round(said / n::DOUBLE, 9) AS reported_uncertainty_coverage, round(unsure, 9) AS average_reported_uncertainty, hit AS true_failure, r - hit AS false_approval, p - hit AS false_failure, n - r - p + hit AS true_approval,
+ round(hit / p::DOUBLE, 9) AS failure_precision, round(hit / r::DOUBLE, 9) AS failure_recall, round((r - hit) / r::DOUBLE, 9) AS false_approval_rate, {_interval("hit", "p", ("failure_precision_ci_low", "failure_precision_ci_high"))},
+ {_interval("hit", "r", ("failure_recall_ci_low", "failure_recall_ci_high"))}, {_interval("hit", "r", ("false_approval_rate_ci_low", "false_approval_rate_ci_high"), True)}, round(CASE WHEN e < 1 THEN (o - e) / (1 - e) WHEN o = 1 THEN 1.0 END, 9) AS cohen_kappa FROM k""")
 def judge_agreement(t):
-    found = judging.judge_metrics(judging.labelled(*judged_tables(t), PLAN), PLAN, ["split"])
-    return found.select("split", "cases", "comparable_cases", "judge_errors", "observation_failure_rate", "raw_agreement", "average_reported_uncertainty", "true_failure", "false_approval", "failure_precision")
+    """Judges against adjudicated labels by split: coverage, agreement, kappa, failure detection and their intervals."""
+    names = "cases human_reference_cases comparable_cases judge_errors observation_failure_rate raw_agreement accuracy_ci_low accuracy_ci_high reported_uncertainty_coverage average_reported_uncertainty true_failure false_approval false_failure true_approval"
+    names += " failure_precision failure_recall false_approval_rate failure_precision_ci_low failure_precision_ci_high failure_recall_ci_low failure_recall_ci_high false_approval_rate_ci_low false_approval_rate_ci_high cohen_kappa"
+    return judging.judge_metrics(judging.labelled(*judged_tables(t), PLAN), PLAN, ["split"]).select("split", *names.split())
 
 
 @query(f"""WITH {JUDGED}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (label = 'pass') AS a FROM o WHERE status = 'success' GROUP BY 1),
@@ -276,10 +287,12 @@ def value_counters(t):
     return board.counters(t("customer"), ["c_mktsegment", "c_nationkey"])
 
 
-@query("SELECT s_nationkey AS model_name, count(DISTINCT s_suppkey % 7) AS clusters, round(avg((s_acctbal > 0)::INT), 9) AS accuracy FROM supplier GROUP BY 1")
+@query("""WITH s AS (SELECT s_nationkey AS model_name, s_suppkey % 7 AS c, (s_acctbal > 0)::INT::DOUBLE AS score FROM supplier), m AS (SELECT *, avg(score) OVER (PARTITION BY model_name) AS accuracy, count(*) OVER (PARTITION BY model_name) AS n FROM s),
+ r AS (SELECT model_name, c, accuracy, n, sum(score - accuracy) AS r FROM m GROUP BY ALL)
+ SELECT model_name, count(*) AS clusters, round(accuracy, 9) AS accuracy, n AS samples, round(CASE WHEN count(*) > 1 THEN sqrt(sum(r * r) * count(*) / (count(*) - 1)) / n END, 9) AS stderr FROM r GROUP BY model_name, accuracy, n""")
 def clustered_scores(t):
     rows = t("supplier").select(F.col("s_nationkey").alias("model_name"), (F.col("s_suppkey") % 7).alias("c"), (F.col("s_acctbal") > 0).cast("double").alias("score"))
-    return board.clustered_error(rows, ["model_name"], "c").select("model_name", "clusters", "accuracy")
+    return board.clustered_error(rows, ["model_name"], "c").select("model_name", "clusters", "accuracy", "samples", "stderr")
 
 
 @query(f"""WITH {CENSUS}, w AS (SELECT case_id, coalesce(list(DISTINCT error_type) FILTER (NOT ok), []) AS e FROM d GROUP BY 1)

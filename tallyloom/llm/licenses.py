@@ -114,6 +114,7 @@ class Automaton:
         self.last = now
         self.begin = self._closed({0})
         self.first_words = {self.step[k][0] for k in self.begin if self.step[k]}
+        self.any_first = any(self.any[k] is not None for k in self.begin)
         self.mandatory = self._mandatory(template)
 
     def _state(self) -> int:
@@ -197,7 +198,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
                         for automaton in tried[r]:
                             k = 0
                             while k < len(said):
-                                end = automaton.match(said, k) if said[k] in automaton.first_words else None
+                                end = automaton.match(said, k) if automaton.any_first or said[k] in automaton.first_words else None
                                 if end is not None:
                                     found.append({"label": automaton.label, "first": k, "past": end})
                                 k = max(k + 1, end or 0)

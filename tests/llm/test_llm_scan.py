@@ -165,3 +165,10 @@ def test_long_conversations(spark):
     got = {r["conv_id"]: r for r in chatformat.read_back(chatformat.format_turns(turns)).collect()}
     assert got[1]["turns_sha256"] == hashlib.sha256(f"user\n{rows[0][3]}\n".encode()).hexdigest() and got[2]["n_turns"] == 20_000
     assert got[2]["loss_sha256"] == hashlib.sha256("".join(r[3] for r in rows[1:] if r[2] == "assistant").encode()).hexdigest()
+
+
+def test_a_template_may_begin_with_any_words(spark):
+    """A replaceable region in front is part of the match, as far as it reaches."""
+    docs = spark.createDataFrame([(1, "x this program is free software y"), (2, "is free software"), (3, "program is free software")], "doc_id long, text string")
+    got = licenses.scan(docs, {}, [("t", "<<var:2>> is free software")]).collect()
+    assert {r["doc_id"]: [(m["first"], m["past"]) for m in r["matches"]] for r in got} == {1: [(1, 6)], 2: [(0, 3)], 3: [(0, 4)]}

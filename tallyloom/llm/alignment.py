@@ -2,8 +2,8 @@
 
 Tokenising is the only Python: a byte-level BPE (A) of the tokenizers library over space + text, a sentencepiece model (B)
 over the text, each giving ids and the byte at which each token ends. The rest is Spark's array functions: array_intersect
-of the end arrays gives the cuts, sorted unions of ends and cuts their places among the tokens, and transform, sequence and
-slice the groups and links. Ids linked in a document are counted once for it; counts meet the documents again in a join.
+of the end arrays gives the cuts, aggregate looks up the groups of the ends that are no cuts, and transform, sequence and
+slice give the groups and links. Ids linked in a document are counted once for it; counts meet the documents again in a join.
 
 A worker sends the libraries each distinct stretch of text once: A's pattern gives such pieces, and sentencepiece's merges never cross from a
 word into the spaces before the next one, nor a control character that no longer piece holds, which PieceSide checks. Decoded ids are compared with the bytes.
@@ -123,59 +123,67 @@ def tokenised(docs: DataFrame, a_source: str, b_source: bytes) -> DataFrame:
     return rows.mapInArrow(run, TOKENS)
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once for a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _places(ends: Column, cuts: Column) -> Column:
-    """Places in `ends` of the cuts, which are among them: in the sorted union of both, each cut stands twice in a row."""
-    union = F.sort_array(F.concat(ends, cuts))
-    twice = lambda u: F.filter(F.sequence(F.lit(0), F.size(u) - 2), lambda k: F.get(u, k) == F.get(u, k + 1))
-    return let(union, lambda u: F.transform(twice(u), lambda k, g: k - g))
-
-
-NO_SPANS = "array<struct<p:int,x:int,q:int,y:int>>"
+def _below(of: Column, value: Column, jumps: Column) -> Column:
+    """How many entries of a sorted array are less than a value, by jumps of falling powers of two."""
+    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.get(of, at + jump - 1) < value, at + jump).otherwise(at))
 
 
 def groups(tokens: DataFrame) -> DataFrame:
-    """tokens -> their columns and `groups`, array of (p, x, q, y): group g has A's tokens p + 1 to x and B's q + 1 to y, places from 0."""
-    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    some = F.size("cuts") > 0
-    placed = cut.withColumns({"ia": F.when(some, _places(F.col("a_ends"), F.col("cuts"))), "ib": F.when(some, _places(F.col("b_ends"), F.col("cuts")))})
-    before = lambda of, g: F.coalesce(F.get(of, g - 1), F.lit(-1))
-    spans = F.transform("ia", lambda x, g: F.struct(before("ia", g).alias("p"), x.alias("x"), before("ib", g).alias("q"), F.get("ib", g).alias("y")))
-    return placed.withColumn("groups", F.when(some, spans).otherwise(F.array().cast(NO_SPANS))).drop("cuts", "ia", "ib")
-
-
-def _single(s: Column) -> Column:
-    """A group of one token each, as most are."""
-    return (s["x"] - s["p"] == 1) & (s["y"] - s["q"] == 1)
-
-
-def _shown(spans: Column, a: Column, b: Column) -> Column:
-    """The groups as text, from ids as text."""
-    some = lambda of, low, high: F.array_join(F.slice(of, low + 2, high - low), ",")
-    one = lambda s: F.concat(F.get(a, s["x"]), F.lit("|"), F.get(b, s["y"]))
-    more = lambda s: F.concat(some(a, s["p"], s["x"]), F.lit("|"), some(b, s["q"], s["y"]))
-    return F.array_join(F.transform(spans, lambda s: F.when(_single(s), one(s)).otherwise(more(s))), ";")
-
-
-def _pairs(spans: Column, a: Column, b: Column) -> Column:
+    """tokens -> their columns, `cuts` (where both sides end) and `stretches`, array of (u, v, n, p, x, q, y).
+
+    A stretch is n groups of one token a side, behind A's token u and B's token v (places from 0), and then a wide group: A's tokens
+    p + 1 to x and B's q + 1 to y. The last stretch has no wide group; x and y are null. Most groups are of one token a side, so only ends that
+    are no cuts are looked up, and the rest is taken by slices."""
+    size = F.greatest(F.size("a_ends"), F.size("b_ends"), F.lit(1))
+    cut = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "top": F.floor(F.log2(size)).cast("int")})
+    jumps = F.transform(F.sequence(F.lit(0), F.col("top")), lambda k: F.call_function("shiftleft", F.lit(1), F.col("top") - k))
+    lone = F.concat(F.array_except("a_ends", "cuts"), F.array_except("b_ends", "cuts"))
+    found = cut.withColumns({"jumps": jumps, "lone": F.sort_array(lone)})
+    found = found.withColumn("wide", F.array_distinct(F.transform("lone", lambda e: _below(F.col("cuts"), e, F.col("jumps")))))
+    ends = lambda of: F.transform("wide", lambda g: _below(F.col(of), F.get("cuts", g), F.col("jumps")))
+    found = found.withColumns({"wide_a": ends("a_ends"), "wide_b": ends("b_ends")})
+
+    def stretch(k: Column) -> Column:
+        before = lambda of: F.coalesce(F.get(of, k - 1), F.lit(-1))
+        n = F.coalesce(F.get("wide", k), F.size("cuts")) - before("wide") - 1
+        u, v = before("wide_a"), before("wide_b")
+        parts = {"u": u, "v": v, "n": n, "p": u + n, "x": F.get("wide_a", k), "q": v + n, "y": F.get("wide_b", k)}
+        return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+    made = found.withColumn("stretches", F.transform(F.sequence(F.lit(0), F.size("wide")), stretch))
+    return made.drop("top", "jumps", "lone", "wide", "wide_a", "wide_b")
+
+
+def _some(of: str, low: Column, count: Column) -> Column:
+    """`count` entries behind place `low`."""
+    return F.slice(of, low + 2, count)
+
+
+def _shown() -> Column:
+    """The groups as text. Stretches of single tokens come as arrays of pairs in Spark's own text form, `[{1, 2}, {3, 4}]`, put right in the whole."""
+    ids = lambda of, low, high: F.array_join(_some(of, low, high - low).cast("array<string>"), ",")
+    single = lambda s: F.when(s["n"] > 0, F.arrays_zip(_some("a", s["u"], s["n"]), _some("b", s["v"], s["n"])).cast("string"))
+    wide = lambda s: F.when(s["x"].isNotNull(), F.concat(ids("a", s["p"], s["x"]), F.lit("|"), ids("b", s["q"], s["y"])))
+    text = F.array_join(F.flatten(F.transform("stretches", lambda s: F.array(single(s), wide(s)))), ";")
+    for said, shown in (("}, {", ";"), (", ", "|"), ("[{", ""), ("}]", "")):
+        text = F.replace(text, F.lit(said), F.lit(shown))
+    return text
+
+
+def _pairs() -> Column:
     """Codes of all linked occurrences."""
     code = lambda x, y: x.cast("long") * PAIR + y
-    more = lambda s: F.flatten(F.transform(F.slice(a, s["p"] + 2, s["x"] - s["p"]), lambda x: F.transform(F.slice(b, s["q"] + 2, s["y"] - s["q"]), lambda y: code(x, y))))
-    return F.flatten(F.transform(spans, lambda s: F.when(_single(s), F.array(code(F.get(a, s["x"]), F.get(b, s["y"])))).otherwise(more(s))))
+    single = lambda s: F.zip_with(_some("a", s["u"], s["n"]), _some("b", s["v"], s["n"]), code)
+    wide = lambda s: F.flatten(F.transform(_some("a", s["p"], s["x"] - s["p"]), lambda x: F.transform(_some("b", s["q"], s["y"] - s["q"]), lambda y: code(x, y))))
+    return F.flatten(F.transform("stretches", lambda s: F.when(s["x"].isNull(), single(s)).otherwise(F.concat(single(s), wide(s)))))
 
 
 def aligned(docs: DataFrame, a_source: str, b_source: bytes) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links array<long>): `links` are the codes of all linked occurrences."""
-    made = groups(tokenised(docs, a_source, b_source)).withColumns({"a_text": F.col("a").cast("array<string>"), "b_text": F.col("b").cast("array<string>")})
     size = lambda c: F.size(c).cast("long")
-    return made.select(
-        "row", "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), size("groups").alias("n_groups"),
-        F.when(F.size("groups") > 0, F.sha2(_shown(F.col("groups"), F.col("a_text"), F.col("b_text")), 256)).otherwise("").alias("groups_sha256"),
-        _pairs(F.col("groups"), F.col("a"), F.col("b")).alias("links"),
+    return groups(tokenised(docs, a_source, b_source)).select(
+        "row", "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), size("cuts").alias("n_groups"),
+        F.when(F.size("cuts") > 0, F.sha2(_shown(), 256)).otherwise("").alias("groups_sha256"), _pairs().alias("links"),
     ).withColumn("n_links", size("links"))
 
 

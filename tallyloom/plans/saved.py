@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import cost
 from ..functions.jsonscore import JsonRules
 from ..operators import records, rescore, star, summary
-from ..sources import bundle
+from ..sources import bundle, tables
+from ..streaming import checkpoint
 from .registry import query
 
 RULES = JsonRules(unordered=("/parts",), numeric=("/order",))
@@ -193,3 +194,16 @@ def parsed_families(t):
     ingredients = F.array_join(F.array_sort(F.transform("parsed.active_ingredients", lambda i: F.concat(i["name"], F.lit("="), i["strength"]))), " | ")
     out = records.parsed_records(made)
     return out.select("case_id", "parsed.error", shown("din").alias("din"), shown("dosage_forms").alias("forms"), shown("routes").alias("routes"), shown("schedule").alias("schedules"), "parsed.brand_name", ingredients.alias("ingredients"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def resumed_requests(t):
+    """Events as checkpoint files, taken as a stream in two runs: the second finds a third of the first's records again."""
+    events = t("events").select("event_id", "user_id", "event_type", "value")
+    spark, record = events.sparkSession, "event_id bigint, user_id bigint, event_type string, value double"
+    source, taken, state = (shared_folder(spark, what) for what in ("records", "resumed", "state"))
+    half = F.col("event_id") % 2 == 0
+    for part in (events.where(half), events.where(~half | (F.col("event_id") % 3 == 0))):
+        tables.write_checkpoint(part, source)
+        checkpoint.resume(checkpoint.record_stream(spark, source, record), taken, ["event_id"], state).awaitTermination()
+    return checkpoint.resumed(spark, taken, record)

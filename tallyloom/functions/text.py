@@ -62,6 +62,17 @@ def normalized(text: Column, rules: TextRules = TextRules()) -> Column:
     return F.when(ascii_only, plain).otherwise(general(F.when(~ascii_only, text)))
 
 
+def casefolded(text: Column) -> Column:
+    """Full case folding (ß as ss): built-in for ASCII, an Arrow-batched function for the rest; null stays null."""
+
+    @F.pandas_udf("string")
+    def general(texts: pd.Series) -> pd.Series:
+        return texts.map(str.casefold, na_action="ignore")
+
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(general(F.when(~ascii_only, text)))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cost
 from ..functions.jsonscore import JsonRules
 from ..operators import records, rescore, star, summary
-from ..sources import bundle, tables
+from ..sources import bundle, manifest, tables
 from ..streaming import checkpoint
 from .registry import query
 
@@ -207,3 +207,18 @@ def resumed_requests(t):
         tables.write_checkpoint(part, source)
         checkpoint.resume(checkpoint.record_stream(spark, source, record), taken, ["event_id"], state).awaitTermination()
     return checkpoint.resumed(spark, taken, record)
+
+
+@query("""SELECT method, event_type, 'record count' AS rule, n || ' of ' || (n + 1) AS detail
+ FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), (VALUES ('csv_rows'), ('jsonl_records')) m(method) WHERE n % 2 = (method = 'csv_rows')::INT""")
+def manifest_counts(t):
+    """Events as a CSV and a JSON lines file for each type, against a manifest whose odd counts of CSV rows and even counts of lines are one too high."""
+    events = t("events").select("event_id", "user_id", "value", "event_type").repartition("event_type")
+    spark, root = events.sparkSession, shared_folder(events.sparkSession, "release")
+    events.write.partitionBy("event_type").option("header", True).csv(f"{root}/csv_rows")
+    events.write.partitionBy("event_type").json(f"{root}/jsonl_records")
+    found = manifest.files(spark, root, "part-*").select("path", F.split_part("path", F.lit("/"), F.lit(1)).alias("method"), F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type"))
+    n, odd = F.col("n"), F.col("method") == "csv_rows"
+    listed = found.join(events.groupBy("event_type").agg(F.count("*").alias("n")), "event_type").select("path", "method", (n + (n % 2 == odd.cast("int")).cast("int")).alias("records"))
+    faults = manifest.record_violations(listed, manifest.record_counts(spark, root, listed))
+    return faults.join(found, faults["key"] == found["path"]).select("method", "event_type", "rule", "detail")

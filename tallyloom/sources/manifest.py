@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import casefolded
+
 #: The largest archive and attachment, what an archive may hold, and how many attachments a case may have.
 MAX_ARCHIVE, MAX_UNPACKED, MAX_ATTACHED, MAX_ATTACHMENTS = 100 << 20, 250 << 20, 50 << 20, 50
 VIOLATION = "rule string, key string, detail string"
@@ -47,14 +49,44 @@ def manifest_violations(listed: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def record_counts(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """(path, records) of the files that a manifest (path, method) counts by csv_rows or jsonl_records: rows behind a header, where quoted line breaks
+    do not count, or lines that aren't blank. All files of a method are one scan; lines of a file are counted by as many tasks as it has splits. A file without records has none here.
+
+    Rows of nothing but separators count as records, and lines aren't parsed."""
+    base = F.lit(root.rstrip("/").removeprefix("file://") + "/")
+    readers = {"csv_rows": lambda paths: spark.read.csv(paths, header=True, multiLine=True, escape='"'), "jsonl_records": lambda paths: spark.read.text(paths).where(F.trim("value") != "")}
+    out = spark.createDataFrame([], "path string, records long")
+    names: dict[str, list[str]] = {}
+    for r in listed.where(contained(F.col("path"))).where(F.col("method").isin(*readers)).select("method", "path").distinct().collect():  # a manifest's rows are a release's files
+        names.setdefault(r["method"], []).append(f"{root.rstrip('/')}/{r['path']}")
+    for method, paths in names.items():
+        path = F.split_part(F.url_decode("_metadata.file_path"), base, F.lit(-1)).alias("path")
+        out = out.unionByName(readers[method](sorted(paths)).select(path).groupBy("path").agg(F.count(F.lit(1)).alias("records")))
+    return out
+
+
+def record_violations(listed: DataFrame, counts: DataFrame) -> DataFrame:
+    """(rule, key, detail) of a manifest (path, records, method) against record_counts(): a count where the method is not_applicable, no count where there is
+    one, and another number of records."""
+    none = F.col("method") == "not_applicable"
+    said = listed.select("path", F.col("records").alias("want"), "method")
+    met = said.join(counts, "path", "left").withColumn("have", F.coalesce("records", F.lit(0)))
+    rule = F.when(none & F.col("want").isNotNull(), "count without a method").when(~none & F.col("want").isNull(), "no count").when(~none & (F.col("want") != F.col("have")), "record count")
+    return met.select(rule.alias("rule"), F.col("path").alias("key"), F.concat(F.col("have").cast("string"), F.lit(" of "), F.coalesce(F.col("want").cast("string"), F.lit("none"))).alias("detail")).where("rule is not null")
+
+
 def membership_violations(ids: DataFrame, column: str, expected: DataFrame) -> DataFrame:
-    """Member ids against those expected: repeated after folding case, missing, or extra."""
-    fold = lambda df: df.select(F.lower(F.trim(F.col(column).cast("string"))).alias("key"))
-    mine, wanted = fold(ids), fold(expected).distinct()
-    repeated = mine.groupBy("key").count().where("count > 1").select(F.lit("repeated member").alias("rule"), "key", F.col("count").cast("string").alias("detail"))
-    missing = wanted.join(mine, "key", "left_anti").select(F.lit("missing member").alias("rule"), "key", F.lit("absent").alias("detail"))
-    extra = mine.distinct().join(wanted, "key", "left_anti").select(F.lit("extra member").alias("rule"), "key", F.lit("not expected").alias("detail"))
-    return repeated.unionByName(missing).unionByName(extra)
+    """Member ids against those expected, by full case folding: repeated, missing, or extra. Both sides meet in one grouping by folded id."""
+    fold = lambda df, here: df.select(casefolded(F.trim(F.col(column).cast("string"))).alias("key"), F.lit(here).alias("here"))
+    both = fold(ids, 1).unionByName(fold(expected, 0)).groupBy("key").agg(F.sum("here").alias("mine"), F.sum(1 - F.col("here")).alias("wanted"))
+    fault = lambda when, rule, detail: F.when(when, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+    faults = F.array(
+        fault(F.col("mine") > 1, "repeated member", F.col("mine")),
+        fault(F.col("mine") == 0, "missing member", F.lit("absent")),
+        fault(F.col("wanted") == 0, "extra member", F.lit("not expected")),
+    )
+    return both.select("key", F.explode(F.array_compact(faults)).alias("x")).select("x.rule", "key", "x.detail")
 
 
 def _member_faults(archive: zipfile.ZipFile, info: zipfile.ZipInfo, columns: int, day: date) -> list[str]:

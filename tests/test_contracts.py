@@ -29,6 +29,8 @@ def test_manifest(spark, tmp_path):
     }
     ids = spark.createDataFrame([("A",), ("a ",), ("b",)], "id string")
     assert RULES(manifest.membership_violations(ids, "id", spark.createDataFrame([("a",), ("C",)], "id string"))) == {("repeated member", "a"), ("missing member", "c"), ("extra member", "b")}
+    folded = manifest.membership_violations(spark.createDataFrame([("Straße",), ("STRASSE",), ("É",)], "id string"), "id", spark.createDataFrame([("strasse",), ("é",), ("É",)], "id string"))
+    assert {tuple(r) for r in folded.collect()} == {("repeated member", "strasse", "2")}
     cases = spark.createDataFrame([("1", "a.txt", 3, sha(b"one"), "text/plain"), ("2", "x/c.txt", 5, sha(b"three"), "text/plain"), ("3", "c.txt", 6, sha(b"other"), "application/pdf"), ("4", "c.txt", 51 << 20, sha(b"three"), "text/plain")], "case_id string, name string, bytes long, sha256 string, media_type string")
     assert RULES(manifest.attachment_violations(cases, found, {".txt": "text/plain"})) == {("not a file name", "2|x/c.txt"), ("missing file", "2|x/c.txt"), ("size", "3|c.txt"), ("hash", "3|c.txt"), ("media type", "3|c.txt"), ("size", "4|c.txt"), ("too large", "4|c.txt"), ("too many", "4")}
 
@@ -176,3 +178,18 @@ def test_balanced_cohort_against_brute_force(spark):
 
         chosen.append(min((u for u in range(30) if u not in chosen), key=cost))
     assert got == chosen
+
+
+def test_record_counts_of_a_manifest(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "a.csv").write_text('id,text\n1,"two\nlines"\n\n2,"a ""quoted"" word"\n')
+    (tmp_path / "sub dir" / "b.csv").write_text("x\n1\n2\n3\n")
+    (tmp_path / "c.jsonl").write_text('{"a": 1}\n\n  \n{"a": 2}')
+    (tmp_path / "empty.jsonl").write_text("\n")
+    rows = [("a.csv", 2, "csv_rows"), ("sub dir/b.csv", 4, "csv_rows"), ("c.jsonl", 2, "jsonl_records"), ("empty.jsonl", 1, "jsonl_records"), ("d.pdf", 1, "not_applicable"), ("e.pdf", None, "not_applicable"), ("../f.csv", None, "csv_rows")]
+    listed = spark.createDataFrame(rows, "path string, records long, method string")
+    counts = manifest.record_counts(spark, str(tmp_path), listed)
+    assert {tuple(r) for r in counts.collect()} == {("a.csv", 2), ("sub dir/b.csv", 3), ("c.jsonl", 2)}
+    got = {tuple(r) for r in manifest.record_violations(listed, counts).collect()}
+    assert got == {("record count", "sub dir/b.csv", "3 of 4"), ("record count", "empty.jsonl", "0 of 1"), ("count without a method", "d.pdf", "0 of 1"), ("no count", "../f.csv", "0 of none")}
+    assert manifest.record_counts(spark, str(tmp_path), listed.where("false")).collect() == []

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cost, jsonscore, stats, text
@@ -34,9 +34,17 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
+def reaches(value: str, least: int) -> Column:
+    """The mean of a group's values is at least `least`, decided on exact sums, as a mean of doubles depends on their order.
+
+    Groups with values that have no such decimal (NaN, infinite, finer or larger ones) go by the mean of doubles."""
+    exact = F.col(value).try_cast("decimal(18,6)")
+    exact = F.when(exact.cast("double") == F.col(value), exact)
+    return F.when(F.count(exact) == F.count(value), F.sum(exact) >= F.count(value) * least).otherwise(F.avg(value) >= least)
+
+
 def results(t: Callable) -> DataFrame:
-    mean = F.avg("value")
-    return t("events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("model_name")).agg(F.least(F.lit(1.0), mean / 100).alias("final_score"), (mean >= 50).alias("final_passed"))
+    return t("events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("model_name")).agg(F.least(F.lit(1.0), F.avg("value") / 100).alias("final_score"), reaches("value", 50).alias("final_passed"))
 
 
 RES = "res AS (SELECT user_id AS case_id, event_type AS model_name, least(1.0, avg(value) / 100) AS final_score, avg(value) >= 50 AS final_passed FROM events GROUP BY 1, 2)"

@@ -9,8 +9,8 @@ from ..functions.stats import mcnemar_exact, ratio, with_holm
 
 
 def _pairs(results: DataFrame, case: str, model: str) -> DataFrame:
-    """Every case of every two models in order of name, from one grouping by case: models are few, cases many."""
-    known = results.where("final_passed is not null and final_score is not null")
+    """Every case of every two models in order of name, from one grouping by case: models are few, cases many. Rows without a case or a model pair with none."""
+    known = results.where("final_passed is not null and final_score is not null").where(F.col(case).isNotNull() & F.col(model).isNotNull())
     side = F.struct(F.col(model).alias("model"), F.col("final_passed").alias("passed"), F.col("final_score").cast("double").alias("score"))
     wide = known.groupBy(case).agg(F.array_sort(F.collect_list(side)).alias("s"))
     pairs = wide.select(F.posexplode("s").alias("k", "a"), "s").select("a", F.explode(F.expr("slice(s, k + 2, size(s))")).alias("b"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import jsonscore
 from tallyloom.operators import rescore
+from tallyloom.plans import registry
 
 RULES = jsonscore.JsonRules(unordered=("/u", "/deep/*/u"), sets=("/s",), numeric=("/n/*", "/m"), parenthetical=("/p",), zero_pad=(("/z", 4),), aliases=(("/a", (("tab", "tablet"),)),))
 NAMES = ["output_is_json", "json_canonical_match", "json_missing_fields", "json_extra_fields", "json_mismatched_fields"]
@@ -65,3 +66,13 @@ def test_odd_rescores(spark):
         rescore.rescored(deep)
     many = spark.range(1000).select("id", F.lit('{"a": 1}').alias("expected_output"), F.lit('{"a": 2}').alias("model_output"))
     assert rescore.rescored(many).where("json_mismatched_fields = array('a')").count() == 1000
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, '{"a": 1}', '{"a": 2}', "json", "m")], "case_id int, expected_output string, model_output string, evaluation_type string, model_name string")
+    assert "Broadcast" not in shown(rescore.rescored(rows))
+    saved = rescore.saved_scores(rescore.rescore_saved(rows, "m"))
+    assert "Broadcast" not in shown(rescore.rescore_saved(rows, "m", saved))
+    for name in ("rescored", "scorers_agree", "rescore_delta"):
+        assert "Broadcast" not in shown(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))

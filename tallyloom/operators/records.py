@@ -36,7 +36,13 @@ def rendered(variants: Column, language: str) -> Column:
 
 def _key(text: Column) -> Column:
     """What order goes by: blanks and case apart."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"\A | \z", ""))
+    plain = text.rlike(r"\A[!-~]+(?: [!-~]+)*\z")  # most are, and need no search for blanks of all scripts
+    return F.lower(F.when(plain, text).otherwise(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"\A | \z", "")))
+
+
+def trimmed_line(line: Column) -> Column:
+    """A line without blanks of any script at its ends; most begin and end with a printed ASCII character, which is quickly seen."""
+    return F.when(line.rlike(r"\A[!-~](?:.*[!-~])?\z"), line).otherwise(F.regexp_replace(line, r"(?U)\A\s+|\s+\z", ""))
 
 
 def _ordered(values: Column) -> Column:
@@ -53,7 +59,7 @@ def parsed(text: Column, language: str) -> Column:
     labels, (name, amount, unit) = LABELS[language], INGREDIENT[language]
     item = rf"\A- {name}=(.*); {amount}=([^;]+); {unit}=(.*)\z"
     known = "|".join([rf"{v}.*" for v in labels.values()] + [rf"{CODE}.*", rf"{HEADING[language]}.*", item[2:-2]])
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), trimmed_line), lambda x: x != "")
 
     def variant(own: Column) -> Column:
         def field(f: str) -> Column:
@@ -78,9 +84,7 @@ def parsed(text: Column, language: str) -> Column:
         lacking = F.try_element_at(F.filter(F.transform(vs, lambda v, k: F.when(F.size(lack(v)) > 0, F.concat(F.lit("variant "), (k + 1).cast("string"), F.lit(" lacks "), F.array_join(lack(v), ", ")))), lambda x: x.isNotNull()), F.lit(1))
         parts = F.flatten(of("ingredients"))
         ordered = F.array_sort(F.transform(F.array_distinct(parts), lambda i: F.struct(_key(i["name"]).alias("a"), i["strength"].cast("double").alias("b"), _key(i["unit"]).alias("c"), i.alias("i"))))
-        error = F.when(F.size(vs) == 0, "no variants").when(odd.isNotNull(), F.concat(F.lit("unknown line: "), odd)).when(lacking.isNotNull(), lacking).when(F.exists(parts, lambda i: i["strength"].isNull()), "a strength is no number")
-        for f in SINGLE:
-            error = error.when(F.size(F.array_distinct(of(f))) > 1, f"variants differ in {f}")
+        error = F.coalesce(F.when(F.size(vs) == 0, F.lit("no variants")), F.concat(F.lit("unknown line: "), odd), lacking, F.when(F.exists(parts, lambda i: i["strength"].isNull()), F.lit("a strength is no number")), *[F.when(F.size(F.array_distinct(of(f))) > 1, F.lit(f"variants differ in {f}")) for f in SINGLE])
 
         def made(e: Column) -> Column:
             fine = lambda value, n: F.when(e.isNull(), value).alias(n)
@@ -91,7 +95,7 @@ def parsed(text: Column, language: str) -> Column:
 
         return let(error, made)
 
-    return F.when(text.isNotNull(), let(F.when(F.size(lines) > 0, let(lines, cut)).otherwise(F.array()), whole))
+    return F.when(text.isNotNull(), let(let(lines, lambda found: F.when(F.size(found) > 0, cut(found)).otherwise(F.array())), whole))
 
 
 def parsed_records(records: DataFrame, text: str = "input", language: str = "language") -> DataFrame:

@@ -75,3 +75,9 @@ def test_prices_in_force(spark):
     assert {k: got[k] for k in (3, 4, 5, 6, 7, 8, 9, 10)} == {
         3: ("no price in force", None), 4: ("price of another route", None), 5: ("no price of that id", None), 6: ("several prices of one day", None), 7: (None, None), 8: (None, None), 9: (None, None), 10: ("price of another route", None),
     }
+
+
+def test_blanks_of_all_scripts_at_ends_of_lines(spark):
+    said = ["plain", "a b", " a", "a ", " a  b ", "", " ", "é ", "a "]
+    rows = spark.createDataFrame([(x,) for x in said], "x string").select("x", records.trimmed_line(F.col("x")).alias("trimmed"), records._key(F.col("x")).alias("key"))
+    assert [(r["trimmed"], r["key"]) for r in rows.collect()] == [(x.strip(), " ".join(x.split()).lower()) for x in said]

@@ -76,8 +76,9 @@ def first_evidence_page(pages: DataFrame, wanted: DataFrame, document: str = "do
 
     Both are searched as folded_text, whole; a candidate of which nothing is left is not searched. Pages meet the
     candidates of their own document only."""
+    # a text that can be null would be folded once more, to see whether it is
     each = wanted.select(document, "field", F.explode("candidates").alias("candidate")).select(document, "field", folded_text(F.col("candidate")).alias("candidate")).where("candidate <> ''")
-    met = each.join(pages.select(document, "page", folded_text(F.col("text")).alias("said")), document).where(F.col("said").contains(F.col("candidate")))
+    met = each.join(pages.select(document, "page", F.coalesce(folded_text(F.col("text")), F.lit("")).alias("said")), document).where(F.col("said").contains(F.col("candidate")))
     found = met.groupBy(document, "field").agg(F.min("page").alias("page"))
     return wanted.join(found, [document, "field"], "left")
 

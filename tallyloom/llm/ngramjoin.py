@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, Hasher, Words, mixed, release, sequence_hash, shingles, slices, stored, text_bytes
+from .common import UNSPACED, Hasher, Words, discard, mixed, release, sequence_hash, shingles, slices, stored, text_bytes
 from .components import components
 
 #: Counters of the sketch, as a power of two, and how many go in one row.
@@ -206,11 +206,13 @@ def inner_blocks(joined: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Spanning links (u, v) between the documents of `rows` (doc_id, n_shingles, keys), one per class."""
+    """Spanning links (u, v), written, between the documents of `rows` (doc_id, n_shingles, keys), one per class."""
     keys = rows.select(F.explode("keys").alias("h"), "doc_id")
     # tasks sum up before the shuffle, and adaptive execution splits the join of a frequent key
     lead = keys.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("h", "leader")
-    joined = stored(keys.join(stored(lead, "leaders"), "h").select("leader", "doc_id").distinct(), "blocks")
+    lead = stored(lead, "leaders")
+    joined = stored(keys.join(lead, "h").select("leader", "doc_id").distinct(), "blocks")
+    discard(lead)
     size = joined.join(rows.select("doc_id", "n_shingles"), "doc_id").groupBy("leader").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("items"))
     size = size.join(inner_blocks(joined), "leader", "left_anti")
     # with c chunks, two of which make a block, a block has 2 / c of all
@@ -248,7 +250,9 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
         yield from done()
 
     dealt = block.join(packed(docs), "doc_id").select("block", "doc_id", "packed").repartition("block").sortWithinPartitions("block", "doc_id")
-    return dealt.mapInArrow(multiply, "u long, v long")
+    out = stored(dealt.mapInArrow(multiply, "u long, v long"), "block-links")
+    discard(joined)
+    return out
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -269,10 +273,14 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # a doc_id with several texts ties the classes of these together
     same = whole.where("doc_id <> rep and n_shingles > 0").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     again = same.join(firsts.select("doc_id"), F.col("u") == F.col("doc_id"), "left_semi")
-    edges = stored(links(docs, firsts, n, percent).unionByName(again).distinct(), "links")
+    inside = links(docs, firsts, n, percent)
+    edges = stored(inside.unionByName(again).distinct(), "links")
+    # keys are most of the rows; what is left to read is small
+    slim = stored(whole.drop("keys"), "shingle-counts")
+    discard(rows, classes, inside)
     release(docs.sparkSession)
     roots = components(edges)
-    return whole.drop("keys").join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    return slim.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

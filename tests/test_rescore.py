@@ -76,3 +76,10 @@ def test_sides_that_grow_are_not_broadcast(spark):
     assert "Broadcast" not in shown(rescore.rescore_saved(rows, "m", saved))
     for name in ("rescored", "scorers_agree", "rescore_delta"):
         assert "Broadcast" not in shown(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_answers_are_made_once(spark):
+    """Scorers read the answers of orders back: no plan holds the tables that they are made of."""
+    for name in ("rescored", "scorers_agree", "rescore_delta"):
+        files = registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not [f for f in files if "lineitem" in f or "orders.parquet" in f]

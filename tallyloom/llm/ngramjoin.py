@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, Hasher, Words, discard, mixed, release, sequence_hash, shingles, slices, stored, text_bytes
+from .common import UNSPACED, Hasher, Words, discard, mixed, release, sequence_hash, shingles, sieved, slices, stored, text_bytes
 from .components import components
 
 #: Counters of the sketch, as a power of two, and how many go in one row.
@@ -211,7 +211,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     # tasks sum up before the shuffle, and adaptive execution splits the join of a frequent key
     lead = keys.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("h", "leader")
     lead = stored(lead, "leaders")
-    joined = stored(keys.join(lead, "h").select("leader", "doc_id").distinct(), "blocks")
+    joined = stored(sieved(keys, "h", lead.select("h")).join(lead, "h").select("leader", "doc_id").distinct(), "blocks")
     discard(lead)
     size = joined.join(rows.select("doc_id", "n_shingles"), "doc_id").groupBy("leader").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("items"))
     size = size.join(inner_blocks(joined), "leader", "left_anti")
@@ -249,7 +249,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
                 sets += shingle_sets(pa.array([expand.decompress(raw).decode()], pa.string()), n, hasher)
         yield from done()
 
-    dealt = block.join(packed(docs), "doc_id").select("block", "doc_id", "packed").repartition("block").sortWithinPartitions("block", "doc_id")
+    dealt = block.join(packed(sieved(docs, "doc_id", joined.select("doc_id"))), "doc_id").select("block", "doc_id", "packed").repartition("block").sortWithinPartitions("block", "doc_id")
     out = stored(dealt.mapInArrow(multiply, "u long, v long"), "block-links")
     discard(joined)
     return out

@@ -83,3 +83,14 @@ def test_answers_are_made_once(spark):
     for name in ("rescored", "scorers_agree", "rescore_delta"):
         files = registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert files and not [f for f in files if "lineitem" in f or "orders.parquet" in f]
+
+
+def test_ascii_rows_are_scored_where_they_lie(spark):
+    """Neither values nor pairs of ASCII texts go through a shuffle or Python; other rows beside them do, and none is lost."""
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, '{"u": ["B ", "a"], "q": [[1, {"x": 10.0}]]}', '{"q": [[1.0, {"x": 10}]], "u": ["a", "b"]}'), (2, '{"u": 100}', '{"u": "100"}')], "case_id int, expected_output string, model_output string")
+    plain = rescore.rescored(rows, rules=RULES)
+    assert "Exchange" not in shown(plain) and "Python" not in shown(plain)
+    assert [r["json_canonical_match"] for r in plain.orderBy("case_id").collect()] == [True, False]
+    mixed = rescore.rescored(rows.union(spark.createDataFrame([(3, '{"a": "É"}', '{"a": "\\u00e9"}'), (4, '{"a": "É"}', None)], rows.schema)), rules=RULES)
+    assert {r["case_id"]: r["json_canonical_match"] for r in mixed.collect()} == {1: True, 2: False, 3: True, 4: False}

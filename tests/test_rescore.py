@@ -94,3 +94,14 @@ def test_ascii_rows_are_scored_where_they_lie(spark):
     assert [r["json_canonical_match"] for r in plain.orderBy("case_id").collect()] == [True, False]
     mixed = rescore.rescored(rows.union(spark.createDataFrame([(3, '{"a": "É"}', '{"a": "\\u00e9"}'), (4, '{"a": "É"}', None)], rows.schema)), rules=RULES)
     assert {r["case_id"]: r["json_canonical_match"] for r in mixed.collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_values_of_objects_are_compared_twice_at_most(monkeypatch):
+    """Once as they are and once in canonical form: fields decide on the whole."""
+    seen, real = [], jsonscore.frozen
+    monkeypatch.setattr(jsonscore, "frozen", lambda value: (seen.append(value), real(value))[1])
+    found = jsonscore.Comparer(RULES).score('{"u": [11, 12]}', '{"u": [12, 11]}')
+    assert (found["json_exact_match"], found["json_canonical_match"], found["json_mismatched_fields"]) == (False, True, [])
+    assert seen.count(11) == seen.count(12) == 4  # two sides
+    nan = jsonscore.Comparer(RULES).score('{"a": NaN}', '{"a": NaN}')
+    assert (nan["json_canonical_match"], nan["json_mismatched_fields"]) == (False, ["a"])

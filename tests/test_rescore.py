@@ -105,3 +105,9 @@ def test_values_of_objects_are_compared_twice_at_most(monkeypatch):
     assert seen.count(11) == seen.count(12) == 4  # two sides
     nan = jsonscore.Comparer(RULES).score('{"a": NaN}', '{"a": NaN}')
     assert (nan["json_canonical_match"], nan["json_mismatched_fields"]) == (False, ["a"])
+
+
+def test_deep_rows_beside_shallow_ones(spark):
+    deep = "[" * (rescore.PLACE_LEVELS + 2) + "1" + "]" * (rescore.PLACE_LEVELS + 2)
+    rows = spark.createDataFrame([(1, deep, deep), (2, "[1]", "[1.0]"), (3, "[1]", deep)], "case_id int, expected_output string, model_output string")
+    assert {r["case_id"]: r["json_canonical_match"] for r in rescore.rescored(rows).collect()} == {1: True, 2: True, 3: False}
